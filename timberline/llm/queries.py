@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, pack
-from timberline.llm.cluster import table
+from timberline.llm import decontaminate, fingerprint, pack, shard, warc
+from timberline.llm.cluster import materialize, table
 from timberline.shipping import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,6 +53,31 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_tokens=1024, end_id=2, ids="crc32")
 
 
+def op7_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.shards(table(spark, sf_dir, "documents"), leaves=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.write_archives(warc.plan(table(spark, sf_dir, "pages"))), "warc")
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM d LEFT JOIN g USING (h)
+"""
+
+
+def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op9(spark, sf_dir)
+
+
 def _shipped(query):
     """The query, with this package on the executors."""
 
@@ -66,9 +91,14 @@ def _shipped(query):
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_kd_tree_sharding": op7_kd_tree_sharding,
+    "op8_zstd_warc": op8_zstd_warc,
+    "op9_multiset_fingerprints": op9_multiset_fingerprints,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op8_zstd_warc": OP8_SQL,
+    "op9_multiset_fingerprints": fingerprint.SQL,
 }
