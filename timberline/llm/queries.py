@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, fingerprint, pack, shard, warc
+from timberline.llm import decontaminate, fingerprint, language, pack, shard, urls, warc
 from timberline.llm.cluster import materialize, table
 from timberline.shipping import ship
 
@@ -18,6 +18,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.train(docs.filter(part != 2), key=F.col("doc_id"))
+    found = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
@@ -78,6 +86,17 @@ def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op9(spark, sf_dir)
 
 
+#: The given host and path rules, as (verdict, rule).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a given rule judges are the labelled ones; what is mined from them judges the others."""
+    parts = urls.split(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+    mined = urls.mine(parts.select("tokens", F.col("ruled").alias("label")))
+    return urls.verdicts(parts, mined, keep=["page_id", "host", "path", "rule"])
+
+
 def _shipped(query):
     """The query, with this package on the executors."""
 
@@ -89,11 +108,13 @@ def _shipped(query):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_kd_tree_sharding": op7_kd_tree_sharding,
     "op8_zstd_warc": op8_zstd_warc,
     "op9_multiset_fingerprints": op9_multiset_fingerprints,
+    "op10_url_rules": op10_url_rules,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
