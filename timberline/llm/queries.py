@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, fingerprint, language, pack, shard, urls, warc
+from timberline.llm import decontaminate, fingerprint, language, pack, repeats, shard, urls, warc
 from timberline.llm.cluster import materialize, table
 from timberline.shipping import ship
 
@@ -57,6 +57,26 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_block_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.deduplicate(table(spark, sf_dir, "documents"), width=13, block=7)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS win FROM words, unnest(range(1, len(w) - 11)) AS r(i)),
+least_doc AS (SELECT win, min(doc_id) AS d FROM windows GROUP BY win),
+gone AS (
+    SELECT DISTINCT doc_id, j FROM windows AS v JOIN least_doc AS l USING (win), unnest(range(i, i + 13)) AS r(j) WHERE l.d < doc_id),
+kept AS (
+    SELECT doc_id, count(*) FILTER (g.j IS NOT NULL) AS n_removed, coalesce(string_agg(w[p.j], ' ' ORDER BY p.j) FILTER (g.j IS NULL), '') AS kept
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM words) AS p LEFT JOIN gone AS g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_tokens=1024, end_id=2, ids="crc32")
 
@@ -110,6 +130,7 @@ def _shipped(query):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_block_anchor_repeats": op5_block_anchor_repeats,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_kd_tree_sharding": op7_kd_tree_sharding,
     "op8_zstd_warc": op8_zstd_warc,
@@ -120,6 +141,7 @@ QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op5_block_anchor_repeats": OP5_SQL,
     "op8_zstd_warc": OP8_SQL,
     "op9_multiset_fingerprints": fingerprint.SQL,
 }
