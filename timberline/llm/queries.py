@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, fingerprint, language, pack, repeats, shard, urls, warc
+from timberline.llm import decontaminate, fingerprint, jaccard, language, pack, repeats, shard, urls, warc
 from timberline.llm.cluster import materialize, table
 from timberline.shipping import ship
 
@@ -26,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
@@ -129,6 +133,7 @@ def _shipped(query):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_block_anchor_repeats": op5_block_anchor_repeats,
     "op6_best_fit_packing": op6_best_fit_packing,
