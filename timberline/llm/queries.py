@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, fingerprint, jaccard, language, pack, repeats, shard, urls, warc
+from timberline.llm import decontaminate, fingerprint, jaccard, language, pack, pii, repeats, shard, urls, warc
 from timberline.llm.cluster import materialize, table
 from timberline.shipping import ship
 
@@ -26,6 +26,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: A key for tests and demonstrations; real ones come from a secret store and are passed to ``pii.pseudonymise``.
+DEMO_KEY = b"timberline demonstration key"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
@@ -133,6 +141,7 @@ def _shipped(query):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_block_anchor_repeats": op5_block_anchor_repeats,
