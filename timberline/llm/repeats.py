@@ -271,29 +271,39 @@ def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _pack([docs[part].tolist(), marks[part].tolist(), found], ["doc_id", "mark", "starts"], [pa.int64(), pa.int64(), pa.binary()])
 
 
-def _cut(width: int):
-    """Step 4."""
+def _join_runs(width: int):
+    """Step 4, first half: overlapping or touching runs become one, as pairs of begin and end."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column("text"), batch.column("starts")
+            found = []
+            for starts in batch.column("starts"):
+                at = np.unique(np.frombuffer(b"".join(x.as_py() for x in starts), np.uint32))
+                cut = np.flatnonzero(np.diff(at) > width)
+                found.append(np.column_stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + np.uint32(width)]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array(found, pa.binary())], names=["key", "mark", "runs"])
+
+    return merge
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4, second half."""
+    for batch in batches:
+        _, offs = K.buffers(batch.column("text"))
+        for lo, hi in K.row_slices(offs):
+            texts, runs = batch.column("text"), batch.column("runs")
             kept, n_words, n_removed = [], [], []
-            for i in range(batch.num_rows):
+            for i in range(lo, hi):
                 words = (texts[i].as_py() or "").encode().split()
                 n_words.append(len(words))
-                found = starts[i].as_py()
-                if found:
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.frombuffer(b"".join(found), np.uint32)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + width, -1)
-                    stay = np.cumsum(gone[:-1]) == 0
-                    words = [words[k] for k in np.flatnonzero(stay)]
+                at, stay = 0, []
+                for begin, end in np.frombuffer(runs[i].as_py() or b"", np.uint32).reshape(-1, 2).tolist():
+                    stay += words[at:begin]
+                    at = end
+                words = stay + words[at:] if at else words
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return cut
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, block: int = 7, bucket_bytes: int = 128 << 20, most_broadcast: int = 500_000) -> DataFrame:
@@ -317,7 +327,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # equal rows ask once
     with_hits = some.join(hits.withColumnRenamed("doc_id", "key").hint("shuffle_merge"), ["key", "mark"]).select("doc_id", "text", "mark", "hits")
     runs = dealt(with_hits.mapInArrow(_send_runs(block, width, buckets), _ROWS)).mapInArrow(_find_repeats, "doc_id bigint, mark bigint, starts binary")
-    repeats = materialize(runs.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("starts").alias("starts")), "repeats")
+    starts = runs.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("starts").alias("starts"))
+    repeats = materialize(starts.mapInArrow(_join_runs(width), "key bigint, mark bigint, runs binary"), "repeats")
     last = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
-    whole = keyed.join(last, ["key", "mark"], "left").select("doc_id", "text", "starts")
-    return whole.mapInArrow(_cut(width), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+    whole = keyed.join(last, ["key", "mark"], "left").select("doc_id", "text", "runs")
+    return whole.mapInArrow(_cut, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
