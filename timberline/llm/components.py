@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from timberline.llm.cluster import materialize
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: a node keeps its least neighbour v, which takes over the others."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    over = edges.join(least, "u").filter("v <> least").select(F.col("least").alias("u"), "v").distinct()
+    return least.select("u", F.col("least").alias("v")).union(over)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for every node of the edges (u, v)."""
     both = materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "edges")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import kernels as K
 from timberline.llm.cluster import broadcast_if, materialize
-from timberline.llm.components import components
+from timberline.llm.components import components, contract
 
 _U = np.uint64
 
@@ -231,7 +231,7 @@ def _verify(threshold: Fraction):
     return verify
 
 
-def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 192, block_nodes: int = 128, block_grams: int = 1 << 19, most_broadcast: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 192, block_nodes: int = 256, block_grams: int = 1 << 19, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, class_id (least doc_id of the connected class), copy_id (least doc_id of an equal set),
     n_copies (rows of that set) and n_links (other rows at the threshold or above) of each row."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
@@ -243,7 +243,10 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     # candidates: nodes that share a band hash, by a 64-bit name
     keys = nodes.select("small", F.explode("bands").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("small").alias("hub"), F.max("small").alias("most")).filter("hub <> most").drop("most"), "bands")
-    stars = keys.join(broadcast_if(shared, most_broadcast), "key").filter("small <> hub").select(F.col("small").alias("u"), F.col("hub").alias("v")).distinct()
+    # a node has at most as many hubs as bands: it keeps the least, which takes over the others
+    hubs = keys.join(broadcast_if(shared, most_broadcast), "key").filter("small <> hub").groupBy("small").agg(F.collect_set("hub").alias("hubs"))
+    hubs = materialize(hubs.select("small", F.array_min("hubs").alias("hub"), "hubs"), "hubs")
+    stars = hubs.select(F.col("small").alias("u"), F.col("hub").alias("v")).union(hubs.select(F.col("hub").alias("u"), F.explode("hubs").alias("v")).filter("u <> v").distinct())
     held = components(stars)
     member = nodes.join(broadcast_if(held.withColumnRenamed("node", "small"), most_broadcast), "small").select("label", "node", "copy_id", "copies", "n_grams")
     sizes = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks"))
@@ -258,7 +261,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_verify(Fraction(str(threshold))), "u binary, v binary, n bigint"), "links")
 
     counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
-    classes = components(found.filter("v is not null").select("u", "v"))
+    classes = components(contract(found.filter("v is not null").select("u", "v")))
     linked = classes.join(nodes.select("node", "copy_id"), "node").groupBy("label").agg(F.min("copy_id").alias("class_id")).join(classes, "label").select("node", "class_id")
     special = nodes.select("node", "copy_id", "copies").join(counts, "node", "left").join(linked, "node", "left").filter("copies > 1 or others is not null")
     last = broadcast_if(materialize(special, "classes"), most_broadcast)
