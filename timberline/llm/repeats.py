@@ -151,37 +151,98 @@ def _per_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple
         yield now, held
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ANSWERS = "part int, bucket int, docs binary, counts binary, payload binary"
+
+
+def _answers(bucket: int, docs: np.ndarray, marks: np.ndarray, payload: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's answers to documents, one row for each part of the documents."""
+    part = (K.mix((docs ^ marks).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    out: list[list] = [[], [], [], [], []]
+    for i, j in zip(edge, np.r_[edge[1:], len(order)], strict=True):
+        at = order[i:j]
+        mine = [payload[k] for k in at]
+        for to, x in zip(out, (int(part[at[0]]), bucket, np.concatenate([docs[at], marks[at]]).tobytes(), np.array([len(x) for x in mine], np.uint32).tobytes(), b"".join(mine)), strict=True):
+            to.append(x)
+    if out[0]:
+        yield _pack(out, ["part", "bucket", "docs", "counts", "payload"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+
+
+def _per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """doc_id, mark, bucket and payload of all answers of each part, of rows sorted by part."""
+    now, held = None, None
+
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        return np.concatenate(held[0]), np.concatenate(held[1]), np.concatenate(held[2]), held[3]
+
+    for batch in batches:
+        for part, bucket, docs, counts, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now:
+                if held:
+                    yield whole()
+                now, held = part, ([], [], [], [])
+            n = np.frombuffer(counts, np.uint32).tolist()
+            d, at = np.frombuffer(docs, np.int64), 0
+            held[0].append(d[: len(n)])
+            held[1].append(d[len(n) :])
+            held[2].append(np.full(len(n), bucket, np.int32))
+            for k in n:
+                held[3].append(payload[at : at + k])
+                at += k
+    if held:
+        yield whole()
+
+
+def _documents(docs: np.ndarray, marks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each document in an order by doc_id and mark."""
+    d, m = docs[order], marks[order]
+    begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
+    return begin, np.r_[begin[1:], len(order)]
+
+
+def _find_anchors(parts: int):
     """Step 2."""
-    for b, held in _per_bucket(batches, np.uint32):
-        known, sent, block = [], [], []
-        for bits, c in zip(held.bits, held.counts, strict=True):
-            n, step = int(c.sum()), -(-int(c.sum()) // 8)
-            raw = np.frombuffer(bits, np.uint8)
-            for i, to in enumerate((known, sent, block)):
-                to.append(np.unpackbits(raw[i * step : (i + 1) * step], count=n).astype(bool))
-        docs, marks, counts = (np.concatenate(x) for x in (held.docs, held.marks, held.counts))
-        anchor, sent, block = (np.concatenate(x) for x in (known, sent, block))
-        hashes = np.concatenate(held.hashes)
-        owner = np.repeat(np.arange(len(docs)), counts)[sent]
-        index = np.unique(hashes[block[sent]])
-        if len(index):
-            at = np.minimum(np.searchsorted(index, hashes), len(index) - 1)
-            hit = np.flatnonzero(index[at] == hashes)
-            at, doc = at[hit], docs[owner[hit]]
-            least, most = np.full(len(index), _LAST), np.full(len(index), np.iinfo(np.int64).min)
-            np.minimum.at(least, at, doc)
-            np.maximum.at(most, at, doc)
-            # a window that stands for several documents of its slice makes two of any other's one
-            shared = least != most
-            stands = anchor[sent][hit]
-            shared[at[stands]] = True
-            anchor[np.flatnonzero(sent)[hit[shared[at]]]] = True
-        begin = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-        some = np.flatnonzero(np.add.reduceat(anchor.astype(np.int64), begin[:-1]))
-        for k in range(0, len(some), 4096):
-            part = some[k : k + 4096]
-            yield _pack([docs[part].tolist(), marks[part].tolist(), [b] * len(part), [np.packbits(anchor[begin[i] : begin[i + 1]]).tobytes() for i in part]], ["doc_id", "mark", "bucket", "bits"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, held in _per_bucket(batches, np.uint32):
+            known, sent, block = [], [], []
+            for bits, c in zip(held.bits, held.counts, strict=True):
+                n, step = int(c.sum()), -(-int(c.sum()) // 8)
+                raw = np.frombuffer(bits, np.uint8)
+                for i, to in enumerate((known, sent, block)):
+                    to.append(np.unpackbits(raw[i * step : (i + 1) * step], count=n).astype(bool))
+            docs, marks, counts = (np.concatenate(x) for x in (held.docs, held.marks, held.counts))
+            anchor, sent, block = (np.concatenate(x) for x in (known, sent, block))
+            hashes = np.concatenate(held.hashes)
+            owner = np.repeat(np.arange(len(docs)), counts)[sent]
+            index = np.unique(hashes[block[sent]])
+            if len(index):
+                at = np.minimum(np.searchsorted(index, hashes), len(index) - 1)
+                hit = np.flatnonzero(index[at] == hashes)
+                at, doc = at[hit], docs[owner[hit]]
+                least, most = np.full(len(index), _LAST), np.full(len(index), np.iinfo(np.int64).min)
+                np.minimum.at(least, at, doc)
+                np.maximum.at(most, at, doc)
+                # a window that stands for several documents of its slice makes two of any other's one
+                shared = least != most
+                shared[at[anchor[sent][hit]]] = True
+                anchor[np.flatnonzero(sent)[hit[shared[at]]]] = True
+            begin = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+            some = np.flatnonzero(np.add.reduceat(anchor.astype(np.int64), begin[:-1]))
+            yield from _answers(b, docs[some], marks[some], [np.packbits(anchor[begin[i] : begin[i + 1]]).tobytes() for i in some], parts)
+
+    return find
+
+
+def _gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 2, end: a document's buckets and bit maps."""
+    for docs, marks, buckets, bits in _per_part(batches):
+        order = np.lexsort((buckets, marks, docs))
+        begin, end = _documents(docs, marks, order)
+        for k in range(0, len(begin), 4096):
+            b, e = begin[k : k + 4096], end[k : k + 4096]
+            yield _pack([docs[order[b]], marks[order[b]], [buckets[order[i:j]].tobytes() for i, j in zip(b, e, strict=True)], [b"".join(bits[x] for x in order[i:j]) for i, j in zip(b, e, strict=True)]], ["key", "mark", "buckets", "bits"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def _send_runs(n: int, width: int, n_buckets: int):
@@ -190,7 +251,7 @@ def _send_runs(n: int, width: int, n_buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = _ids(batch), batch.column("mark").to_numpy()
-            hits = batch.column("hits")
+            hits, maps = batch.column("buckets"), batch.column("bits")
             for buf, offs, lo, hi in _slices(batch):
                 h, row, place, at = _windows(buf, offs, n)
                 bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
@@ -200,10 +261,13 @@ def _send_runs(n: int, width: int, n_buckets: int):
                     mine = bucket[edge[r] : edge[r + 1]]
                     order = np.argsort(mine, kind="stable")
                     ends = mine[order]
-                    for x in hits[lo + r].as_py():
-                        a, z = np.searchsorted(ends, [x["bucket"], x["bucket"] + 1])
-                        bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=z - a)
-                        anchor[edge[r] + order[a:z][bits.astype(bool)]] = True
+                    bits, used = np.frombuffer(maps[lo + r].as_py(), np.uint8), 0
+                    for x in np.frombuffer(hits[lo + r].as_py(), np.int32):
+                        a, z = np.searchsorted(ends, [x, x + 1])
+                        step = -(-int(z - a) // 8)
+                        on = np.unpackbits(bits[used : used + step], count=z - a).astype(bool)
+                        used += step
+                        anchor[edge[r] + order[a:z][on]] = True
                 # runs of `width` words that hold an anchor
                 words = int(at[-1])
                 mark_at = np.zeros(words + 1, dtype=np.int64)
@@ -245,49 +309,54 @@ def _send_runs(n: int, width: int, n_buckets: int):
     return send
 
 
-def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_repeats(parts: int):
     """Step 3, second half: the starts of repeated runs by document."""
-    for _, held in _per_bucket(batches, np.uint64):
-        repeat, places = [], []
-        for bits, c in zip(held.bits, held.counts, strict=True):
-            n, step = int(c.sum()), -(-int(c.sum()) // 8)
-            raw = np.frombuffer(bits, np.uint8)
-            repeat.append(np.unpackbits(raw[:step], count=n).astype(bool))
-            places.append(raw[step:].copy().view(np.uint32))
-        docs, marks, counts = (np.concatenate(x) for x in (held.docs, held.marks, held.counts))
-        repeat, places, hashes = np.concatenate(repeat), np.concatenate(places), np.concatenate(held.hashes)
-        asked = np.flatnonzero(~repeat)
-        doc = docs[np.repeat(np.arange(len(docs)), counts)[asked]]
-        order, group = _groups(hashes)
-        if len(order):
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            least = np.minimum.reduceat(doc[order], first)
-            repeat[asked[order]] = doc[order] > least[group]
-        begin = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-        some = np.flatnonzero(np.add.reduceat(repeat.astype(np.int64), begin[:-1]))
-        for k in range(0, len(some), 4096):
-            part = some[k : k + 4096]
-            found = [places[begin[i] : begin[i + 1]][repeat[begin[i] : begin[i + 1]]].tobytes() for i in part]
-            yield _pack([docs[part].tolist(), marks[part].tolist(), found], ["doc_id", "mark", "starts"], [pa.int64(), pa.int64(), pa.binary()])
-
-
-def _join_runs(width: int):
-    """Step 4, first half: overlapping or touching runs become one, as pairs of begin and end."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for starts in batch.column("starts"):
-                at = np.unique(np.frombuffer(b"".join(x.as_py() for x in starts), np.uint32))
-                cut = np.flatnonzero(np.diff(at) > width)
-                found.append(np.column_stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + np.uint32(width)]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array(found, pa.binary())], names=["key", "mark", "runs"])
 
-    return merge
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, held in _per_bucket(batches, np.uint64):
+            repeat, places = [], []
+            for bits, c in zip(held.bits, held.counts, strict=True):
+                n, step = int(c.sum()), -(-int(c.sum()) // 8)
+                raw = np.frombuffer(bits, np.uint8)
+                repeat.append(np.unpackbits(raw[:step], count=n).astype(bool))
+                places.append(raw[step:].copy().view(np.uint32))
+            docs, marks, counts = (np.concatenate(x) for x in (held.docs, held.marks, held.counts))
+            repeat, places, hashes = np.concatenate(repeat), np.concatenate(places), np.concatenate(held.hashes)
+            asked = np.flatnonzero(~repeat)
+            doc = docs[np.repeat(np.arange(len(docs)), counts)[asked]]
+            order, group = _groups(hashes)
+            if len(order):
+                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                least = np.minimum.reduceat(doc[order], first)
+                repeat[asked[order]] = doc[order] > least[group]
+            begin = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+            some = np.flatnonzero(np.add.reduceat(repeat.astype(np.int64), begin[:-1]))
+            yield from _answers(b, docs[some], marks[some], [places[begin[i] : begin[i + 1]][repeat[begin[i] : begin[i + 1]]].tobytes() for i in some], parts)
+
+    return find
+
+
+def _gather_runs(width: int):
+    """Step 3, end: overlapping or touching runs of a document become one, as pairs of begin and end."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, marks, _, starts in _per_part(batches):
+            order = np.lexsort((marks, docs))
+            begin, end = _documents(docs, marks, order)
+            for k in range(0, len(begin), 4096):
+                b, e = begin[k : k + 4096], end[k : k + 4096]
+                runs = []
+                for i, j in zip(b, e, strict=True):
+                    at = np.unique(np.frombuffer(b"".join(starts[x] for x in order[i:j]), np.uint32))
+                    cut = np.flatnonzero(np.diff(at) > width)
+                    runs.append(np.column_stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + np.uint32(width)]).astype(np.uint32).tobytes())
+                yield _pack([docs[order[b]], marks[order[b]], runs], ["key", "mark", "runs"], [pa.int64(), pa.int64(), pa.binary()])
+
+    return gather
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4, second half."""
+    """Step 4."""
     for batch in batches:
         _, offs = K.buffers(batch.column("text"))
         for lo, hi in K.row_slices(offs):
@@ -315,20 +384,19 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartition(buckets, by).sortWithinPartitions(by)
 
-    found = dealt(base.mapInArrow(_send_probes(block, buckets), _ROWS)).mapInArrow(_find_anchors, "doc_id bigint, mark bigint, bucket int, bits binary")
-    hits = materialize(found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits")), "anchors")
+    def answered(rows: DataFrame, find, gather, kind: str) -> DataFrame:
+        found = dealt(rows, "bucket").mapInArrow(find, _ANSWERS)
+        return materialize(dealt(found, "part").mapInArrow(gather, kind), "repeats")
 
+    hits = answered(base.mapInArrow(_send_probes(block, buckets), _ROWS), _find_anchors(buckets), _gather_anchors, "key bigint, mark bigint, buckets binary, bits binary")
     keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST))))
-    names = hits.select(F.col("doc_id").alias("key"), "mark")
+    names = hits.select("key", "mark")
     some = keyed.join(F.broadcast(names), ["key", "mark"], "left_semi") if hits.count() <= most_broadcast else keyed
-    # equal rows ask once
-    with_hits = some.join(hits.withColumnRenamed("doc_id", "key").hint("shuffle_merge"), ["key", "mark"]).select("doc_id", "text", "mark", "hits")
-    runs = dealt(with_hits.mapInArrow(_send_runs(block, width, buckets), _ROWS)).mapInArrow(_find_repeats, "doc_id bigint, mark bigint, starts binary")
-    starts = runs.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("starts").alias("starts"))
-    repeats = materialize(starts.mapInArrow(_join_runs(width), "key bigint, mark bigint, runs binary"), "repeats")
+    with_hits = some.join(hits.hint("shuffle_merge"), ["key", "mark"]).select("doc_id", "text", "mark", "buckets", "bits")
+    repeats = answered(with_hits.mapInArrow(_send_runs(block, width, buckets), _ROWS), _find_repeats(buckets), _gather_runs(width), "key bigint, mark bigint, runs binary")
     last = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
     whole = keyed.join(last, ["key", "mark"], "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(_cut, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
