@@ -1,4 +1,742 @@
-"""Registered queries of the log engine and their SQL."""
+"""Registered queries of the log engine over the test tables, and their SQL.
+
+Streams: lines of ``documents`` (stream = source, offset = doc_id * 2^20 + line), nginx, syslog and
+json lines rendered from ``events``, and ``events`` itself (template = event_type).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from timberline.functions import fnv, masking, scratch
+from timberline.functions.formats import SQL_TEXT_LINES, event_lines, sql_event_lines, table, text_lines
+from timberline.operators import corpus, enrich, insights, mining, redact
+from timberline.plans import ingest, lql
+from timberline.shipping import ship
+from timberline.sources import segments
+from timberline.streaming import mine as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+_US, _RS = "\x1f", "\x1e"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+# ---- lines, tokens, masks
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_lines(table(spark, sf_dir, "documents"))
+
+
+def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked lines of the documents that the fast path of mining takes (its domain, not a sample)."""
+    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
+    return rows.filter((F.size("masked") > 0) & mining.Params().fast(F.size("masked")))
+
+
+_PARSED = f"SELECT stream_id, source_offset, raw, {masking.sql_status('raw')} AS parse_status, {masking.sql_tokens('raw')} AS tokens FROM ({SQL_TEXT_LINES})"
+_MASKED = f"SELECT stream_id, source_offset, raw, tokens, {masking.sql_masked('tokens')} AS masked FROM ({_PARSED})"
+_SHORT = f"SELECT stream_id, source_offset, masked FROM ({_MASKED}) WHERE len(masked) BETWEEN 1 AND 8"
+
+
+@query("tokenize_documents", f"SELECT stream_id, source_offset, parse_status, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, chr(31)) AS tokens FROM ({_PARSED})")
+def tokenize_documents(spark, sf_dir):
+    t = masking.tokens(F.col("raw"))
+    return lines(spark, sf_dir).select("stream_id", "source_offset", masking.parse_status(F.col("raw")).alias("parse_status"), F.size(t).alias("n_tokens"), F.array_join(t, _US).alias("tokens"))
+
+
+_PAGES = SQL_TEXT_LINES.replace("source, doc_id, str_split(text", "'pages' AS source, page_id AS doc_id, str_split(html").replace("FROM documents", "FROM pages")
+
+
+@query("mask_pages", f"SELECT stream_id, source_offset, array_to_string({masking.sql_masked('tokens')}, ' ') AS pattern FROM (SELECT stream_id, source_offset, {masking.sql_tokens('raw')} AS tokens FROM ({_PAGES}))")
+def mask_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("source", F.lit("pages"))
+    return text_lines(pages, key="page_id", text="html").select("stream_id", "source_offset", masking.pattern(masking.masked(masking.tokens(F.col("raw")))).alias("pattern"))
+
+
+@query("mask_documents", f"SELECT stream_id, source_offset, array_to_string(masked, ' ') AS pattern FROM ({_MASKED})")
+def mask_documents(spark, sf_dir):
+    return lines(spark, sf_dir).select("stream_id", "source_offset", masking.pattern(masking.masked(masking.tokens(F.col("raw")))).alias("pattern"))
+
+
+@query("pattern_topk", f"SELECT array_to_string(masked, ' ') AS pattern, count(*) AS n FROM ({_MASKED}) WHERE len(masked) > 0 GROUP BY 1 ORDER BY n DESC, pattern LIMIT 100")
+def pattern_topk(spark, sf_dir):
+    rows = mask_documents(spark, sf_dir).filter("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "pattern").limit(100)
+
+
+for _kind in ("nginx", "syslog", "json"):
+
+    @query(f"mask_{_kind}", f"SELECT source_offset, array_to_string({masking.sql_masked('tokens')}, ' ') AS pattern FROM (SELECT source_offset, {masking.sql_tokens('raw')} AS tokens FROM ({sql_event_lines(_kind)}))")
+    def mask_events(spark, sf_dir, kind=_kind):
+        return event_lines(table(spark, sf_dir, "events"), kind).select("source_offset", masking.pattern(masking.masked(masking.tokens(F.col("raw")))).alias("pattern"))
+
+
+def _sql_captures(t: str) -> str:
+    inner, m = f"substr({t}, 2, length({t}) - 2)", masking.sql_mask(t)
+    mt = lambda p: f"regexp_matches({t}, '{p}')"
+    path = f"substr({inner}, length(split_part({inner}, ' ', 1)) + 2, length({inner}) - length(split_part({inner}, ' ', 1)) - 1 - length(list_extract(str_split({inner}, ' HTTP/'), -1)) - 6)"
+    return (
+        f"CASE WHEN {m} = {t} THEN '' WHEN {mt(masking._full(masking.PRI))} THEN '<NUM>=' || regexp_extract({t}, '^<[0-9]*>') "
+        f"WHEN {mt(masking._full(masking.IP + ':[0-9]+'))} THEN '<IP>=' || split_part({t}, ':', 1) || chr(31) || '<NUM>=' || split_part({t}, ':', 2) "
+        f"WHEN starts_with({t}, '\"') AND {m} LIKE '\"% <PATH> HTTP/%' THEN '<PATH>=' || {path} WHEN {m} = '\"<UUID>\"' THEN '<UUID>=' || {inner} WHEN {m} = '\"<HEX>\"' THEN '<HEX>=' || {inner} ELSE {m} || '=' || {t} END"
+    )
+
+
+def _captures(rows: DataFrame) -> DataFrame:
+    c = masking.captures(masking.tokens(F.col("raw")))
+    return rows.select("stream_id", "source_offset", F.array_join(F.transform(c, lambda x: F.concat(x["placeholder"], F.lit("="), x["value"])), _US).alias("captures"))
+
+
+def _captures_sql(source: str) -> str:
+    return f"SELECT stream_id, source_offset, array_to_string(list_filter(list_transform(tokens, lambda t: {_sql_captures('t')}), lambda x: x <> ''), chr(31)) AS captures FROM (SELECT stream_id, source_offset, {masking.sql_tokens('raw')} AS tokens FROM ({source}))"
+
+
+@query("captures_documents", _captures_sql(SQL_TEXT_LINES))
+def captures_documents(spark, sf_dir):
+    return _captures(lines(spark, sf_dir))
+
+
+@query("captures_nginx", _captures_sql(sql_event_lines("nginx")))
+def captures_nginx(spark, sf_dir):
+    return _captures(event_lines(table(spark, sf_dir, "events"), "nginx"))
+
+
+@query("rich_masks_documents")
+def rich_masks_documents(spark, sf_dir):
+    """With URLs, addresses and quoted text masked too."""
+    t = masking.masked(masking.tokens(F.col("raw")), masking.rich_dictionary())
+    return lines(spark, sf_dir).select("stream_id", "source_offset", masking.pattern(t).alias("pattern"))
+
+
+_BENCH = "SELECT item_id * 1000 + i AS k, array_to_string(masked, chr(30)) AS s FROM (SELECT item_id, i, " + masking.sql_masked("tokens") + " AS masked FROM (SELECT item_id, i, " + masking.sql_tokens("l[i]") + " AS tokens FROM (SELECT item_id, str_split(text, chr(10)) AS l FROM benchmark) AS b, unnest(range(1, len(l) + 1)) AS r(i)))"
+
+
+@query("fingerprint_benchmark", fnv.sql_fnv(f"({_BENCH})", "k", "s"))
+def fingerprint_benchmark(spark, sf_dir):
+    """In built-in expressions."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    return rows.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("k"), fnv.fnv_hex(F.array_join(masking.masked(masking.tokens(F.col("raw"))), _RS)).alias("fnv"))
+
+
+@query("fingerprint_benchmark_arrow", fnv.sql_fnv(f"({_BENCH})", "k", "s"))
+def fingerprint_benchmark_arrow(spark, sf_dir):
+    """By the vectorised path."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    return rows.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("k"), F.lower(F.lpad(F.hex(fnv.fingerprint(masking.masked(masking.tokens(F.col("raw"))))), 16, "0")).alias("fnv"))
+
+
+@query("template_set_hash", fnv.sql_fnv(f"(SELECT 1 AS k, string_agg(pattern || chr(10), '' ORDER BY pattern) AS s FROM (SELECT DISTINCT pattern FROM ({ORACLE_SQL['mask_syslog']})))", "k", "s"))
+def template_set_hash(spark, sf_dir):
+    """Of the distinct patterns of the syslog lines: a registry's size, not the lines'."""
+    patterns = mask_events(spark, sf_dir, "syslog").select("pattern").distinct()
+    one = patterns.groupBy(F.lit(1).alias("k")).agg(F.array_sort(F.collect_set("pattern")).alias("p"))
+    return one.select("k", fnv.fnv_hex(F.array_join(F.transform("p", lambda x: F.concat(x, F.lit("\n"))), "")).alias("fnv"))
+
+
+@query("routing_keys", f"SELECT stream_id, CAST(len(masked) AS INTEGER) AS n_tokens, array_to_string(masked[1:4], ' ') AS prefix, count(*) AS n FROM ({_MASKED}) GROUP BY ALL")
+def routing_keys(spark, sf_dir):
+    m = masking.masked(masking.tokens(F.col("raw")))
+    rows = lines(spark, sf_dir).select("stream_id", mining.routing_key(m).alias("r"))
+    return rows.groupBy("stream_id", F.col("r.n").alias("n_tokens"), F.array_join("r.prefix", " ").alias("prefix")).agg(F.count("*").alias("n"))
+
+
+# ---- mining
+
+_WIN = "PARTITION BY stream_id, len(masked), masked[1:4] ORDER BY source_offset"
+_TAIL = [f"CASE WHEN len(masked) >= {j} THEN CASE WHEN min(masked[{j}]) OVER w <> max(masked[{j}]) OVER w THEN '<*>' ELSE masked[{j}] END END" for j in range(5, 9)]
+_MINED = f"""
+SELECT stream_id, source_offset, masked, created, seen, pattern, 1 + sum(CASE WHEN was <> wide THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, created ORDER BY source_offset) AS version
+FROM (SELECT *, lag(wide) OVER (PARTITION BY stream_id, created ORDER BY source_offset) AS was FROM (
+    SELECT stream_id, source_offset, masked, first_value(source_offset) OVER w AS created, row_number() OVER w AS seen,
+           array_to_string(list_concat(masked[1:4], list_filter([{', '.join(_TAIL)}], lambda x: x IS NOT NULL)), ' ') AS pattern,
+           concat_ws(',', {', '.join(f"CASE WHEN len(masked) >= {j} AND min(masked[{j}]) OVER w <> max(masked[{j}]) OVER w THEN '1' ELSE '0' END" for j in range(5, 9))}) AS wide
+    FROM ({_SHORT}) WINDOW w AS ({_WIN})))"""
+_NUMBERED = f"SELECT m.stream_id, source_offset, masked, template_id, pattern, CAST(version AS INTEGER) AS version, seen FROM ({_MINED}) AS m JOIN (SELECT stream_id, created, row_number() OVER (PARTITION BY stream_id ORDER BY created) - 1 AS template_id FROM ({_MINED}) WHERE created = source_offset) AS i ON m.stream_id = i.stream_id AND m.created = i.created"
+
+
+def _short_mined(spark, sf_dir) -> DataFrame:
+    return mining.mine_online(short_lines(spark, sf_dir))
+
+
+@query("mine_short_online", f"SELECT stream_id, source_offset, template_id, pattern, version, seen FROM ({_NUMBERED})")
+def mine_short_online(spark, sf_dir):
+    return _short_mined(spark, sf_dir).drop("masked")
+
+
+@query("mine_documents_online")
+def mine_documents_online(spark, sf_dir):
+    """All lines, by both paths; tested against a sequential simulator."""
+    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
+    return mining.mine_online(rows).drop("masked")
+
+
+_REGISTRY = f"""
+SELECT stream_id, template_id, arg_max(pattern, source_offset) AS pattern, arg_max(version, source_offset) AS version, count(*) AS occurrence_count,
+       min(source_offset) AS first_seen, max(source_offset) AS last_seen, CASE WHEN count(*) >= 5 THEN 'stable' ELSE 'emerging' END AS state
+FROM ({_NUMBERED}) GROUP BY stream_id, template_id"""
+
+
+@query("template_registry", _REGISTRY)
+def template_registry(spark, sf_dir):
+    return mining.registry(_short_mined(spark, sf_dir))
+
+
+@query("promote_stable", f"SELECT stream_id, state, count(*) AS n FROM ({_REGISTRY}) GROUP BY ALL")
+def promote_stable(spark, sf_dir):
+    return template_registry(spark, sf_dir).groupBy("stream_id", "state").agg(F.count("*").alias("n"))
+
+
+@query("evict_cold", f"SELECT stream_id, template_id, CASE WHEN row_number() OVER (PARTITION BY stream_id ORDER BY occurrence_count, last_seen, template_id) <= count(*) OVER (PARTITION BY stream_id) - 20 THEN 'cold' ELSE state END AS state FROM ({_REGISTRY})")
+def evict_cold(spark, sf_dir):
+    return mining.evict(template_registry(spark, sf_dir), 20).select("stream_id", "template_id", "state")
+
+
+@query(
+    "template_lifecycle",
+    f"""SELECT t.stream_id, t.template_id, CASE WHEN last_seen < 500 * 1048576 THEN 'retired' WHEN state = 'stable' AND widened_at > 700 * 1048576 THEN 'evolving' ELSE state END AS state
+FROM ({_REGISTRY}) AS t LEFT JOIN (SELECT stream_id, template_id, max(a) AS widened_at FROM (SELECT stream_id, template_id, version, min(source_offset) AS a FROM ({_NUMBERED}) WHERE version > 1 GROUP BY ALL) GROUP BY ALL) AS w
+ON t.stream_id = w.stream_id AND t.template_id = w.template_id""",
+)
+def template_lifecycle(spark, sf_dir):
+    mined = _short_mined(spark, sf_dir)
+    unit = 1 << 20
+    return mining.lifecycle(mining.registry(mined), mined, now=1000 * unit, retention=500 * unit, recent=300 * unit).select("stream_id", "template_id", "state")
+
+
+@query(
+    "resolve_fingerprints",
+    f"""SELECT f.stream_id, f.template_id, fingerprint, events, pattern FROM
+(SELECT stream_id, array_to_string(masked, chr(30)) AS fingerprint, arg_max(template_id, source_offset) AS template_id, count(*) AS events FROM ({_NUMBERED}) GROUP BY 1, 2) AS f
+JOIN (SELECT stream_id, template_id, pattern FROM ({_REGISTRY})) AS t ON f.stream_id = t.stream_id AND f.template_id = t.template_id""",
+)
+def resolve_fingerprints(spark, sf_dir):
+    """By the fingerprinted text itself, so that SQL can follow."""
+    mined = _short_mined(spark, sf_dir).withColumn("fingerprint", F.array_join("masked", _RS))
+    return mining.resolve_fingerprints(mined, mining.registry(mined))
+
+
+@query(
+    "merge_candidates",
+    f"""WITH t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM ({_REGISTRY})),
+e AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position, array_to_string(toks[1 : i - 1], ' ') || chr(0) || array_to_string(toks[i + 1 :], ' ') AS k, len(toks) AS n FROM t, unnest(range(1, len(toks) + 1)) AS r(i)),
+s AS (SELECT *, first_value(template_id) OVER w AS survivor, first_value(version) OVER w AS sv FROM e WINDOW w AS (PARTITION BY stream_id, position, n, k ORDER BY occurrence_count DESC, template_id))
+SELECT stream_id, template_id, survivor, CAST(position AS INTEGER) AS position, sv + 1 AS version FROM (
+    SELECT *, row_number() OVER (PARTITION BY stream_id, template_id ORDER BY survivor, position) AS rn FROM s WHERE survivor <> template_id) WHERE rn = 1""",
+)
+def merge_candidates(spark, sf_dir):
+    return mining.merge_candidates(template_registry(spark, sf_dir))
+
+
+@query(
+    "split_candidates",
+    f"""WITH t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM ({_REGISTRY}) WHERE occurrence_count >= 10),
+p AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position FROM t, unnest(range(1, len(toks) + 1)) AS r(i) WHERE toks[i] = '<*>'),
+v AS (SELECT p.stream_id, p.template_id, position, p.occurrence_count, p.version, masked[position + 1] AS v, count(*) AS n FROM ({_NUMBERED}) AS m JOIN p ON m.stream_id = p.stream_id AND m.template_id = p.template_id GROUP BY ALL)
+SELECT stream_id, template_id, CAST(position AS INTEGER) AS position, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS covered, string_agg(v, '|' ORDER BY v) AS constants, version + 1 AS version
+FROM v WHERE n >= 0.2 * occurrence_count GROUP BY stream_id, template_id, position, version HAVING count(*) BETWEEN 2 AND 4""",
+)
+def split_candidates(spark, sf_dir):
+    mined = _short_mined(spark, sf_dir)
+    return mining.split_candidates(mined, mining.registry(mined))
+
+
+# ---- redaction and enrichment
+
+
+@query("redact_documents", f"SELECT stream_id, source_offset, {redact.sql_redact('raw')} AS raw FROM ({SQL_TEXT_LINES})")
+def redact_documents(spark, sf_dir):
+    return lines(spark, sf_dir).withColumn("raw", redact.redact(F.col("raw")))
+
+
+@query("redact_counts", " UNION ALL ".join(f"SELECT '{n}' AS class, CAST(coalesce(sum({c}), 0) AS BIGINT) AS n FROM ({SQL_TEXT_LINES})" for n, c in redact.sql_counts("raw").items()))
+def redact_counts(spark, sf_dir):
+    return redact.totals(lines(spark, sf_dir))
+
+
+def _case(table_: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {k if isinstance(k, int) else repr(k)} THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+def _rank(name: str) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(enrich.LEVELS)) + " END"
+
+
+_SYS = _case(enrich.SYSLOG, "TRY_CAST(nullif(regexp_extract(raw, '^<([0-9]{1,3})>', 1), '') AS INTEGER) % 8")
+_JSON = _case(enrich.APP, "lower(trim(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.level')))")
+_TXT = _case(enrich.MARKERS, f"regexp_extract(raw, '{enrich._MARKER}', 1)")
+
+
+def _severity_sql(source: str, structured: str, pattern: str = _TXT) -> str:
+    return f"SELECT stream_id, source_offset, ts, event_type, raw, coalesce({structured}, {pattern}) AS severity, CASE WHEN ({structured}) IS NOT NULL THEN 'structured' WHEN ({pattern}) IS NOT NULL THEN 'pattern' ELSE 'default' END AS severity_source FROM ({source})"
+
+
+def _with_severity(rows: DataFrame, structured, pattern=None) -> DataFrame:
+    text = enrich.text_level(F.col("raw")) if pattern is None else pattern
+    return rows.withColumns({"__s": structured, "__p": text}).withColumns(enrich.severity(F.col("__s"), F.col("__p"))).drop("__s", "__p")
+
+
+def _syslog(spark, sf_dir) -> DataFrame:
+    return _with_severity(event_lines(table(spark, sf_dir, "events"), "syslog"), enrich.syslog_level(F.col("raw")))
+
+
+def _json(spark, sf_dir) -> DataFrame:
+    return _with_severity(event_lines(table(spark, sf_dir, "events"), "json"), enrich.json_level(F.col("raw")))
+
+
+_SYSLOG_SEVERITY = _severity_sql(sql_event_lines("syslog"), _SYS)
+_JSON_SEVERITY = _severity_sql(sql_event_lines("json"), _JSON)
+
+
+@query("severity_syslog", f"SELECT source_offset, severity, severity_source FROM ({_SYSLOG_SEVERITY})")
+def severity_syslog(spark, sf_dir):
+    return _syslog(spark, sf_dir).select("source_offset", "severity", "severity_source")
+
+
+@query("severity_json", f"SELECT source_offset, severity, severity_source FROM ({_JSON_SEVERITY})")
+def severity_json(spark, sf_dir):
+    return _json(spark, sf_dir).select("source_offset", "severity", "severity_source")
+
+
+@query("severity_http_status", f"SELECT source_offset, CASE WHEN s BETWEEN 200 AND 399 THEN 'info' WHEN s BETWEEN 400 AND 499 THEN 'warn' WHEN s BETWEEN 500 AND 599 THEN 'error' END AS severity FROM (SELECT source_offset, TRY_CAST(regexp_extract(raw, '\" ([0-9]{{3}}) ', 1) AS INTEGER) AS s FROM ({sql_event_lines('nginx')}))")
+def severity_http_status(spark, sf_dir):
+    """The optional ruleset for access logs."""
+    return event_lines(table(spark, sf_dir, "events"), "nginx").select("source_offset", enrich.http_status_level(F.col("raw")).alias("severity"))
+
+
+@query("severity_text_documents", f"SELECT stream_id, source_offset, {_TXT} AS severity FROM ({SQL_TEXT_LINES})")
+def severity_text_documents(spark, sf_dir):
+    return lines(spark, sf_dir).select("stream_id", "source_offset", enrich.text_level(F.col("raw")).alias("severity"))
+
+
+@query("severity_journald", f"SELECT event_id, {_case(enrich.JOURNALD, '(event_id % 9)')} AS severity FROM events")
+def severity_journald(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", enrich.journald_level((F.col("event_id") % 9).cast("string")).alias("severity"))
+
+
+@query("error_bearing", f"SELECT event_type, count(*) AS n, count(*) FILTER (severity_source IN ('structured', 'pattern') AND {_rank('severity')} >= 4) AS errors FROM ({_SYSLOG_SEVERITY}) GROUP BY event_type")
+def error_bearing(spark, sf_dir):
+    rows = _syslog(spark, sf_dir)
+    bearing = enrich.error_bearing(F.col("severity"), F.col("severity_source"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(bearing.cast("bigint")).alias("errors"))
+
+
+@query("severity_accuracy", f"SELECT severity_source, count(*) AS n, round(avg(CASE WHEN severity IS NOT DISTINCT FROM CASE source_offset % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_JSON_SEVERITY}) GROUP BY 1")
+def severity_accuracy(spark, sf_dir):
+    level = F.element_at(F.array(F.lit("info"), F.lit("warn"), F.lit("error"), F.lit(None)), (F.col("event_id") % 4).cast("int") + 1)
+    labels = table(spark, sf_dir, "events").select(F.col("event_id").alias("source_offset"), level.alias("severity"))
+    return enrich.severity_accuracy(_json(spark, sf_dir), labels, ["source_offset"])
+
+
+@query("timestamps_nginx", f"SELECT source_offset, date_trunc('second', ts) AS event_time, 'explicit' AS tz_source, 's' AS resolution FROM ({sql_event_lines('nginx')})")
+def timestamps_nginx(spark, sf_dir):
+    rows = event_lines(table(spark, sf_dir, "events"), "nginx").withColumns(enrich.event_time(F.col("raw")))
+    return rows.select("source_offset", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "tz_source", "resolution")
+
+
+@query("timestamps_syslog", f"SELECT source_offset, date_trunc('millisecond', ts) AS event_time, 'explicit' AS tz_source, 'ms' AS resolution FROM ({sql_event_lines('syslog')})")
+def timestamps_syslog(spark, sf_dir):
+    rows = event_lines(table(spark, sf_dir, "events"), "syslog").withColumns(enrich.event_time(F.col("raw")))
+    return rows.select("source_offset", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "tz_source", "resolution")
+
+
+@query("timestamps_stream_default", "SELECT event_id, date_trunc('second', ts) - INTERVAL 3 HOUR AS event_time, 'stream_default' AS tz_source, 's' AS resolution FROM events")
+def timestamps_stream_default(spark, sf_dir):
+    """Lines without a zone in a stream of three hours before UTC."""
+    rows = table(spark, sf_dir, "events").withColumn("raw", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "event_type"))
+    return rows.withColumns(enrich.event_time(F.col("raw"), default_zone="+03:00")).select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "tz_source", "resolution")
+
+
+@query("attributes_json", f"SELECT source_offset, 'level=' || json_extract_string(raw, '$.level') || chr(31) || 'msg=' || json_extract_string(raw, '$.msg') || chr(31) || 'user_id=' || json_extract_string(raw, '$.user_id') || chr(31) || 'id=' || json_extract_string(raw, '$.id') AS attributes FROM ({sql_event_lines('json')})")
+def attributes_json(spark, sf_dir):
+    a = enrich.json_attributes(F.col("raw"))
+    return event_lines(table(spark, sf_dir, "events"), "json").select("source_offset", F.array_join(F.transform(a, lambda x: F.concat(x["key"], F.lit("="), x["value"])), _US).alias("attributes"))
+
+
+@query("attributes_logfmt", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority AS priority, o_orderstatus AS status, 3 AS n FROM orders")
+def attributes_logfmt(spark, sf_dir):
+    raw = F.concat(F.lit("customer="), F.col("o_custkey").cast("string"), F.lit(' priority="'), "o_orderpriority", F.lit('" status='), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").withColumn("a", enrich.logfmt_attributes(raw))
+    return rows.select("o_orderkey", *(enrich.attribute(F.col("a"), k).alias(k) for k in ("customer", "priority", "status")), F.size("a").alias("n"))
+
+
+_EVENTS = "SELECT 'u' || user_id AS stream_id, event_id AS source_offset, ts AS time, ts AS event_time, event_type, value, props FROM events"
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_id"), F.col("event_id").alias("source_offset"), F.col("ts").alias("time"), F.col("ts").alias("event_time"), "event_type", "value", "props")
+
+
+@query(
+    "lateness",
+    f"""SELECT source_offset, watermark, CASE WHEN watermark IS NULL OR time >= watermark THEN 'on_time' WHEN epoch_us(watermark) - epoch_us(time) <= 600000000 THEN 'late' ELSE 'very_late' END AS lateness
+FROM (SELECT source_offset, time, max(time) OVER (PARTITION BY stream_id ORDER BY source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM ({_EVENTS}))""",
+)
+def lateness(spark, sf_dir):
+    return enrich.lateness(_events(spark, sf_dir)).select("source_offset", "watermark", "lateness")
+
+
+@query("merged_order", f"SELECT stream_id, source_offset, time, row_number() OVER (PARTITION BY date_trunc('day', time) ORDER BY time, stream_id, source_offset) AS place FROM ({_EVENTS})")
+def merged_order(spark, sf_dir):
+    """Places within each day, so that the order is dealt out."""
+    rows = _events(spark, sf_dir).withColumn("ingestion_time", F.col("time"))
+    order = Window.partitionBy(F.date_trunc("day", "time")).orderBy(enrich.order_time(), "stream_id", "source_offset")
+    return rows.select("stream_id", "source_offset", "time", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+# ---- queries
+
+_LOG = f"SELECT s.*, ts AS time, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS template_id FROM ({_SYSLOG_SEVERITY}) AS s"
+
+
+def log(spark, sf_dir) -> DataFrame:
+    """Syslog events ready for LQL."""
+    rows = _syslog(spark, sf_dir).withColumn("time", F.col("ts"))
+    fields = F.array(F.struct(F.lit("type").alias("key"), F.col("event_type").alias("value")), F.struct(F.lit("user").alias("key"), F.regexp_extract("raw", "user ([0-9]+)", 1).alias("value")))
+    return rows.withColumns({"template_id": F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3).cast("bigint"), "attributes": fields})
+
+
+_FILTERS = {
+    "lql_filter_text": ("text contains \"failed\" and severity >= warn", "contains(raw, 'failed') AND " + _rank("severity") + " >= 4"),
+    "lql_filter_matches": ("text matches \"user 1[0-9] \" or template_id = 1", "regexp_matches(raw, 'user 1[0-9] ') OR template_id = 1"),
+    "lql_not_unknown": ("not severity >= error", f"NOT coalesce({_rank('severity')} >= 5, false)"),
+    "lql_severity_in": ("severity in (info, fatal) and not text contains \"ERROR\"", "coalesce(severity IN ('info', 'fatal'), false) AND NOT coalesce(contains(raw, 'ERROR'), false)"),
+    "lql_window": ("severity >= info during [2024-01-05T00:00:00, 2024-01-07T12:00:00]", _rank("severity") + " >= 2 AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-07 12:00:00'"),
+    "lql_attribute": ("attr.type = click and attr.user > 40 and time < \"2024-01-10\"", "event_type = 'click' AND TRY_CAST(regexp_extract(raw, 'user ([0-9]+)', 1) AS DOUBLE) > 40 AND time < TIMESTAMP '2024-01-10'"),
+    "lql_stream": ("stream = syslog and (template_id in (1, 2) or severity = fatal)", "stream_id = 'syslog' AND (template_id IN (1, 2) OR severity = 'fatal')"),
+}
+for _name, (_lql, _where) in _FILTERS.items():
+
+    @query(_name, f"SELECT source_offset, severity, raw FROM ({_LOG}) WHERE {_where}")
+    def lql_filter(spark, sf_dir, source=_lql):
+        return lql.run(log(spark, sf_dir), source).select("source_offset", "severity", "raw")
+
+
+def _click_events(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("attributes", F.array(F.struct(F.lit("type").alias("key"), F.col("event_type").alias("value"))))
+
+
+_TYPES = "SELECT stream_id, source_offset, time, event_type FROM (" + _EVENTS + ")"
+
+
+@query(
+    "lql_sequence",
+    f"""SELECT source_offset, time, previous_offset, previous_time FROM (
+SELECT source_offset, time, event_type, last_value(CASE WHEN event_type = 'click' THEN source_offset END IGNORE NULLS) OVER w AS previous_offset,
+       last_value(CASE WHEN event_type = 'click' THEN time END IGNORE NULLS) OVER w AS previous_time
+FROM ({_TYPES}) WINDOW w AS (PARTITION BY stream_id ORDER BY time, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE event_type = 'purchase' AND previous_time IS NOT NULL AND epoch_us(time) - epoch_us(previous_time) <= 21600000000""",
+)
+def lql_sequence(spark, sf_dir):
+    return lql.run(_click_events(spark, sf_dir), "attr.type = click then attr.type = purchase within 6h").select("source_offset", "time", "previous_offset", "previous_time")
+
+
+@query(
+    "lql_sequence_three",
+    f"""WITH a AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN time END IGNORE NULLS) OVER w AS t0 FROM ({_TYPES}) WINDOW w AS (PARTITION BY stream_id ORDER BY time, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, CASE WHEN event_type = 'click' AND epoch_us(time) - epoch_us(t0) <= 86400000000 THEN time END AS m1 FROM a),
+c AS (SELECT *, last_value(m1 IGNORE NULLS) OVER w AS t1 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY time, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source_offset, time, t1 AS previous_time FROM c WHERE event_type = 'purchase' AND epoch_us(time) - epoch_us(t1) <= 86400000000""",
+)
+def lql_sequence_three(spark, sf_dir):
+    return lql.run(_click_events(spark, sf_dir), "attr.type = view then attr.type = click then attr.type = purchase within 1d").select("source_offset", "time", "previous_time")
+
+
+@query(
+    "lql_correlate",
+    f"""WITH e AS (SELECT stream_id, source_offset, time, event_type FROM ({_TYPES}) WHERE event_type IN ('error', 'purchase')),
+g AS (SELECT *, CASE WHEN lag(time) OVER w IS NULL OR epoch_us(time) - epoch_us(lag(time) OVER w) > 3600000000 THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY stream_id ORDER BY time, source_offset)),
+h AS (SELECT *, sum(o) OVER (PARTITION BY stream_id ORDER BY time, source_offset) AS grp FROM g)
+SELECT source_offset, stream_id AS correlation_key, CAST(grp AS BIGINT) AS correlation_group FROM h
+WHERE (stream_id, grp) IN (SELECT (stream_id, grp) FROM h GROUP BY stream_id, grp HAVING count(DISTINCT event_type) = 2)""",
+)
+def lql_correlate(spark, sf_dir):
+    return lql.run(_click_events(spark, sf_dir), "correlate by stream (attr.type = error, attr.type = purchase) within 1h").select("source_offset", "correlation_key", "correlation_group")
+
+
+@query("viewport_page", f"SELECT stream_id, source_offset, event_type FROM ({_EVENTS}) WHERE (stream_id, source_offset) >= ('u5', 0) ORDER BY stream_id, source_offset LIMIT 50")
+def viewport_page(spark, sf_dir):
+    return lql.viewport(_events(spark, sf_dir), anchor=("u5", 0), size=50).select("stream_id", "source_offset", "event_type")
+
+
+@query("viewport_tail", f"SELECT stream_id, source_offset, event_type FROM ({_EVENTS}) ORDER BY stream_id DESC, source_offset DESC LIMIT 50")
+def viewport_tail(spark, sf_dir):
+    return lql.viewport(_events(spark, sf_dir), size=50, follow_tail=True).select("stream_id", "source_offset", "event_type")
+
+
+@query("fuzzy_rank", f"SELECT pattern, length(regexp_extract(lower(pattern), '(?s)n.*?u.*?m', 0)) AS score FROM (SELECT DISTINCT array_to_string(masked, ' ') AS pattern FROM ({_MASKED})) WHERE regexp_matches(lower(pattern), '(?s)n.*?u.*?m') ORDER BY score, length(pattern), pattern LIMIT 20")
+def fuzzy_rank(spark, sf_dir):
+    return lql.fuzzy_rank(mask_documents(spark, sf_dir).select("pattern").distinct(), "num", column="pattern")
+
+
+# ---- insights
+
+_SETTINGS = insights.Settings(window="1 hour")
+_COUNTS = """
+SELECT stream_id, template_id, win_start, coalesce(cnt, 0) AS cnt FROM (
+    SELECT 'events' AS stream_id, template_id, unnest(generate_series(f, l, INTERVAL 1 HOUR)) AS win_start FROM
+    (SELECT event_type AS template_id, min(date_trunc('hour', ts)) AS f, (SELECT max(date_trunc('hour', ts)) FROM events) AS l FROM events GROUP BY 1))
+LEFT JOIN (SELECT event_type AS template_id, date_trunc('hour', ts) AS win_start, count(*) AS cnt FROM events GROUP BY ALL) USING (template_id, win_start)"""
+_BASE = f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, template_id ORDER BY win_start) AS rn FROM ({_COUNTS})),
+r AS (SELECT stream_id, template_id, win_start, cnt, rn, CAST(NULL AS DOUBLE) AS level, CAST(NULL AS DOUBLE) AS spread, 0 AS windows_seen, CAST(cnt AS DOUBLE) AS nl, CAST(0 AS DOUBLE) AS ns FROM c WHERE rn = 1
+      UNION ALL SELECT c.stream_id, c.template_id, c.win_start, c.cnt, c.rn, nl, ns, windows_seen + 1, CAST(0.3 AS DOUBLE) * c.cnt + CAST(0.7 AS DOUBLE) * nl, CAST(0.3 AS DOUBLE) * abs(c.cnt - nl) + CAST(0.7 AS DOUBLE) * ns
+      FROM r JOIN c ON c.stream_id = r.stream_id AND c.template_id = r.template_id AND c.rn = r.rn + 1)
+SELECT stream_id, template_id, win_start, cnt, level, spread, windows_seen, rn FROM r"""
+_CONF = "round(least(CAST(0.99 AS DOUBLE), least(CAST(1 AS DOUBLE), greatest((cnt - level) / greatest(spread, CAST(1 AS DOUBLE)), CAST(0 AS DOUBLE)) / 6) * least(CAST(1 AS DOUBLE), windows_seen / CAST(10 AS DOUBLE)) * (cnt / CAST(cnt + 5 AS DOUBLE))), 6)"
+
+
+def _subjects(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.lit("events").alias("stream_id"), F.col("event_type").alias("template_id"), F.col("ts").alias("time"), F.col("event_id").alias("source_offset"))
+
+
+def _base(spark, sf_dir) -> DataFrame:
+    return insights.baselines(insights.window_counts(_subjects(spark, sf_dir), _SETTINGS).drop("errors"), _SETTINGS)
+
+
+@query("window_counts_dense", _COUNTS)
+def window_counts_dense(spark, sf_dir):
+    return insights.window_counts(_subjects(spark, sf_dir), _SETTINGS).drop("errors")
+
+
+@query("ewma_baseline", f"SELECT stream_id, template_id, win_start, cnt, round(level, 6) AS level, round(spread, 6) AS spread, CAST(windows_seen AS BIGINT) AS windows_seen FROM ({_BASE})")
+def ewma_baseline(spark, sf_dir):
+    return _base(spark, sf_dir).select("stream_id", "template_id", "win_start", "cnt", F.round("level", 6).alias("level"), F.round("spread", 6).alias("spread"), "windows_seen")
+
+
+_SPIKE = f"SELECT 'spike' AS kind, stream_id, template_id, win_start, cnt, windows_seen, level, spread, {_CONF} AS confidence FROM ({_BASE}) WHERE cnt > level + 3 * spread AND cnt >= 5"
+
+
+@query("spike", f"SELECT kind, stream_id, template_id, win_start, cnt, confidence FROM ({_SPIKE})")
+def spike(spark, sf_dir):
+    return insights.spikes(_base(spark, sf_dir), _SETTINGS).select("kind", "stream_id", "template_id", "win_start", "cnt", "confidence")
+
+
+_USER = "SELECT 'events' AS stream_id, 'u' || user_id AS template_id, ts AS time FROM events"
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    """Users as subjects, by day: the sparse ones come late and go missing."""
+    rows = table(spark, sf_dir, "events").select(F.lit("events").alias("stream_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("template_id"), F.col("ts").alias("time"))
+    s = insights.Settings(window="1 day", gap=2)
+    return insights.baselines(insights.window_counts(rows, s).drop("errors"), s)
+
+
+_DAY_COUNTS = f"""
+SELECT stream_id, template_id, win_start, coalesce(cnt, 0) AS cnt FROM (
+    SELECT stream_id, template_id, unnest(generate_series(f, l, INTERVAL 1 DAY)) AS win_start FROM
+    (SELECT stream_id, template_id, min(date_trunc('day', time)) AS f, (SELECT max(date_trunc('day', ts)) FROM events) AS l FROM ({_USER}) GROUP BY ALL))
+LEFT JOIN (SELECT template_id, date_trunc('day', time) AS win_start, count(*) AS cnt FROM ({_USER}) GROUP BY ALL) USING (template_id, win_start)"""
+_DAY_BASE = _BASE.replace(_COUNTS, _DAY_COUNTS)
+
+
+@query("emergence", f"SELECT template_id, win_start, cnt, round(CAST(0.5 AS DOUBLE) * cnt / (cnt + 5), 6) AS confidence FROM ({_DAY_BASE}) WHERE rn = 1 AND win_start > (SELECT min(date_trunc('day', ts)) FROM events)")
+def emergence(spark, sf_dir):
+    return insights.emergence(_daily(spark, sf_dir)).select("template_id", "win_start", "cnt", "confidence")
+
+
+@query(
+    "rare_return",
+    f"""SELECT template_id, win_start, cnt FROM (SELECT *, sum(cnt) OVER b AS total, max(CASE WHEN cnt > 0 THEN rn END) OVER b AS last FROM ({_DAY_BASE}) WINDOW b AS (PARTITION BY template_id ORDER BY win_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE total >= 5 AND windows_seen >= 5 AND cnt > 0 AND rn - last > 2""",
+)
+def rare_return(spark, sf_dir):
+    """Subjects back after more than two empty days."""
+    s = insights.Settings(window="1 day", gap=2, percentile=0.0)
+    found = insights.rare(_daily(spark, sf_dir), s)
+    back = Window.partitionBy("template_id").orderBy("win_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = _daily(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("template_id").orderBy("win_start")))
+    base = base.withColumn("last", F.max(F.when(F.col("cnt") > 0, F.col("n"))).over(back)).filter("n - last > 2")
+    return found.join(base.select("template_id", "win_start"), ["template_id", "win_start"], "left_semi").select("template_id", "win_start", "cnt")
+
+
+@query("rare")
+def rare(spark, sf_dir):
+    return insights.rare(_daily(spark, sf_dir), insights.Settings(window="1 day", gap=2))
+
+
+_REGRESSION = f"""
+SELECT template_id, min(win_start) AS win_start, max(win_start) AS win_end, count(*) AS n FROM (
+    SELECT *, rn - row_number() OVER (PARTITION BY template_id ORDER BY win_start) AS run FROM (
+        SELECT *, min(win_start) OVER (PARTITION BY template_id) > (SELECT min(date_trunc('day', ts)) FROM events) AND rn <= 2 AND cnt > 0 AS fresh FROM ({_DAY_BASE}))
+    WHERE fresh OR (cnt > level + spread AND cnt >= 3 AND windows_seen >= 5)) GROUP BY template_id, run HAVING count(*) >= 2"""
+
+
+@query("regression", f"SELECT template_id, win_start, win_end FROM ({_REGRESSION})")
+def regression(spark, sf_dir):
+    """Two days on end above one spread, of every event as if error-bearing."""
+    s = insights.Settings(window="1 day", k=1.0, persist=2, min_volume=3)
+    return insights.regressions(_daily(spark, sf_dir), s).select("template_id", "win_start", "win_end")
+
+
+_PIPE = f"""
+WITH s AS (SELECT *, CASE WHEN confidence >= 0.1 THEN 'pushed' ELSE 'on_demand' END AS status FROM ({_SPIKE}) WHERE windows_seen >= 5),
+g AS (SELECT *, sum(CASE WHEN status = 'on_demand' OR lag_t IS NULL OR epoch(win_start) - lag_t > 10800 THEN 1 ELSE 0 END) OVER (PARTITION BY template_id, status ORDER BY win_start) AS grp
+      FROM (SELECT *, lag(epoch(win_start)) OVER (PARTITION BY template_id, status ORDER BY win_start) AS lag_t FROM s))
+SELECT 'spike' AS kind, template_id, status, min(win_start) AS win_start, max(win_start) AS win_end, max(confidence) AS confidence, count(*) AS bumps FROM g GROUP BY template_id, status, grp"""
+
+
+def _pipeline(spark, sf_dir, muted: DataFrame | None = None) -> DataFrame:
+    s = insights.Settings(window="1 hour", floor=0.1)
+    found = insights.spikes(_base(spark, sf_dir), s)
+    return insights.refine(found, s, muted=muted).select("kind", "template_id", "status", "win_start", "win_end", "confidence", "bumps")
+
+
+@query("insight_pipeline", _PIPE)
+def insight_pipeline(spark, sf_dir):
+    return _pipeline(spark, sf_dir)
+
+
+@query("insight_mute", f"SELECT * FROM ({_PIPE}) WHERE template_id <> 'click'")
+def insight_mute(spark, sf_dir):
+    return _pipeline(spark, sf_dir, spark.createDataFrame([("spike", None, "click")], "kind string, stream_id string, template_id string"))
+
+
+@query("insight_precision", f"WITH l AS (SELECT template_id, win_start FROM ({_COUNTS}) WHERE cnt >= 8), i AS (SELECT template_id, win_start FROM ({_SPIKE})) SELECT 'spike' AS kind, (SELECT count(*) FROM i SEMI JOIN l USING (template_id, win_start)) AS hits, round((SELECT count(*) FROM i SEMI JOIN l USING (template_id, win_start)) / nullif(CAST((SELECT count(*) FROM i) AS DOUBLE), 0), 6) AS precision, round((SELECT count(*) FROM i SEMI JOIN l USING (template_id, win_start)) / nullif(CAST((SELECT count(*) FROM l) AS DOUBLE), 0), 6) AS recall WHERE (SELECT count(*) FROM i) + (SELECT count(*) FROM l) > 0")
+def insight_precision(spark, sf_dir):
+    """Spikes against windows of at least eight events."""
+    labels = window_counts_dense(spark, sf_dir).filter("cnt >= 8").withColumn("kind", F.lit("spike"))
+    return insights.precision(insights.spikes(_base(spark, sf_dir), _SETTINGS), labels)
+
+
+@query("insight_related")
+def insight_related(spark, sf_dir):
+    """Pushed insights with descriptions and anchors."""
+    s = insights.Settings(window="1 hour", floor=0.1)
+    pushed = insights.refine(insights.spikes(_base(spark, sf_dir), s), s).filter("status = 'pushed'")
+    return insights.related(pushed, _subjects(spark, sf_dir), window="1 hour")
+
+
+# ---- corpus
+
+
+def _corpus(spark, sf_dir):
+    """Synthetic lines of three formats with labels and golden patterns; those of the last two are what widening ends at."""
+    events = table(spark, sf_dir, "events")
+    gids = {"nginx": F.regexp_extract("raw", '"([A-Z]+) ', 1), "syslog": F.when(F.col("raw").contains("failed"), "failed").otherwise("done"), "json": F.regexp_extract("raw", '"level" : "([A-Za-z]+)"', 1)}
+    names = {"nginx": "nginx-access", "syslog": "syslog-rfc5424", "json": "json-lines"}
+    rows = None
+    for kind, gid in gids.items():
+        part = event_lines(events, kind).select(F.lit(names[kind]).alias("format_id"), F.col("source_offset").alias("line"), "raw", gid.alias("template_gid"))
+        rows = part if rows is None else rows.union(part)
+    golden = [("nginx-access", m, f'<IP> - - <TS> "{m} <PATH> HTTP/1.1" <NUM> <NUM>') for m in ("GET", "POST", "DELETE")]
+    golden += [("syslog-rfc5424", g, f"<NUM>1 <TS> host01 app - - - <*> by user <NUM> {t}") for g, t in (("done", "done"), ("failed", "failed : ERROR"))]
+    golden += [("json-lines", g, f'{{ "level" : "{g}" , "msg" : <*> , "user_id" : <NUM> , "id" : "<HEX>" }}') for g in ("info", "WARN", "error", "odd")]
+    templates = spark.createDataFrame(golden, "format_id string, template_gid string, pattern string")
+    return rows.select("format_id", "line", "raw"), rows.select("format_id", "line", "template_gid"), templates
+
+
+@query("corpus_accuracy")
+def corpus_accuracy(spark, sf_dir):
+    return corpus.accuracy(corpus.assignments(*_corpus(spark, sf_dir)))
+
+
+@query("corpus_nginx_accuracy", "SELECT 'nginx-access' AS format_id, count(*) AS lines, CAST(1 AS DOUBLE) AS pa_exact, CAST(1 AS DOUBLE) AS pa_grouping FROM events")
+def corpus_nginx_accuracy(spark, sf_dir):
+    return corpus.accuracy(corpus.assignments(*_corpus(spark, sf_dir))).filter("format_id = 'nginx-access'")
+
+
+@query("corpus_delta")
+def corpus_delta(spark, sf_dir):
+    return corpus.template_delta(corpus.assignments(*_corpus(spark, sf_dir)))
+
+
+# ---- segments and streams
+
+
+def _store(spark, sf_dir) -> segments.Store:
+    """Events in four segments by week."""
+    store = segments.Store(spark, scratch.folder(spark, "segments"))
+    rows = _events(spark, sf_dir).withColumn("tokens", F.array("event_type"))
+    for k in range(4):
+        store.seal(rows.filter(F.least(F.floor((F.dayofmonth("time") - 1) / 8), F.lit(3)) == k), segment=k)
+    return store
+
+
+@query("segment_roundtrip", f"SELECT stream_id, source_offset, time, event_type FROM ({_EVENTS})")
+def segment_roundtrip(spark, sf_dir):
+    return _store(spark, sf_dir).read()[0].select("stream_id", "source_offset", "time", "event_type")
+
+
+@query("segment_prune", f"SELECT stream_id, source_offset, time FROM ({_EVENTS}) WHERE time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
+def segment_prune(spark, sf_dir):
+    from datetime import datetime
+
+    rows, _ = _store(spark, sf_dir).read(begin=datetime(2024, 1, 10), end=datetime(2024, 1, 12))
+    return rows.select("stream_id", "source_offset", "time")
+
+
+@query("segment_offset_lookup", f"SELECT stream_id, source_offset, event_type FROM ({_EVENTS}) WHERE stream_id = 'u7' AND source_offset = (SELECT max(event_id) FROM events WHERE user_id = 7)")
+def segment_offset_lookup(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    at = store.cursor().filter("stream_id = 'u7'").first()
+    rows, _ = store.read(stream="u7", offset=at["source_offset"])
+    return rows.select("stream_id", "source_offset", "event_type")
+
+
+@query("segment_cursor", f"SELECT stream_id, max(source_offset) AS source_offset FROM ({_EVENTS}) GROUP BY 1")
+def segment_cursor(spark, sf_dir):
+    return _store(spark, sf_dir).cursor()
+
+
+@query("segment_postings", "SELECT DISTINCT event_type AS term, CAST(least((day(ts) - 1) // 8, 3) AS BIGINT) AS segment_id FROM events")
+def segment_postings(spark, sf_dir):
+    rows, _ = _store(spark, sf_dir).read()
+    return segments.postings(rows)
+
+
+@query("segment_index_time", "SELECT event_id AS source_offset, row_number() OVER (PARTITION BY user_id, least((day(ts) - 1) // 8, 3) ORDER BY event_id) - 1 AS index_time FROM events")
+def segment_index_time(spark, sf_dir):
+    return _store(spark, sf_dir).read()[0].select("source_offset", "index_time")
+
+
+@query("segment_compacted", f"SELECT stream_id, source_offset, event_type FROM ({_EVENTS}) WHERE day(time) > 8")
+def segment_compacted(spark, sf_dir):
+    """Two segments made one, and the oldest evicted."""
+    from datetime import datetime
+
+    store = _store(spark, sf_dir)
+    store.compact([1, 2])
+    store.evict(datetime(2024, 1, 9))
+    return store.read()[0].select("stream_id", "source_offset", "event_type")
+
+
+@query("stream_mine")
+def stream_mine(spark, sf_dir):
+    """Syslog lines mined as a stream until no more are there."""
+    source, target, marks = (scratch.folder(spark, f"stream-{x}") for x in ("in", "out", "marks"))
+    rows = event_lines(table(spark, sf_dir, "events"), "syslog").select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
+    rows.write.parquet(source)
+    live = spark.readStream.schema(rows.schema).parquet(source)
+    run = streaming.mine_stream(live).writeStream.format("parquet").option("path", target).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(streaming.MINED).parquet(target)
+
+
+@query("ingest_syslog")
+def ingest_syslog(spark, sf_dir):
+    """Redact, parse, derive, fingerprint and mine in one plan."""
+    rows = event_lines(table(spark, sf_dir, "events"), "syslog").select("stream_id", "source_offset", "raw")
+    return ingest.ingest(rows).select("stream_id", "source_offset", "event_time", "severity", "severity_source", "fingerprint", "template_id", "pattern", "version")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of all document lines, mined online, with their counts and states."""
+    ship(spark)
+    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
+    return mining.registry(mining.mine_online(rows))
