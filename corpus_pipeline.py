@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, jaccard, language, pack, pii
-from timberline.llm.cluster import materialize, table
+from timberline.llm.cluster import materialize, prepare, table
 from timberline.llm.queries import DEMO_KEY, tokenizer_path
-from timberline.shipping import ship
 
 #: A document without a letter goes, and one of whose language the model is less sure than this.
 LEAST_SCORE = 0.5
@@ -20,7 +19,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled ones have."""
-    ship(spark)
+    prepare(spark)
     model = language.train(docs, key=F.col("doc_id"))
     names = ("__language", "__score")
     found = language.identify(docs, model, keep=docs.columns, lang_out=names[0], score_out=names[1])
@@ -29,26 +28,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each class of near copies."""
-    ship(spark)
+    prepare(spark)
     return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars is that of the new text."""
-    ship(spark)
+    prepare(spark)
     found = pii.pseudonymise(docs, DEMO_KEY)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens."""
-    ship(spark)
+    prepare(spark)
     return pack.pack(docs, tokenizer_path(), max_tokens=1024, end_id=2, ids="crc32")
 
 

@@ -7,15 +7,34 @@ cluster names in ``spark.checkpoint.dir``; nothing is kept on one machine.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.shipping import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch that goes to a Python worker, where the session does not set its own.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Put this package on the executors, and keep batches small: workers hold texts, their words and results at once."""
+    ship(spark)
+    if spark.conf.get(_BATCH_CONF) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; own temporary one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +71,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow, after which a reused worker gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def _release() -> None:
     for spark, path in _written:
         try:

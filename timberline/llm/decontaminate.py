@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import materialize
+from timberline.llm.cluster import lean, materialize
 
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 _BITS = 22
@@ -155,7 +155,7 @@ def _scan(df: DataFrame, items, keep: list[str], width: int, final: bool, cleane
                     cols.append(pa.array([_strip(texts[i].as_py(), r) if r else texts[i].as_py() for i, r in enumerate(spans)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.mapInArrow(scan, schema)
+    return df.mapInArrow(lean(scan), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text: str = "text", **options) -> DataFrame:

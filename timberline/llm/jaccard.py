@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import broadcast_if, materialize
+from timberline.llm.cluster import broadcast_if, lean, materialize
 from timberline.llm.components import components, contract
 
 _U = np.uint64
@@ -236,7 +236,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     n_copies (rows of that set) and n_links (other rows at the threshold or above) of each row."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketch = materialize(base.mapInArrow(_sketch(n, bands, rows), "doc_id bigint, node binary, n_grams bigint, bands array<bigint>"), "sketch")
+    sketch = materialize(base.mapInArrow(lean(_sketch(n, bands, rows)), "doc_id bigint, node binary, n_grams bigint, bands array<bigint>"), "sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("small", F.xxhash64("node")), "nodes")
 
@@ -254,11 +254,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
     # their sets meet, block by block
     grams = _fetch(base, wanted, most_broadcast)
-    grams = grams.mapInArrow(_sets(n), "label bigint, blocks int, node binary, copies bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    grams = grams.mapInArrow(lean(_sets(n)), "label bigint, blocks int, node binary, copies bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = grams.withColumn("other", other).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_verify(Fraction(str(threshold))), "u binary, v binary, n bigint"), "links")
+    found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(lean(_verify(Fraction(str(threshold)))), "u binary, v binary, n bigint"), "links")
 
     counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     classes = components(contract(found.filter("v is not null").select("u", "v")))

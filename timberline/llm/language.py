@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.cluster import lean
+
 UNKNOWN = "und"
 _MOST_LANGUAGES = 500
 _SLICE = 1 << 19
@@ -98,7 +100,7 @@ def train(docs: DataFrame, *, key: Column, text: str = "text", lang: str = "lang
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], names=["cell", "n"])
 
-    cells = sample.select("lang", "text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = sample.select("lang", "text").mapInArrow(lean(count), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(langs) << bits)
     seen[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     seen = seen.reshape(len(langs), 1 << bits) + alpha
@@ -143,4 +145,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, keep: list
     schema = rows.select(*keep, F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
     for f in schema.fields[-2:]:
         f.nullable = True
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(lean(predict), schema)

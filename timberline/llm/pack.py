@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.cluster import materialize
+from timberline.llm.cluster import lean, materialize
 
 #: Texts of these characters alone, without long unbroken runs, get the same ids from the fast encoder.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
@@ -148,9 +148,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
         if out:
             yield batch(out, key)
 
-    placed = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(first_round, schema), "pack")
+    placed = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(first_round), schema), "pack")
     left = placed.filter("left_open")
     tokens = left.agg(F.sum("length")).first()[0] or 0
     order = [F.desc("length"), "doc_id", "piece", "start"]
-    again = left.repartition(max(1, -(-tokens // round_tokens)), F.xxhash64("sequence_id", "offset")).sortWithinPartitions(*order).mapInArrow(second_round, schema)
+    again = left.repartition(max(1, -(-tokens // round_tokens)), F.xxhash64("sequence_id", "offset")).sortWithinPartitions(*order).mapInArrow(lean(second_round), schema)
     return placed.filter("not left_open").union(again).drop("left_open")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import broadcast_if, materialize
+from timberline.llm.cluster import broadcast_if, lean, materialize
 
 # ---- fixed values: names that are known and drawn, by script and gender
 GIVEN = {
@@ -249,7 +249,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
 
     todo, done, attempt = entities, None, 0
     while True:
-        drawn = todo.mapInArrow(draw(attempt), "kind string, canonical string, surrogate string")
+        drawn = todo.mapInArrow(lean(draw(attempt)), "kind string, canonical string, surrogate string")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
         free = first.join(entities.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -265,7 +265,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
 def replacements(docs: DataFrame, key: bytes, *, text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """mark (the MD5 digest of the text) and parts: begin, end, kind and surrogate of each entity, in order."""
     base = docs.select(F.md5(text).alias("mark"), F.col(text).alias("text"))
-    occurrences = materialize(base.mapInArrow(_scan, T.StructType([T.StructField("mark", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])), "entities")
+    occurrences = materialize(base.mapInArrow(lean(_scan), T.StructType([T.StructField("mark", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])), "entities")
     each = occurrences.select("mark", F.explode("spans").alias("s")).select("mark", "s.*").distinct()
     entities = materialize(each.select("kind", "canonical").distinct(), "distinct-entities")
     settled = materialize(settle(entities, key), "settled")
@@ -295,4 +295,4 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", most_broadc
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.string()), pa.array([len(x or ()) for x in lists], pa.int64())], names=[*others, text, "n_replaced"])
 
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(text, T.StringType()), T.StructField("n_replaced", T.LongType())])
-    return rows.drop("__mark").mapInArrow(replace, schema)
+    return rows.drop("__mark").mapInArrow(lean(replace), schema)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, fingerprint, jaccard, language, pack, pii, repeats, shard, urls, warc
-from timberline.llm.cluster import materialize, table
-from timberline.shipping import ship
+from timberline.llm.cluster import materialize, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -130,10 +129,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shipped(query):
-    """The query, with this package on the executors."""
+    """The query, in a prepared session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import materialize
+from timberline.llm.cluster import lean, materialize
 
 _LAST = np.iinfo(np.int64).max
 _SLICE = 4 << 20
@@ -388,15 +388,15 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return rows.repartition(buckets, by).sortWithinPartitions(by)
 
     def answered(rows: DataFrame, find, gather, kind: str) -> DataFrame:
-        found = dealt(rows, "bucket").mapInArrow(find, _ANSWERS)
-        return materialize(dealt(found, "part").mapInArrow(gather, kind), "repeats")
+        found = dealt(rows, "bucket").mapInArrow(lean(find), _ANSWERS)
+        return materialize(dealt(found, "part").mapInArrow(lean(gather), kind), "repeats")
 
-    hits = answered(base.mapInArrow(_send_probes(block, buckets), _ROWS), _find_anchors(buckets), _gather_anchors, "key bigint, mark bigint, buckets binary, bits binary")
+    hits = answered(base.mapInArrow(lean(_send_probes(block, buckets)), _ROWS), _find_anchors(buckets), _gather_anchors, "key bigint, mark bigint, buckets binary, bits binary")
     keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST))))
     names = hits.select("key", "mark")
     some = keyed.join(F.broadcast(names), ["key", "mark"], "left_semi") if hits.count() <= most_broadcast else keyed
     with_hits = some.join(hits.hint("shuffle_merge"), ["key", "mark"]).select("doc_id", "text", "mark", "buckets", "bits")
-    repeats = answered(with_hits.mapInArrow(_send_runs(block, width, buckets), _ROWS), _find_repeats(buckets), _gather_runs(width), "key bigint, mark bigint, runs binary")
+    repeats = answered(with_hits.mapInArrow(lean(_send_runs(block, width, buckets)), _ROWS), _find_repeats(buckets), _gather_runs(width), "key bigint, mark bigint, runs binary")
     last = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
     whole = keyed.join(last, ["key", "mark"], "left").select("doc_id", "text", "runs")
-    return whole.mapInArrow(_cut, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+    return whole.mapInArrow(lean(_cut), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.cluster import broadcast_if, materialize
+from timberline.llm.cluster import broadcast_if, lean, materialize
 
 # fixed values of the formats
 _SKIPPABLE = 0x184D2A5D
@@ -175,7 +175,7 @@ def write_archives(planned: DataFrame, *, archive_bytes: int = 8 << 20, date: st
         if held:
             yield close()
 
-    return planned.select("page_id", "url", "body", "sha1", "revisit", "refers_to").mapInArrow(write, ARCHIVE)
+    return planned.select("page_id", "url", "body", "sha1", "revisit", "refers_to").mapInArrow(lean(write), ARCHIVE)
 
 
 def read_archives(archives: DataFrame, *, content: str = "content", payloads: bool = True) -> DataFrame:
@@ -209,4 +209,4 @@ def read_archives(archives: DataFrame, *, content: str = "content", payloads: bo
                 if rows:
                     yield batch(rows)
 
-    return archives.select(content).mapInArrow(read, RECORD)
+    return archives.select(content).mapInArrow(lean(read), RECORD)
