@@ -117,8 +117,8 @@ def _sets(n: int):
                 h, at = gram_sets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
                 mine = [i for i in range(hi - lo) if at[i + 1] > at[i] and _node(h[at[i] : at[i + 1]]) == nodes[lo + i]]
                 part = batch.slice(lo, hi - lo).take(pa.array(mine, pa.int64()))
-                cols = [part.column(c) for c in ("label", "blocks", "node", "copies")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())], names=["label", "blocks", "node", "copies", "grams"])
+                cols = [part.column(c) for c in ("label", "blocks", "id", "copies")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())], names=["label", "blocks", "id", "copies", "grams"])
 
     return sets
 
@@ -170,9 +170,9 @@ def _verify(threshold: Fraction):
     """Rows (u, v, n): with v null, u has n more links; else u and v are connected."""
 
     def decide(group: list[tuple]) -> tuple[list, list, list]:
-        members: dict[int, dict[bytes, tuple]] = {}
-        for _, i, j, block, node, copies, grams in group:
-            members.setdefault(block, {})[node] = (copies, np.frombuffer(grams, _U))
+        members: dict[int, dict[int, tuple]] = {}
+        for _, i, j, block, name, copies, grams in group:
+            members.setdefault(block, {})[name] = (copies, np.frombuffer(grams, _U))
         i, j = group[0][1], group[0][2]
         if i not in members or j not in members:
             return [], [], []
@@ -183,7 +183,7 @@ def _verify(threshold: Fraction):
             np.fill_diagonal(m, False)
         u, v, n = [], [], []
 
-        def tell(names: list[bytes], counts: np.ndarray) -> None:
+        def tell(names: list[int], counts: np.ndarray) -> None:
             for k in np.flatnonzero(counts):
                 u.append(names[k])
                 v.append(None)
@@ -209,7 +209,7 @@ def _verify(threshold: Fraction):
         now, group, out = None, [], ([], [], [])
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["u", "v", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["u", "v", "n"])
 
         for got in batches:
             for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
@@ -238,32 +238,34 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(base.mapInArrow(lean(_sketch(n, bands, rows)), "doc_id bigint, node binary, n_grams bigint, bands array<bigint>"), "sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("small", F.xxhash64("node")), "nodes")
+    # numbers stand for nodes from here on: fixed once they are written
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    # candidates: nodes that share a band hash, by a 64-bit name
-    keys = nodes.select("small", F.explode("bands").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("small").alias("hub"), F.max("small").alias("most")).filter("hub <> most").drop("most"), "bands")
+    # candidates: nodes that share a band hash
+    keys = nodes.select("id", F.explode("bands").alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub <> most").drop("most"), "bands")
     # a node has at most as many hubs as bands: it keeps the least, which takes over the others
-    hubs = keys.join(broadcast_if(shared, most_broadcast), "key").filter("small <> hub").groupBy("small").agg(F.collect_set("hub").alias("hubs"))
-    hubs = materialize(hubs.select("small", F.array_min("hubs").alias("hub"), "hubs"), "hubs")
-    stars = hubs.select(F.col("small").alias("u"), F.col("hub").alias("v")).union(hubs.select(F.col("hub").alias("u"), F.explode("hubs").alias("v")).filter("u <> v").distinct())
-    held = components(stars)
-    member = nodes.join(broadcast_if(held.withColumnRenamed("node", "small"), most_broadcast), "small").select("label", "node", "copy_id", "copies", "n_grams")
-    sizes = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks"))
-    wanted = materialize(member.join(sizes, "label"), "candidates")
+    hubs = keys.join(broadcast_if(shared, most_broadcast), "key").filter("id <> hub").select("id", "hub").distinct()
+    stars = materialize(hubs.select(F.col("id").alias("u"), F.col("hub").alias("v")), "hubs")
+    held = components(contract(stars, most_broadcast), most_broadcast)
+    member = materialize(nodes.drop("bands").join(broadcast_if(held.withColumnRenamed("node", "id"), most_broadcast), "id").select("label", "id", "node", "copy_id", "copies", "n_grams"), "members")
+    sizes = materialize(member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks")), "sizes")
+    wanted = member.join(broadcast_if(sizes, most_broadcast), "label")
 
     # their sets meet, block by block
-    grams = _fetch(base, wanted, most_broadcast)
-    grams = grams.mapInArrow(lean(_sets(n)), "label bigint, blocks int, node binary, copies bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    grams = _fetch(base, materialize(wanted, "candidates"), most_broadcast)
+    grams = grams.mapInArrow(lean(_sets(n)), "label bigint, blocks int, id bigint, copies bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = grams.withColumn("other", other).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
+    pairs = grams.withColumn("other", other).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(lean(_verify(Fraction(str(threshold)))), "u binary, v binary, n bigint"), "links")
-
-    counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
-    classes = components(contract(found.filter("v is not null").select("u", "v")))
-    linked = classes.join(nodes.select("node", "copy_id"), "node").groupBy("label").agg(F.min("copy_id").alias("class_id")).join(classes, "label").select("node", "class_id")
-    special = nodes.select("node", "copy_id", "copies").join(counts, "node", "left").join(linked, "node", "left").filter("copies > 1 or others is not null")
+    found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(lean(_verify(Fraction(str(threshold)))), "u bigint, v bigint, n bigint"), "links")
+
+    counts = materialize(found.filter("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others")), "counts")
+    classes = components(contract(found.filter("v is not null").select("u", "v"), most_broadcast), most_broadcast).select(F.col("node").alias("id"), "label")
+    placed = materialize(member.select("id", "copy_id").join(broadcast_if(classes, most_broadcast), "id"), "placed")
+    least = materialize(placed.groupBy("label").agg(F.min("copy_id").alias("class_id")), "least")
+    linked = materialize(placed.select("id", "label").join(broadcast_if(least, most_broadcast), "label").select("id", "class_id"), "linked")
+    special = nodes.select("id", "node", "copy_id", "copies").join(broadcast_if(counts, most_broadcast), "id", "left").join(broadcast_if(linked, most_broadcast), "id", "left").filter("copies > 1 or others is not null").drop("id")
     last = broadcast_if(materialize(special, "classes"), most_broadcast)
     return sketch.select("doc_id", "node").join(last, "node", "left").select(
         "doc_id",
@@ -276,8 +278,8 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
 def _fetch(base: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
     """Texts of the candidates' first rows; several rows may have that doc_id."""
-    names = broadcast_if(wanted.select("copy_id", "label", "blocks", "node", "copies"), most_broadcast)
-    return base.join(names, base["doc_id"].eqNullSafe(names["copy_id"])).select("label", "blocks", "node", "copies", "text")
+    names = broadcast_if(wanted.select("copy_id", "label", "blocks", "id", "node", "copies"), most_broadcast)
+    return base.join(names, base["doc_id"].eqNullSafe(names["copy_id"])).select("label", "blocks", "id", "node", "copies", "text")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
