@@ -21,7 +21,8 @@ def fixture():
         lang = rng.choice(["en", "de"])
         texts.append((" ".join(rng.choice(WORDS[lang]) + (rng.choice("abcdef") if rng.random() < 0.5 else "") for _ in range(rng.randrange(8, 200))), lang))
     texts += [(texts[3][0], "en"), (texts[4][0] + " more", "en"), (texts[5][0].upper(), "de"), ("12345 !!", "en"), (None, None), ("", "en")]
-    texts += [(texts[7][0] + " alpha beta gamma delta epsilon zeta eta theta iota kappa " + texts[8][0], "en"), ("write to jane.roe@mail.example.org or 10.1.2.3 and " + texts[9][0], "en")]
+    fresh = " ".join(rng.choice(WORDS["en"]) + rng.choice("ghij") for _ in range(60))
+    texts += [(fresh + " alpha beta gamma delta epsilon zeta eta theta iota kappa", "en"), ("write to jane.roe@mail.example.org or 10.1.2.3 and " + texts[9][0], "en")]
     return [(i, t, lang, "s", None if t is None else len(t)) for i, (t, lang) in enumerate(texts)]
 
 
