@@ -69,6 +69,22 @@ def test_journal_and_generations(spark, tmp_path):
     assert [r.generation for r in files.generations(shots).orderBy("seen_at").collect()] == [0, 0, 1, 2]
 
 
+def test_docker_and_retries(spark, tmp_path):
+    (tmp_path / "c1.log").write_text('{"log":"up\\n","stream":"stderr","time":"2024-01-01T00:00:01.5Z"}\n')
+    r = files.read_docker(spark, str(tmp_path / "c1.log")).first()
+    assert (r.stream_id, r.source_offset, r.raw) == ("c1.log:stderr", 1_704_067_201_500_000, "up")
+    pauses, calls, dead = [], [], []
+
+    def odd():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert plugins.with_retries(odd, jitter=lambda: 0.5, sleep=pauses.append) == "done" and pauses == [0.1, 0.2]
+    assert plugins.with_retries(lambda: 1 / 0, tries=2, sleep=lambda s: None, dead_letter=dead.append) is None and len(dead) == 1
+
+
 def test_tail_with_rotation(spark, tmp_path):
     folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     folder.mkdir()

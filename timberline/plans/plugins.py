@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections import defaultdict
 from collections.abc import Callable
 from typing import Any, Protocol, runtime_checkable
@@ -132,6 +134,21 @@ class Bus:
         return n
 
 
+def with_retries(call: Callable[[], Any], *, tries: int = 4, first: float = 0.1, jitter: Callable[[], float] = random.random, sleep: Callable[[float], None] = time.sleep, dead_letter: Callable[[Exception], None] | None = None) -> Any:
+    """Call again after growing, jittered pauses; after the last try the error goes to the dead letters, or on."""
+    for k in range(tries):
+        try:
+            return call()
+        except Exception as e:  # noqa: BLE001  what fails for good is reported below
+            if k == tries - 1:
+                if dead_letter is None:
+                    raise
+                dead_letter(e)
+                return None
+            sleep(first * 2**k * (0.5 + jitter()))
+    return None
+
+
 #: Measures of the budgets; which way is worse.
 BUDGETS = {"ingest_latency_p99_ms": "max", "query_first_result_ms": "max", "query_complete_ms": "max", "memory_mb_per_gb": "max", "indexing_lines_per_s": "min"}
 
