@@ -174,6 +174,11 @@ def _short_mined(spark, sf_dir) -> DataFrame:
     return mining.mine_online(short_lines(spark, sf_dir))
 
 
+def _all_mined(spark, sf_dir) -> DataFrame:
+    """All lines, by both paths."""
+    return mining.mine_online(lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked")))
+
+
 @query("mine_short_online", f"SELECT stream_id, source_offset, template_id, pattern, version, seen FROM ({_NUMBERED})")
 def mine_short_online(spark, sf_dir):
     return _short_mined(spark, sf_dir).drop("masked")
@@ -182,8 +187,7 @@ def mine_short_online(spark, sf_dir):
 @query("mine_documents_online")
 def mine_documents_online(spark, sf_dir):
     """All lines, by both paths; tested against a sequential simulator."""
-    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
-    return mining.mine_online(rows).drop("masked")
+    return _all_mined(spark, sf_dir).drop("masked")
 
 
 _REGISTRY = f"""
@@ -214,7 +218,10 @@ FROM ({_REGISTRY}) AS t LEFT JOIN (SELECT stream_id, template_id, max(a) AS wide
 ON t.stream_id = w.stream_id AND t.template_id = w.template_id""",
 )
 def template_lifecycle(spark, sf_dir):
-    mined = _short_mined(spark, sf_dir)
+    return _lifecycle(_short_mined(spark, sf_dir))
+
+
+def _lifecycle(mined: DataFrame) -> DataFrame:
     unit = 1 << 20
     return mining.lifecycle(mining.registry(mined), mined, now=1000 * unit, retention=500 * unit, recent=300 * unit).select("stream_id", "template_id", "state")
 
@@ -256,6 +263,46 @@ def split_candidates(spark, sf_dir):
     return mining.split_candidates(mined, mining.registry(mined))
 
 
+# The same over all lines. Window SQL cannot follow the sequential path, so these are tested against a simulator.
+
+
+@query("template_registry_all")
+def template_registry_all(spark, sf_dir):
+    return mining.registry(_all_mined(spark, sf_dir))
+
+
+@query("promote_stable_all")
+def promote_stable_all(spark, sf_dir):
+    return template_registry_all(spark, sf_dir).groupBy("stream_id", "state").agg(F.count("*").alias("n"))
+
+
+@query("evict_cold_all")
+def evict_cold_all(spark, sf_dir):
+    return mining.evict(template_registry_all(spark, sf_dir), 20).select("stream_id", "template_id", "state")
+
+
+@query("template_lifecycle_all")
+def template_lifecycle_all(spark, sf_dir):
+    return _lifecycle(_all_mined(spark, sf_dir))
+
+
+@query("resolve_fingerprints_all")
+def resolve_fingerprints_all(spark, sf_dir):
+    mined = _all_mined(spark, sf_dir).withColumn("fingerprint", F.array_join("masked", _RS))
+    return mining.resolve_fingerprints(mined, mining.registry(mined))
+
+
+@query("merge_candidates_all")
+def merge_candidates_all(spark, sf_dir):
+    return mining.merge_candidates(template_registry_all(spark, sf_dir))
+
+
+@query("split_candidates_all")
+def split_candidates_all(spark, sf_dir):
+    mined = _all_mined(spark, sf_dir)
+    return mining.split_candidates(mined, mining.registry(mined))
+
+
 # ---- redaction and enrichment
 
 
@@ -738,5 +785,4 @@ def ingest_syslog(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of all document lines, mined online, with their counts and states."""
     ship(spark)
-    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
-    return mining.registry(mining.mine_online(rows))
+    return mining.registry(_all_mined(spark, sf_dir))
