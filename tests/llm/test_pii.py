@@ -68,3 +68,22 @@ def test_draws_go_on_until_all_differ(spark):
     assert not {r.surrogate for r in got} & {r.canonical for r in got}
     again = {(r.kind, r.canonical): r.surrogate for r in pii.settle(small.repartition(7), KEY).collect()}
     assert again == {(r.kind, r.canonical): r.surrogate for r in got}
+
+
+def test_credentials_to_their_end_and_every_spelling_of_ipv6(spark):
+    long, jwt = "a1B2" * 1250, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.s_-Xw1"
+    for text, value in [
+        (f'token = "{long}" end', long), (f"secret={long}== end", long + "=="), (f"token: {jwt}. End", jwt), (f"Bearer {jwt} end", jwt), ("sk-proj-" + "aB3_-" * 40 + " end", "sk-proj-" + "aB3_-" * 40), ("ghp_" + "a1" * 90, "ghp_" + "a1" * 90),
+        ("password: hunter2.", "hunter2"), ('{"password": "p w, x"}', "p w, x"), ("pwd=пароль&user=me", "пароль"), ("passwd := 'abc'", "abc"), ("Password: !#$%&", "!#$%&"), ("api_key=abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwx"),
+    ]:
+        assert kinds(text) == [(value, "secret")], text
+        new = pii.surrogate(KEY, "secret", value, 0)
+        assert len(new) == len(value) and new[12:] != value[12:] or len(value) <= 12 and new != value
+    assert kinds("token: authentication, password: **** and a[::2], x::y, std::vector, ::1, 10:20:30") == []
+    one = ["2001:db8::1", "2001:DB8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8:0:0:0:0:0:1"]
+    for x in (*one, "fe80::", "::ffff:192.0.2.7", "dead:beef::cafe"):
+        assert kinds(f"at {x}, src:{x}: [{x}]:80") == [(x, "ipv6")] * 3, x
+    texts = [*one, *(f"password: {x}" for x in "abcdef0123456789"), *(f"fe80::{x:x}" for x in range(40)), "::ffff:192.0.2.7", "pwd=###"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert got[1] == got[0].upper() and [len(x) for x in got[2:3]] == [39] and len({pii.IPv6Address(x) for x in got[:4]}) == 1
+    assert not set(got) & set(texts) and len(set(got[3:])) == len(texts) - 3

@@ -23,6 +23,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,14 +61,19 @@ _ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rik", ("latin", "n"): "ren",
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-+/=]{12,200})|(?<![A-Za-z0-9])((?-i:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,100}|gh[pousr]_[A-Za-z0-9]{36,100}))")
+_IS = r"(?:\\?[\"'])?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}"
+#: What stands after a password keyword, to the closing quote or the end of the word, whatever it is.
+_PASSWORD = re.compile(rf"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd){_IS}(?:\"([^\"\n]+)\"|'([^'\n]+)'|(?:\\?[\"'])?((?:(?!&\w+=)[^\s\"'<>])+))")
+_KEYED = re.compile(rf"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|token|secret(?:[_-]?key)?){_IS}(?:\\?[\"'])?([^\s\"'<>,;&(){{}}\[\]|\\]{{12,}})")
+_SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})|(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+")
 _NUMBER = re.compile(
     rf"(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))"
     rf"|(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
     r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-.]\d{4}(?!\d)|(?<![\d.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-]))"
     r"|(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d))"
 )
-_IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_GROUPS = r"(?:[0-9A-Fa-f]{0,4}:){2,8}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{0,4})"
+_IPV6 = re.compile(rf"(?<![0-9A-Za-z_.:])(?:({_GROUPS})|\w{{1,40}}:({_GROUPS}))(?!:?[0-9A-Za-z_])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
 _TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))})(?:\s(?:Dr\.|Prof\.))?\s(?P<name>{_WORD}(?:\s{_WORD}){{0,2}})")
 _KNOWN = {n.casefold(): (script, gender) for (script, gender), names in GIVEN.items() for n in names}
@@ -88,6 +94,11 @@ def _iban_left(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
 
+def _groups(address: str) -> list[int]:
+    n = int(IPv6Address(address))
+    return [n >> k & 0xFFFF for k in range(112, -1, -16)]
+
+
 def _capitalised(words: list[str]) -> int:
     """How many of the first words are written as names are."""
     n = 0
@@ -115,19 +126,45 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield at, at + len(w), f"surname:{script}", w.casefold()
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Passwords as they are; behind other keywords and by shape what is not a plain word."""
+    for m in _PASSWORD.finditer(text):
+        value = m[m.lastindex] if m.lastindex < 3 else m[3].rstrip(".,;:!?)]}\\") or m[3]
+        if value.strip("*•.…_- "):
+            yield m.start(m.lastindex), m.start(m.lastindex) + len(value), "secret", value
+    for m in _KEYED.finditer(text):
+        value = m[1].rstrip(".:!?")
+        if len(value) >= 12 and (len(value) >= 20 or any(c.isdigit() for c in value) or re.search(r"[a-z][A-Z]", value)):
+            yield m.start(1), m.start(1) + len(value), "secret", value
+    for m in _SHAPED.finditer(text):
+        if any(c.isdigit() for c in m[0]):
+            yield m.start(), m.end(), "secret", m[0]
+
+
+def _ipv6(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Addresses in every spelling, but for ``::``, ``::1`` and their like, which are nobody's (and slices in code)."""
+    for m in _IPV6.finditer(text):
+        s = m[m.lastindex]
+        s = s[:-1] if s[-1] == ":" and (s[-2:] != "::" or s[-3:] == ":::") else s
+        try:
+            address = IPv6Address(s)
+        except ValueError:
+            continue
+        if (int(address) >= 1 << 32 or "." in s) and re.search(r"\d|[A-Fa-f]{3}", s):
+            yield m.start(m.lastindex), m.start(m.lastindex) + len(s), "ipv6", address.compressed
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, canonical form) of the entities, in order, without overlaps; earlier kinds win."""
     got: list[tuple[int, int, str, str]] = []
-    if "=" in text or ":" in text or "AKIA" in text or "sk-" in text or "gh" in text:
-        for m in _SECRET.finditer(text):
-            g = 1 if m[1] else 2
-            if any(c.isdigit() for c in m[g]):
-                got.append((m.start(g), m.end(g), "secret", m[g]))
+    if any(x in text for x in ("=", ":", "AKIA", "sk-", "gh", "eyJ")):
+        got += _secrets(text)
+    if "::" in text or text.count(":") >= 7:
+        got += _ipv6(text)
     if "@" in text:
         got += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if re.search(r"\d", text):
         got += [(m.start(), m.end(), "iban", code) for m in _IBAN.finditer(text) if 15 <= len(code := m[0].replace(" ", "")) <= 34 and _iban_left(code) == 1]
-        got += [(m.start(), m.end(), "ipv6", m[0].lower()) for m in _IPV6.finditer(text)]
         for m in _NUMBER.finditer(text):
             kind = next(k for k in ("ssn", "ip", "phone", "card") if m[k])
             digits = re.sub(r"\D", "", m[0])
@@ -184,7 +221,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "ipv6":
-        return ":".join(d.alike(x) for x in canonical.split(":"))
+        # groups of zeros stay, unless too few others are left to draw from
+        return IPv6Address(":".join(f"{1 + d.below(65535):x}" if g or attempt > 3 else "0" for g in _groups(canonical))).compressed
     if kind == "ssn":
         return "9" + d.digits(8)
     if kind == "card":
@@ -199,8 +237,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         body = d.alike(canonical[4:])
         return canonical[:2] + f"{98 - _iban_left(canonical[:2] + '00' + body):02d}" + body
     if kind == "secret":
-        head = re.match(r"AKIA|sk-|gh[pousr]_", canonical)
-        return (head[0] if head else "") + d.alike(canonical[head.end() if head else 0 :])
+        head = re.match(r"AKIA|sk-|gh[pousr]_|github_pat_|eyJ", canonical)
+        body = "".join("z" if c.isalnum() and not c.isascii() else c for c in canonical[head.end() if head else 0 :])
+        # short ones grow, and ones of signs alone turn to letters
+        body = body if any(c.isalnum() for c in body) else "z" * len(body)
+        return (head[0] if head else "") + d.alike(body + "z" * (attempt // 2))
     what, script, *gender = kind.split(":")
     pool = SURNAMES[script] if what == "surname" else GIVEN.get((script, gender[0])) or GIVEN[script, "f"] + GIVEN[script, "m"]
     if attempt < 2:
@@ -215,6 +256,13 @@ def render(surface: str, kind: str, new: str) -> str:
         chars = iter(new.partition(" ")[2] or new) if kind == "phone" else iter(new)
         keep = len(new.partition(" ")[0]) if kind == "phone" and " " in new else 0
         return surface[:keep] + "".join(next(chars) if c.isalnum() else c for c in surface[keep:])
+    if kind == "ipv6":
+        groups = _groups(new)
+        if "." in surface:
+            head = ":".join(f"{g:x}" for g in groups[:6]) if any(groups[:5]) or "::" not in surface else f"::{groups[5]:x}"
+            new = head + ":" + ".".join(str(x) for g in groups[6:] for x in (g >> 8, g & 255))
+        elif "::" not in surface:
+            new = ":".join(f"{g:04x}" if all(len(x) == 4 for x in surface.split(":")) else f"{g:x}" for g in groups)
     if kind.startswith(("given", "surname")):
         return new.upper() if surface.isupper() and len(surface) > 1 else "-".join(w[:1].upper() + w[1:] for w in new.split("-"))
     return new.upper() if kind != "secret" and surface.isupper() else new
