@@ -87,3 +87,26 @@ def test_credentials_to_their_end_and_every_spelling_of_ipv6(spark):
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     assert got[1] == got[0].upper() and [len(x) for x in got[2:3]] == [39] and len({pii.IPv6Address(x) for x in got[:4]}) == 1
     assert not set(got) & set(texts) and len(set(got[3:])) == len(texts) - 3
+
+
+def test_names_agree_over_mentions_and_differ_from_each_other(spark):
+    texts = [
+        "Mary Stone called. Stone said that Mary's and STONE-Field were stone cold; Milestone.", "Dr. Ada Stone", "Ms. Ada Stone", "Ms. Mary", "Dr. Ada wrote", "Mr. Ada Field", "Mr. Hall The end. The hall of Hall's",
+        *(f"{t} Q{a}{b}n Z{b}{a}t" for a in "aeiou" for b in "bcdfghjklmnp" for t in ("Ms.", "Mr.", "Dr.")),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+    mary, stone = re.fullmatch(r"(\w+) (\w+) called\..*", got[0]).groups()
+    ada, field = got[1].split()[1], got[5].split()[2]
+    assert got[0] == f"{mary} {stone} called. {stone} said that {mary}'s and {stone.upper()}-Field were stone cold; Milestone."
+    assert got[1:6] == [f"Dr. {ada} {stone}", f"Ms. {ada} {stone}", f"Ms. {mary}", f"Dr. {ada} wrote", f"Mr. {ada} {field}"]
+    hall = got[6].split()[1]
+    assert re.fullmatch(rf"Mr\. {hall} \w+ end\. The hall of {hall}'s", got[6]) and hall != "Hall"
+    new = {}
+    for old, now in zip(texts[7:], got[7:], strict=True):
+        for a, b in zip(old.split()[1:], now.split()[1:], strict=True):
+            assert new.setdefault(a, b) == b
+    new |= {"Mary": mary, "Stone": stone, "Ada": ada, "Field": field}
+    assert len(set(new.values())) == len(new) == 124 and not set(new.values()) & set(new)
+    found = {(r.kind, r.canonical) for r in pii.resolve(spark.createDataFrame([("given:latin:f", "ada"), ("given:latin:n", "ada"), ("surname:latin", "ada"), ("given:latin:m", "kim"), ("given:latin:f", "kim"), ("surname:latin", "hall"), ("ip", "1.2.3.4")], "kind string, canonical string")).collect()}
+    assert found == {("given:latin:f", "ada"), ("given:latin:n", "kim"), ("surname:latin", "hall"), ("ip", "1.2.3.4")}

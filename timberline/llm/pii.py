@@ -2,9 +2,10 @@
 
 1. Texts are scanned once for e-mail addresses, phone, card and social security
    numbers, IBANs, IP addresses, credentials and person names (after an honorific, or a known
-   given name with a capitalised surname). Each entity has a canonical form, so that one
-   entity has one surrogate in every text, spelling and letter case; names go word by word,
-   so "Ms. Mary Stone" and "Stone" agree.
+   given name with a capitalised surname; then every capitalised mention of these words in the
+   same text). Each entity has a canonical form, so that one entity has one surrogate in every
+   text, spelling and letter case; names go word by word and by script, so "Ms. Mary Stone" and
+   "Stone" agree. Part and gender of a name are settled over all its mentions.
 2. The distinct entities of the corpus draw surrogates from a keyed hash. A draw
    fails if another entity has it or if it is itself an entity of the corpus; who
    fails draws again, so distinct entities stay distinct. Entities are one table, checked by grouping
@@ -80,6 +81,14 @@ _KNOWN = {n.casefold(): (script, gender) for (script, gender), names in GIVEN.it
 _GIVEN = re.compile(rf"(?<!\w)(?:{'|'.join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))})(?:\s{_WORD}){{1,2}}")
 
 
+#: Words that can stand capitalised behind a name and are none: they make no mention elsewhere.
+_COMMON = frozenset(
+    "the a an and or but in on at of to for from by with as is was are were he she it they we you his her this that these those not no yes if when while who what where how why "
+    "der die das ein eine und oder aber im am von zu mit aus ist war sind er sie es wir ihr nicht le la les un une des et ou mais dans sur de du pour par avec est il elle nous vous ce "
+    "el los las una y o pero en con por para es son no se lo su и в на с по не он она они мы вы это но а ο η το και οι τα".split()
+)
+
+
 def script_of(word: str) -> str:
     c = ord(word[0])
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
@@ -109,21 +118,40 @@ def _capitalised(words: list[str]) -> int:
     return n
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+def _bare(word: str) -> str:
+    """Without the ending of a possessive."""
+    return re.sub(r"['’][sS]?$", "", word)
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names where they are introduced, then every other capitalised mention of their words in the text."""
     found = [(m.start("name"), m["name"], HONORIFICS[m["title"]], True) for m in _TITLED.finditer(text)]
     found += [(m.start(), m[0], _KNOWN[m[0].split()[0].casefold()][1], False) for m in _GIVEN.finditer(text)]
+    out, told = [], {}
     for start, name, gender, titled in found:
-        words = [(start + m.start(), m[0]) for m in re.finditer(_WORD, name)]
+        words = [(start + m.start(), _bare(m[0])) for m in re.finditer(_WORD, name)]
         n = _capitalised([w for _, w in words])
         if n == 0 or (not titled and n == 1):
             continue
         for k, (at, w) in enumerate(words[:n]):
             script = script_of(w)
             known = _KNOWN.get(w.casefold())
-            if k < n - 1 or (known and not titled):
-                yield at, at + len(w), f"given:{script}:{known[1] if known else gender}", w.casefold()
-            else:
-                yield at, at + len(w), f"surname:{script}", w.casefold()
+            kind = f"given:{script}:{known[1] if known else gender}" if k < n - 1 or (known and not titled) else f"surname:{script}"
+            out.append((at, at + len(w), kind, w.casefold()))
+            if len(w) > 1 and w.casefold() not in _COMMON:
+                told.setdefault(w.casefold(), kind)
+    if told:
+        for m in re.finditer(_WORD, text):
+            if m[0][0].isupper() or not m[0].isalpha():
+                whole = _bare(m[0])
+                # a name of several parts is a mention as a whole, or else by its parts
+                parts = [(m.start(), whole)] if whole.casefold() in told else [(m.start() + x.start(), x[0]) for x in re.finditer(r"[^\W\d_]+", m[0])]
+                for at, w in parts:
+                    kind = told.get(w.casefold()) if w[0].isupper() else None
+                    # "The Mary" is a ship or a title
+                    if kind and not (kind.startswith("given:") and re.search(r"(?<!\w)The\s$", text[max(0, at - 5) : at])):
+                        out.append((at, at + len(w), kind, w.casefold()))
+    return out
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -268,6 +296,21 @@ def render(surface: str, kind: str, new: str) -> str:
     return new.upper() if kind != "secret" and surface.isupper() else new
 
 
+def _space(kind):
+    """Where surrogates must differ: names of a script share one space, whatever part or gender."""
+    return F.when(kind.rlike("^(given|surname):"), F.concat(F.lit("name:"), F.split_part(kind, F.lit(":"), F.lit(2)))).otherwise(kind)
+
+
+def resolve(mentions: DataFrame) -> DataFrame:
+    """kind and canonical, a row an entity: a name is a given name if it is one anywhere, of the gender that all its mentions which tell one agree on, else of none."""
+    gender = F.split_part("kind", F.lit(":"), F.lit(3))
+    told = F.array_sort(F.collect_set(F.when(gender.isin("f", "m"), gender)))
+    rows = mentions.withColumn("space", _space(F.col("kind"))).groupBy("space", "canonical").agg(F.max(F.col("kind").startswith("given:")).alias("given"), told.alias("told"), F.min("kind").alias("kind"))
+    script = F.split_part("space", F.lit(":"), F.lit(2))
+    kind = F.when(~F.col("space").startswith("name:"), F.col("kind")).when(F.col("given"), F.concat(F.lit("given:"), script, F.lit(":"), F.when(F.size("told") == 1, F.col("told")[0]).otherwise("n"))).otherwise(F.concat(F.lit("surname:"), script))
+    return rows.select(kind.alias("kind"), "canonical")
+
+
 _SPAN = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType())])
 
 
@@ -285,7 +328,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settle(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, canonical, surrogate: all distinct in kind and surrogate, none of them an entity."""
+    """kind, canonical, surrogate: all distinct in surrogate among a kind, or all names of a script, and none of them an entity."""
 
     def draw(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,14 +338,16 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
 
         return run
 
-    todo, done, attempt = entities, None, 0
+    entities = entities.withColumn("space", _space(F.col("kind")))
+    taken = entities.select("space", F.col("canonical").alias("surrogate"))
+    todo, done, attempt = entities.select("kind", "canonical"), None, 0
     while True:
-        drawn = todo.mapInArrow(lean(draw(attempt)), "kind string, canonical string, surrogate string")
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        free = first.join(entities.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = todo.mapInArrow(lean(draw(attempt)), "kind string, canonical string, surrogate string").withColumn("space", _space(F.col("kind")))
+        first = drawn.groupBy("space", "surrogate").agg(F.min_by(F.struct("kind", "canonical"), F.struct("canonical", "kind")).alias("e"))
+        free = first.join(taken, ["space", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done, ["kind", "surrogate"], "left_anti")
-        free = materialize(free.select("kind", "canonical", "surrogate"), "surrogates")
+            free = free.join(done.select(_space(F.col("kind")).alias("space"), "surrogate"), ["space", "surrogate"], "left_anti")
+        free = materialize(free.select("e.kind", "e.canonical", "surrogate"), "surrogates")
         todo = materialize(todo.join(free, ["kind", "canonical"], "left_anti"), "surrogates-left")
         done = free if done is None else done.union(free)
         if todo.isEmpty():
@@ -315,9 +360,9 @@ def replacements(docs: DataFrame, key: bytes, *, text: str = "text", most_broadc
     base = docs.select(F.md5(text).alias("mark"), F.col(text).alias("text"))
     occurrences = materialize(base.mapInArrow(lean(_scan), T.StructType([T.StructField("mark", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])), "entities")
     each = occurrences.select("mark", F.explode("spans").alias("s")).select("mark", "s.*").distinct()
-    entities = materialize(each.select("kind", "canonical").distinct(), "distinct-entities")
-    settled = materialize(settle(entities, key), "settled")
-    told = each.join(broadcast_if(settled, most_broadcast), ["kind", "canonical"])
+    entities = materialize(resolve(each.select("kind", "canonical").distinct()), "distinct-entities")
+    settled = materialize(settle(entities, key).withColumn("space", _space(F.col("kind"))), "settled")
+    told = each.withColumn("space", _space(F.col("kind"))).drop("kind").join(broadcast_if(settled, most_broadcast), ["space", "canonical"])
     return materialize(told.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "surrogate"))).alias("parts")), "replacements")
 
 
