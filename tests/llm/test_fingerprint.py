@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,17 @@ def test_next_goes_down_and_round(spark):
     df = spark.createDataFrame([(None, "n"), (1, "a"), (1, "b"), (2, None)], "doc_id long, text string")
     assert sorted((r.text, r.next_text) for r in fp.with_next(df).collect()) == [("", "a"), ("a", "b"), ("b", "n"), ("n", "")]
     assert fp.with_next(df.limit(0)).count() == 0
+
+
+def test_jaccard_holds_at_any_length(spark):
+    pairs = [("a", "a"), ("a", "b"), (None, "\n"), ("", "a"), ("a\nb\nc", "c\na\nb"), ("line\n" * 3000, "line\n" * 1500)]
+    for n, changed in [(100, 3), (100, 50), (5000, 150), (5000, 2500), (5000, 5000)]:
+        pairs.append(("\n".join(f"{n} p{i}" for i in range(n)), "\n".join(f"{n} {'q' if i < changed else 'p'}{i}" for i in range(n))))
+    v = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    v = v.select("i", fp.sketch(F.col("a")).alias("a"), fp.sketch(F.col("b")).alias("b"), fp.sketch(F.concat_ws("\n", "a", "b")).alias("both"))
+    both, less = fp.combine_sketches(F.col("a"), F.col("b")) == F.col("both"), fp.combine_sketches(F.col("both"), F.col("b"), -1) == F.col("a")
+    for r in v.select("i", (both & less).alias("adds"), fp.jaccard(F.col("a"), F.col("b")).alias("near")).collect():
+        a, b = (Counter(p for p in (t or "").split("\n") if p) for t in pairs[r.i])
+        true = (a & b).total() / (a | b).total() if a | b else 1.0
+        assert r.adds and abs(r.near - true) <= (0.15 if max(a.total(), b.total()) > 1 and true < 1 else 0), (r.i, r.near, true)
+        assert true < 0.9 or abs(r.near - true) < 0.03, (r.i, r.near, true)

@@ -117,6 +117,10 @@ def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op9(spark, sf_dir)
 
 
+def paragraph_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.paragraph_likeness(spark, sf_dir)
+
+
 #: The given host and path rules, as (verdict, rule).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -149,6 +153,7 @@ QUERIES = {
     "op8_zstd_warc": op8_zstd_warc,
     "op9_multiset_fingerprints": op9_multiset_fingerprints,
     "op10_url_rules": op10_url_rules,
+    "paragraph_likeness": paragraph_likeness,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
