@@ -64,3 +64,10 @@ def test_verdicts_and_empty(spark):
     got = {r.page_id: r.verdict for r in urls.verdicts(parts, [], keep=["page_id"]).collect()}
     assert got[0] == "allow" and got[2] == "block" and got[3] == "allow" and got[6] == "block"
     assert urls.verdicts(parts.limit(0), [], keep=["page_id"]).count() == 0
+
+
+def test_long_parts_differ_after_64_characters():
+    long = "a" * 64
+    one, two = (urls.tokens(f"https://x.com/{long}{c}?{long}{c}=1", "x.com", f"/{long}{c}") for c in "bc")
+    assert not {t for t in one if t[:2] in ("p:", "q:")} & {t for t in two if t[:2] in ("p:", "q:")}
+    assert f"p:{long}" in urls.tokens(f"https://x.com/{long}", "x.com", f"/{long}")
