@@ -78,9 +78,28 @@ def test_one_of_each_class_stays(spark):
     kept = [r.doc_id for r in jaccard.keep_one(df).collect()]
     want = {c for _, c, *_ in brute(rows)} - {None}
     assert {k for k in kept if k is not None} == want and Counter(kept)[rows[4][0]] == (1 if rows[4][0] in want else 0)
+    assert None not in kept
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
+def test_nameless_and_shared_ids_leave_one_row_a_class(spark):
+    rng = random.Random(7)
+    base = [f"v{rng.randrange(900)}" for _ in range(80)]
+    near = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(6)]
+    rows = [(None, t, 1) for t in near] + [(None, "alone here", 1), (None, "alone here", 2), (None, None, 1), (None, None, 2), (9, "other words " + near[0][::-1], 1), (9, "other words " + near[0][::-1] + " x", 1)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __n int")).collect()
+    assert len([r for r in kept if r.text in near]) == 1 and len([r for r in kept if r.text == "alone here"]) == 1
+    assert len([r for r in kept if r.text is None]) == 1 and len([r for r in kept if r.doc_id == 9]) == 1 and len(kept) == 4
+
+
+def test_chained_buckets_meet_only_where_they_share_a_band(spark):
+    """A long chain of texts, each near the next: one component of many blocks, links between neighbours alone."""
+    words = [f"c{i}" for i in range(4000)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 120])) for k in range(400)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_nodes=8, threshold=0.8).collect()
+    assert Counter((r.doc_id, r.class_id, r.copy_id, r.n_copies, r.n_links) for r in got) == brute(rows)
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = jaccard.choose_bands(threshold, 0.999, 400)

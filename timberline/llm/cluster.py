@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timberline.shipping import ship
 
@@ -36,12 +37,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; own temporary one only where none is set."""
+    """The folder that driver and executors share; own temporary one only where none is set and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -54,17 +57,40 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+def materialize(df: DataFrame, tag: str = "step", **options) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it; ``options`` are the writer's."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only if the (materialized) ``df`` has at most ``max_rows`` rows, else a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+#: Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a field and element, and the lengths of strings and binaries."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        eight = F.lit(8).cast("long")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return eight + F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, T.StructType):
+            return F.coalesce(sum((width(c[f.name], f.dataType) for f in kind.fields), eight), eight)
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            if isinstance(inner, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+                return F.coalesce(F.aggregate(c, eight, lambda acc, x: acc + width(x, inner)), eight)
+            return eight + 8 * F.coalesce(F.size(c), F.lit(0))
+        return eight
+
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8).cast("long"))
+
+
+def broadcast_if(df: DataFrame, most_bytes: int) -> DataFrame:
+    """Broadcast hint only if the rows of the (materialized) ``df`` have at most ``most_bytes`` bytes, else a shuffle join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ Every round takes the least label among a node's neighbours, then the label of
 that label; rounds are written to the shared folder, and their number grows with
 the logarithm of a component's width. Nothing is collected but counts. Nodes are
 numbers, so that all aggregates are hash aggregates; labels are broadcast while
-their count allows it and joined by a shuffle beyond.
+their bytes allow it and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.cluster import broadcast_if, materialize
+from timberline.llm.cluster import BROADCAST_BYTES, broadcast_if, materialize
 
 
 def contract(edges: DataFrame, most_broadcast: int) -> DataFrame:
@@ -22,13 +22,14 @@ def contract(edges: DataFrame, most_broadcast: int) -> DataFrame:
     return least.select("u", F.col("least").alias("v")).union(over)
 
 
-def components(edges: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """node and label (the least node of its component) for every node of the edges (u, v)."""
     both = materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).withColumn("label", F.least("node", "label")), "labels")
     n = labels.count()
-    side = F.broadcast if n <= most_broadcast else (lambda df: df)
-    few = (lambda df: df.coalesce(1 + n // 50_000)) if n <= most_broadcast else (lambda df: df)
+    small = 24 * n <= most_broadcast
+    side = F.broadcast if small else (lambda df: df)
+    few = (lambda df: df.coalesce(1 + n // 50_000)) if small else (lambda df: df)
     while True:
         near = both.join(side(labels.select(F.col("node").alias("v"), "label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         better = near.join(side(labels.select("node", "label")), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))

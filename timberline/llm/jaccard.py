@@ -6,11 +6,11 @@
 2. A node's MinHash signature is cut into bands of rows; ``choose_bands`` takes the most
    rows a band whose bands, within ``max_hashes``, still reach the target recall at the
    threshold. Band hashes are shuffled; those of two nodes or more link each to the least.
-3. Connected nodes make a candidate component. Its sets meet once, in pairs of blocks
-   of at most ``block_nodes`` nodes and about ``block_grams`` n-grams, spread over tasks: each pair
-   of blocks counts the common n-grams of all its pairs by matrix products and gives
-   each node's number of links and a spanning forest of them. No pair is left out and
-   none is emitted.
+3. Connected nodes make a candidate component, whose nodes are dealt to blocks of about ``block_nodes`` nodes
+   and ``block_grams`` n-grams, those of one large bucket together. Only pairs of blocks that share a band
+   hash meet, spread over tasks: each counts the common n-grams of all its pairs by matrix products and gives
+   each node's number of links and a spanning forest of them. So a chain of buckets costs as much as its
+   buckets do, no pair that shares a band is left out, and none is emitted.
 4. Components of the links are the classes.
 
 Recall is the bands'; what they bring together is decided exactly.
@@ -18,7 +18,7 @@ Recall is the bands'; what they bring together is decided exactly.
 Defined results: null texts and texts without words have no links and are classes by
 themselves; a class is named by its least doc_id (null only if all are); repeated rows
 are copies of each other; an empty table gives no rows; only the two named columns
-are read.
+are read. Ids are cast to 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import broadcast_if, lean, materialize
+from timberline.llm.cluster import BROADCAST_BYTES, broadcast_if, lean, materialize
 from timberline.llm.components import components, contract
 
 _U = np.uint64
@@ -101,7 +101,7 @@ def _sketch(n: int, bands: int, rows: int):
                 for i, r in enumerate(full):
                     nodes[r] = _node(h[at[r] : at[r + 1]])
                     signatures[r] = keys[i].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(nodes, pa.binary()), pa.array(np.diff(at)), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "node", "n_grams", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")), pa.array(nodes, pa.binary()), pa.array(np.diff(at)), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n_grams", "bands"])
 
     return sketch
 
@@ -117,8 +117,8 @@ def _sets(n: int):
                 h, at = gram_sets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
                 mine = [i for i in range(hi - lo) if at[i + 1] > at[i] and _node(h[at[i] : at[i + 1]]) == nodes[lo + i]]
                 part = batch.slice(lo, hi - lo).take(pa.array(mine, pa.int64()))
-                cols = [part.column(c) for c in ("label", "blocks", "id", "copies")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())], names=["label", "blocks", "id", "copies", "grams"])
+                cols = [part.column(c) for c in ("label", "block", "id", "copies")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())], names=["label", "block", "id", "copies", "grams"])
 
     return sets
 
@@ -231,67 +231,90 @@ def _verify(threshold: Fraction):
     return verify
 
 
-def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 192, block_nodes: int = 256, block_grams: int = 1 << 19, most_broadcast: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, class_id (least doc_id of the connected class), copy_id (least doc_id of an equal set),
-    n_copies (rows of that set) and n_links (other rows at the threshold or above) of each row."""
+    n_copies (rows of that set) and n_links (other rows at the threshold or above) of each row; ``options`` are those of ``classes``."""
+    sketch, last = classes(docs, doc_id=doc_id, text=text, **options)
+    return sketch.select("doc_id", "node").join(last, "node", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("copies", F.lit(1).cast("bigint")).alias("n_copies"),
+        (F.coalesce("others", F.lit(0).cast("bigint")) + F.coalesce("copies", F.lit(1).cast("bigint")) - 1).alias("n_links"),
+    )
+
+
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 192, block_nodes: int = 128, block_grams: int = 1 << 19, most_broadcast: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, mark (digest of its text) and node; and of each node that has copies or links: copy_id, copies, others (links
+    to other nodes' rows), class_no and class_id."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketch = materialize(base.mapInArrow(lean(_sketch(n, bands, rows)), "doc_id bigint, node binary, n_grams bigint, bands array<bigint>"), "sketch")
+    sketch = materialize(base.withColumn("mark", F.unhex(F.md5("text"))).mapInArrow(lean(_sketch(n, bands, rows)), "doc_id bigint, mark binary, node binary, n_grams bigint, bands array<bigint>"), "sketch")
     nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     # numbers stand for nodes from here on: fixed once they are written
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     # candidates: nodes that share a band hash
     keys = nodes.select("id", F.explode("bands").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub <> most").drop("most"), "bands")
+    shared = materialize(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most"), F.count("*").alias("held")).filter("hub <> most").drop("most"), "bands")
+    seats = keys.join(broadcast_if(shared, most_broadcast), "key")
     # a node has at most as many hubs as bands: it keeps the least, which takes over the others
-    hubs = keys.join(broadcast_if(shared, most_broadcast), "key").filter("id <> hub").select("id", "hub").distinct()
-    stars = materialize(hubs.select(F.col("id").alias("u"), F.col("hub").alias("v")), "hubs")
+    stars = materialize(seats.filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), "hubs")
     held = components(contract(stars, most_broadcast), most_broadcast)
     member = materialize(nodes.drop("bands").join(broadcast_if(held.withColumnRenamed("node", "id"), most_broadcast), "id").select("label", "id", "node", "copy_id", "copies", "n_grams"), "members")
-    sizes = materialize(member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks")), "sizes")
-    wanted = member.join(broadcast_if(sizes, most_broadcast), "label")
-
-    # their sets meet, block by block
-    grams = _fetch(base, materialize(wanted, "candidates"), most_broadcast)
-    grams = grams.mapInArrow(lean(_sets(n)), "label bigint, blocks int, id bigint, copies bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = grams.withColumn("other", other).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "grams")
+
+    # blocks of components that are too large for one: a bucket's nodes together, unless they are too many themselves
+    size = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int")
+    large = materialize(member.groupBy("label").agg(size.alias("blocks")).filter("blocks > 1"), "large")
+    within = broadcast_if(materialize(member.join(broadcast_if(large, most_broadcast), "label").select("label", "id", "blocks"), "within"), most_broadcast)
+    seats = materialize(seats.select("id", "key", "held").join(within, "id"), "seats")
+    home = seats.groupBy("label", "id", "blocks").agg(F.max(F.struct("held", "key")).alias("home"))
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(4 * F.col("home.held") / block_nodes).cast("bigint"))
+    dealt = materialize(home.select("label", "id", F.pmod(F.xxhash64("home.key", chunk), F.col("blocks")).cast("int").alias("block")), "dealt")
+    met = seats.select("id", "key").join(broadcast_if(dealt, most_broadcast), "id").groupBy("label", "key").agg(F.sort_array(F.collect_set("block")).alias("met")).select("label", "met").distinct()
+    met = met.select("label", "met", F.explode("met").alias("i")).select("label", "i", F.explode(F.filter("met", lambda x: x >= F.col("i"))).alias("j")).distinct()
+    met = materialize(met.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "meetings")
+
+    # the sets of two blocks meet
+    wanted = materialize(member.join(broadcast_if(dealt.select("id", "block"), most_broadcast), "id", "left").withColumn("block", F.coalesce("block", F.lit(0))), "candidates")
+    grams = _fetch(base, wanted, most_broadcast).mapInArrow(lean(_sets(n)), "label bigint, block int, id bigint, copies bigint, grams binary")
+    pairs = grams.join(broadcast_if(met, most_broadcast), ["label", "block"], "left").select("label", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "id", "copies", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(pairs.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(lean(_verify(Fraction(str(threshold)))), "u bigint, v bigint, n bigint"), "links")
 
     counts = materialize(found.filter("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others")), "counts")
-    classes = components(contract(found.filter("v is not null").select("u", "v"), most_broadcast), most_broadcast).select(F.col("node").alias("id"), "label")
-    placed = materialize(member.select("id", "copy_id").join(broadcast_if(classes, most_broadcast), "id"), "placed")
+    joined = components(contract(found.filter("v is not null").select("u", "v"), most_broadcast), most_broadcast).select(F.col("node").alias("id"), "label")
+    placed = materialize(member.select("id", "copy_id").join(broadcast_if(joined, most_broadcast), "id"), "placed")
     least = materialize(placed.groupBy("label").agg(F.min("copy_id").alias("class_id")), "least")
-    linked = materialize(placed.select("id", "label").join(broadcast_if(least, most_broadcast), "label").select("id", "class_id"), "linked")
-    special = nodes.select("id", "node", "copy_id", "copies").join(broadcast_if(counts, most_broadcast), "id", "left").join(broadcast_if(linked, most_broadcast), "id", "left").filter("copies > 1 or others is not null").drop("id")
-    last = broadcast_if(materialize(special, "classes"), most_broadcast)
-    return sketch.select("doc_id", "node").join(last, "node", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),
-        F.coalesce("copy_id", "doc_id").alias("copy_id"),
-        F.coalesce("copies", F.lit(1).cast("bigint")).alias("n_copies"),
-        (F.coalesce("others", F.lit(0).cast("bigint")) + F.coalesce("copies", F.lit(1).cast("bigint")) - 1).alias("n_links"),
-    )
+    linked = materialize(placed.select("id", "label").join(broadcast_if(least, most_broadcast), "label").select("id", F.col("label").alias("class_no"), "class_id"), "linked")
+    special = nodes.select("id", "node", "copy_id", "copies").join(broadcast_if(counts, most_broadcast), "id", "left").join(broadcast_if(linked, most_broadcast), "id", "left").filter("copies > 1 or others is not null")
+    return sketch, broadcast_if(materialize(special.withColumn("class_no", F.coalesce("class_no", "id")).drop("id"), "classes"), most_broadcast)
 
 
 def _fetch(base: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
     """Texts of the candidates' first rows; several rows may have that doc_id."""
-    names = broadcast_if(wanted.select("copy_id", "label", "blocks", "id", "node", "copies"), most_broadcast)
-    return base.join(names, base["doc_id"].eqNullSafe(names["copy_id"])).select("label", "blocks", "id", "node", "copies", "text")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the rows of each class's least doc_id; of rows that share doc_id and text one stays.
-    Rows without doc_id stay, but for equal texts."""
-    found = join(docs, doc_id=doc_id, text=text, **options)
-    gone = materialize(found.filter("doc_id is not null and class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.join(broadcast_if(gone, 1_000_000), F.col(doc_id) == F.col("__gone"), "left_anti")
-    twice = materialize(found.groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1"), "twice")
+    names = broadcast_if(wanted.select("copy_id", "label", "block", "id", "node", "copies"), most_broadcast)
+    return base.join(names, base["doc_id"].eqNullSafe(names["copy_id"])).select("label", "block", "id", "node", "copies", "text")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = BROADCAST_BYTES, **options) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id (null ones come last), then of the least text digest.
+    Of other rows that share doc_id and text one stays, too."""
+    sketch, last = classes(docs, doc_id=doc_id, text=text, most_broadcast=most_broadcast, **options)
+    rows = materialize(sketch.select("doc_id", "mark", "node").join(last.select("node", "class_no"), "node").select("doc_id", "mark", "class_no"), "class-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))
+    stay = materialize(rows.groupBy("class_no").agg(first.alias("stay")).select("class_no", "stay.*").drop("nameless"), "stay")
+    kept = broadcast_if(stay.select("class_no", F.col("doc_id").alias("__id"), F.col("mark").alias("__m")), most_broadcast)
+    gone = materialize(rows.join(kept, "class_no").filter(~(F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("mark").eqNullSafe(F.col("__m")))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).distinct(), "gone")
+    here = lambda t: F.col("here").eqNullSafe(t["__id"]) & F.col("mark").eqNullSafe(t["__m"])
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(doc_id).cast("bigint").alias("here"), F.unhex(F.md5(text)).alias("mark"))
+    gone = broadcast_if(gone, most_broadcast)
+    left = whole.join(gone, here(gone), "left_anti")
+    twice = materialize(sketch.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     if twice.isEmpty():
-        return left
-    marked = left.join(broadcast_if(twice, 1_000_000), F.col(doc_id).eqNullSafe(F.col("__twice")), "left")
-    nth = F.row_number().over(Window.partitionBy(doc_id, text).orderBy(F.lit(0)))
-    again = marked.filter("__n is not null").withColumn("__nth", nth).filter("__nth = 1")
-    return marked.filter("__n is null").select(*docs.columns).union(again.select(*docs.columns))
+        return left.select("whole.*")
+    twice = broadcast_if(twice, most_broadcast)
+    left = left.join(twice, here(twice), "left").select("whole", "here", "mark", "n")
+    nth = F.row_number().over(Window.partitionBy("here", "mark").orderBy(F.lit(0)))
+    again = left.filter("n is not null").withColumn("nth", nth).filter("nth = 1")
+    return left.filter("n is null").select("whole.*").union(again.select("whole.*"))

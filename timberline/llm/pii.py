@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import broadcast_if, lean, materialize
+from timberline.llm.cluster import BROADCAST_BYTES, broadcast_if, lean, materialize
 
 # ---- fixed values: names that are known and drawn, by script and gender
 GIVEN = {
@@ -355,7 +355,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
         attempt += 1
 
 
-def replacements(docs: DataFrame, key: bytes, *, text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+def replacements(docs: DataFrame, key: bytes, *, text: str = "text", most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """mark (the MD5 digest of the text) and parts: begin, end, kind and surrogate of each entity, in order."""
     base = docs.select(F.md5(text).alias("mark"), F.col(text).alias("text"))
     occurrences = materialize(base.mapInArrow(lean(_scan), T.StructType([T.StructField("mark", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])), "entities")
@@ -366,7 +366,7 @@ def replacements(docs: DataFrame, key: bytes, *, text: str = "text", most_broadc
     return materialize(told.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "surrogate"))).alias("parts")), "replacements")
 
 
-def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with surrogates in column ``text``, and n_replaced."""
     parts = replacements(docs, key, text=text, most_broadcast=most_broadcast)
     others = [c for c in docs.columns if c not in (text, "n_replaced")]
