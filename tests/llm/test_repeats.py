@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from timberline.llm import kernels as K
 from timberline.llm import repeats
 
 
@@ -64,3 +67,13 @@ def test_shuffled_joins_and_other_widths(spark):
 
 def test_empty_table(spark):
     assert repeats.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_first_hashes_are_told_apart_by_the_second():
+    first, second = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    order, group = repeats._groups(first, second)
+    assert [sorted(order[group == g].tolist()) for g in range(3)] == [[0, 2], [1, 4], [3]]
+    raw, offs = K.buffers(pa.array(["one two three"]))
+    s, e, _ = K.find_words(raw, offs, K.NOT_SPACE)
+    a, b = K.hash_words(raw, s, e), K.hash_words(raw, s, e, second=True)
+    assert not set(a) & set(b) and K.hash_windows(a, 2)[0] != K.hash_windows(a, 2, second=True)[0]

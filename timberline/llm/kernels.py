@@ -41,6 +41,9 @@ _POW = _powers(_BASE, _BLOCK + _LONG + 1)
 _INV = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + _LONG + 1)
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
 _STEP = _U(0xA24BAED4963EE407)
+_STEP2 = _U(0x9FB21C651E98DF25)
+#: A second set of values, for hashes that must tell apart what the first ones do not.
+_BYTE2 = mix(np.arange(1001, 1257, dtype=_U) * _U(0x8CB92BA72F3D8DD7))
 
 #: Lower case for A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -94,8 +97,9 @@ def find_words(buf: np.ndarray, offs: np.ndarray, chars: np.ndarray) -> tuple[np
     return s, e, np.searchsorted(s, offs)
 
 
-def hash_words(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same on every machine."""
+def hash_words(buf: np.ndarray, s: np.ndarray, e: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same on every machine; ``second`` gives another one."""
+    values = _BYTE2 if second else _BYTE
     out = np.empty(len(s), dtype=_U)
     i = 0
     while i < len(s):
@@ -104,23 +108,24 @@ def hash_words(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         short = e[i:j] - s[i:j] <= _LONG
         end = min(int(e[j - 1]), at + _BLOCK + _LONG)
         c = np.zeros(end - at + 1, dtype=_U)
-        np.cumsum(_BYTE[buf[at:end]] * _POW[: end - at], out=c[1:])
+        np.cumsum(values[buf[at:end]] * _POW[: end - at], out=c[1:])
         a, b = s[i:j] - at, np.minimum(e[i:j] - at, end - at)
         out[i:j] = (c[b] - c[a]) * _INV[a]
         for k in np.flatnonzero(~short) + i:
-            out[k] = int.from_bytes(blake2b(buf[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+            out[k] = int.from_bytes(blake2b(buf[s[k] : e[k]].tobytes(), digest_size=8, person=b"second" if second else b"").digest(), "little")
         i = j
     return mix(out)
 
 
-def hash_windows(words: np.ndarray, n: int) -> np.ndarray:
+def hash_windows(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` words; runs may cross rows, see ``inside``."""
+    step = _STEP2 if second else _STEP
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=_U)
     h = words[:m].copy()
     for k in range(1, n):
-        h *= _STEP
+        h *= step
         h += words[k : k + m]
     return mix(h)
 

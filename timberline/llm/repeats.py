@@ -12,7 +12,7 @@ window of ``block`` words is a probe:
 2. Each bucket finds the hashes that an index block has and at least two documents hold,
    and gives each document a bit map of its anchors.
 3. Documents with anchors extend them: every run of ``width`` words around an anchor is
-   sent with a 64-bit hash (besides the bucket's bits) to find the least doc_id of each; runs
+   sent with a hash of 128 bits, from two sets of word and step values, to find the least doc_id of each; runs
    of a greater doc_id are repeats. Overlapping runs join to maximal exact repeats.
 4. The words of the repeats are cut out.
 
@@ -21,7 +21,7 @@ The first step's exchange is a little over four bytes a word, whatever the texts
 Defined results: a null text has no words; a null doc_id is greater than all others, so
 those rows lose repeats and cause none; rows of one doc_id never cause each other's
 removals; equal rows have equal results; an empty table gives no rows; of the
-input only the two named columns are read.
+input only the two named columns are read. Ids are cast to 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm import kernels as K
-from timberline.llm.cluster import lean, materialize
+from timberline.llm.cluster import BROADCAST_BYTES, broadcast_if, lean, materialize
 
 _LAST = np.iinfo(np.int64).max
 _SLICE = 4 << 20
@@ -57,11 +57,17 @@ def _windows(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return h[ok], row, ok - at[row], at
 
 
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by hash, and the group number of each in that order."""
-    order = np.argsort(h, kind="stable")
+def _groups(h: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash (of one or two words), and the group number of each in that order."""
+    order = np.argsort(h, kind="stable") if second is None else np.lexsort((second, h))
+    if not len(h):
+        return order, np.zeros(0, np.int64)
     x = h[order]
-    return order, np.cumsum(np.r_[False, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    new = x[1:] != x[:-1]
+    if second is not None:
+        y = second[order]
+        new |= y[1:] != y[:-1]
+    return order, np.cumsum(np.r_[False, new])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -275,14 +281,15 @@ def _send_runs(n: int, width: int, n_buckets: int):
                 seen = np.cumsum(mark_at)
                 s, e, _ = K.find_words(buf, offs, K.NOT_SPACE)
                 full = K.hash_windows(K.hash_words(buf, s, e), width)
+                full2 = K.hash_windows(K.hash_words(buf, s, e, second=True), width, second=True)
                 starts = np.flatnonzero(K.inside(at, width)) if len(full) else np.zeros(0, np.int64)
                 starts = starts[seen[starts + width - n + 1] > seen[starts]]
                 if not len(starts):
                     continue
-                run = full[starts]
+                run, run2 = full[starts], full2[starts]
                 row = np.searchsorted(at, starts, side="right") - 1
                 doc = ids[lo + row]
-                order, group = _groups(run)
+                order, group = _groups(run, run2)
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 least = np.minimum.reduceat(doc[order], first)
                 repeat = np.empty(len(run), dtype=bool)
@@ -303,7 +310,7 @@ def _send_runs(n: int, width: int, n_buckets: int):
                     out[1].append(np.concatenate([ids[rows], marks[rows]]).tobytes())
                     out[2].append(np.diff(np.r_[head, len(o)]).astype(np.uint32).tobytes())
                     out[3].append(np.packbits(repeat[o]).tobytes() + offset[o].tobytes())
-                    out[4].append(run[ask].tobytes())
+                    out[4].append(np.column_stack([run[ask], run2[ask]]).tobytes())
                 yield _pack(out, ["bucket", "docs", "counts", "bits", "hashes"], [pa.int32(), *[pa.binary()] * 4])
 
     return send
@@ -321,10 +328,10 @@ def _find_repeats(parts: int):
                 repeat.append(np.unpackbits(raw[:step], count=n).astype(bool))
                 places.append(raw[step:].copy().view(np.uint32))
             docs, marks, counts = (np.concatenate(x) for x in (held.docs, held.marks, held.counts))
-            repeat, places, hashes = np.concatenate(repeat), np.concatenate(places), np.concatenate(held.hashes)
+            repeat, places, hashes = np.concatenate(repeat), np.concatenate(places), np.concatenate(held.hashes).reshape(-1, 2)
             asked = np.flatnonzero(~repeat)
             doc = docs[np.repeat(np.arange(len(docs)), counts)[asked]]
-            order, group = _groups(hashes)
+            order, group = _groups(hashes[:, 0], hashes[:, 1])
             if len(order):
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 least = np.minimum.reduceat(doc[order], first)
@@ -375,7 +382,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, block: int = 7, bucket_bytes: int = 128 << 20, most_broadcast: int = 500_000) -> DataFrame:
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, block: int = 7, bucket_bytes: int = 128 << 20, most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one blank) of each row."""
     if width < 2 * block - 1:
         raise ValueError("a shared run must hold a whole block: width >= 2 * block - 1")
@@ -394,9 +401,9 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     hits = answered(base.mapInArrow(lean(_send_probes(block, buckets)), _ROWS), _find_anchors(buckets), _gather_anchors, "key bigint, mark bigint, buckets binary, bits binary")
     keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST))))
     names = hits.select("key", "mark")
-    some = keyed.join(F.broadcast(names), ["key", "mark"], "left_semi") if hits.count() <= most_broadcast else keyed
+    some = keyed.join(F.broadcast(names), ["key", "mark"], "left_semi") if 24 * hits.count() <= most_broadcast else keyed
     with_hits = some.join(hits.hint("shuffle_merge"), ["key", "mark"]).select("doc_id", "text", "mark", "buckets", "bits")
     repeats = answered(with_hits.mapInArrow(lean(_send_runs(block, width, buckets)), _ROWS), _find_repeats(buckets), _gather_runs(width), "key bigint, mark bigint, runs binary")
-    last = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
+    last = broadcast_if(repeats, most_broadcast)
     whole = keyed.join(last, ["key", "mark"], "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(lean(_cut), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
