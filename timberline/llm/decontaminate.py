@@ -4,9 +4,9 @@ A text's words are runs of digits, a-z (after lower-casing A-Z) and bytes beyond
 ASCII. Each benchmark item gives its windows of ``width`` words, or one shorter
 window if it has fewer words. Training texts are scanned window by window in
 Arrow batches: hash, bitmap, sorted hash list, then an exact comparison of the
-words. There is no shuffle. The benchmark is broadcast in shards of at most
-``shard_bytes`` of text; a larger one takes several passes, with the spans found
-so far written to the shared folder between passes.
+words. There is no shuffle. The index is built once on the driver, of at most
+``shard_bytes`` of benchmark text at a time, and broadcast (some seven bytes a byte of text); a larger
+benchmark takes several passes, with the spans found so far written to the shared folder between passes.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items have no windows; rows repeat as they come; items that share an
@@ -32,43 +32,61 @@ _BITS = 22
 
 
 class WindowIndex:
-    """The windows of some items, by length: bitmap, sorted hashes, and words to item ids."""
+    """The windows of some items in flat arrays, so that it is built once and broadcast: the items' words parted by
+    blanks, where each begins and ends, and by window length a bitmap, the sorted hashes, and the first word and item of each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.ids: dict[bytes, set[str | None]] = {}
+        self.names = sorted({i for i, _ in items if i is not None})
         buf, offs = K.buffers(pa.array([t for _, t in items], pa.string()))
         buf = K.LOWER[buf]
         s, e, at = K.find_words(buf, offs, K.ALNUM)
-        hashes = K.hash_words(buf, s, e)
-        found: dict[int, list[np.ndarray]] = {}
-        for k, (item, _) in enumerate(items):
-            lo, hi = int(at[k]), int(at[k + 1])
-            n = min(width, hi - lo)
-            if n == 0:
-                continue
-            found.setdefault(n, []).append(K.hash_windows(hashes[lo:hi], n))
-            words = [buf[a:b].tobytes() for a, b in zip(s[lo:hi], e[lo:hi], strict=True)]
-            for i in range(hi - lo - n + 1):
-                self.ids.setdefault(b" ".join(words[i : i + n]), set()).add(item)
-        for n, parts in found.items():
-            h = np.unique(np.concatenate(parts))
+        words = K.hash_words(buf, s, e)
+        # words moved together, one blank between two
+        sizes = e - s
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.end = self.begin + sizes
+        self.text = np.full(int(self.end[-1]) + 1 if len(s) else 0, 32, np.uint8)
+        joined = np.ones(len(self.text), dtype=bool)
+        joined[self.end] = False
+        self.text[joined] = buf[K.ALNUM[buf]]
+        number = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([-1 if i is None else number[i] for i, _ in items], np.int32)
+        counts = np.diff(at)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({int(x) for x in np.minimum(counts, width) if x}):
+            mine = np.flatnonzero(np.minimum(counts, width) == n)
+            first = np.concatenate([np.arange(at[k], at[k + 1] - n + 1) for k in mine])
+            item = np.repeat(owner[mine], counts[mine] - n + 1)
+            h = K.hash_windows(words, n)[first]
+            order = np.lexsort((first, item, h))
+            h, first, item = h[order], first[order].astype(np.int32 if len(s) < 1 << 31 else np.int64), item[order]
+            # an item's window that it holds again says nothing new
+            new = np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])]
+            for k in np.flatnonzero(~new):
+                new[k] = self._words(int(first[k]), n) != self._words(int(first[k - 1]), n)
             bitmap = np.zeros(1 << _BITS, dtype=bool)
             bitmap[h >> np.uint64(64 - _BITS)] = True
-            self.by_length[n] = (bitmap, h)
+            self.by_length[n] = (bitmap, h[new], first[new], item[new])
+
+    def _words(self, first: int, n: int) -> bytes:
+        return self.text[self.begin[first] : self.end[first + n - 1]].tobytes()
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.text, self.begin, self.end)) + sum(x.nbytes for held in self.by_length.values() for x in held)
 
     def hits(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, set]]:
         """(first word, length, item ids) of each occurrence, in the lower-cased buffer."""
         words = K.hash_words(buf, s, e)
-        for n, (bitmap, known) in self.by_length.items():
+        for n, (bitmap, known, first, item) in self.by_length.items():
             h = K.hash_windows(words, n)
             i = np.flatnonzero(bitmap[h >> np.uint64(64 - _BITS)])
             i = i[K.inside(at, n)[i]]
-            place = np.minimum(np.searchsorted(known, h[i]), len(known) - 1)
-            for p in i[known[place] == h[i]]:
-                ids = self.ids.get(b" ".join(buf[a:b].tobytes() for a, b in zip(s[p : p + n], e[p : p + n], strict=True)))
-                if ids is not None:
-                    yield int(p), n, ids
+            lo, hi = (np.searchsorted(known, h[i], side=side) for side in ("left", "right"))
+            for p, a, b in zip(i[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                here = b" ".join(buf[x:y].tobytes() for x, y in zip(s[p : p + n], e[p : p + n], strict=True))
+                same = [k for k in range(a, b) if self._words(int(first[k]), n) == here]
+                if same:
+                    yield p, n, {self.names[item[k]] if item[k] >= 0 else None for k in same}
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,14 +131,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     rows = next(shards)
     while rows is not None:
         ahead = next(shards, None)
-        df = _scan(df, spark.sparkContext.broadcast(rows), keep, width, ahead is None, cleaned)
+        df = _scan(df, spark.sparkContext.broadcast(WindowIndex(rows, width)), keep, ahead is None, cleaned)
         if ahead is not None:
             df = materialize(df, "decontaminate")
         rows = ahead
     return df
 
 
-def _scan(df: DataFrame, items, keep: list[str], width: int, final: bool, cleaned: str | None) -> DataFrame:
+def _scan(df: DataFrame, shared, keep: list[str], final: bool, cleaned: str | None) -> DataFrame:
     fields = [df.schema[c] for c in keep]
     if final:
         fields += [T.StructField("n_words", T.LongType())]
@@ -132,7 +150,7 @@ def _scan(df: DataFrame, items, keep: list[str], width: int, final: bool, cleane
     schema = T.StructType(fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = WindowIndex(items.value, width)
+        index = shared.value
         for batch in batches:
             raw, offs = K.buffers(batch.column("__text"))
             for lo, hi in K.row_slices(offs):
