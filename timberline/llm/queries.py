@@ -98,7 +98,7 @@ def op7_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = materialize(warc.write_archives(warc.plan(table(spark, sf_dir, "pages"))), "warc")
+    archives = materialize(warc.write_archives(warc.plan(table(spark, sf_dir, "pages"))), "warc", **warc.FILE_OPTIONS)
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
