@@ -71,3 +71,33 @@ def test_long_parts_differ_after_64_characters():
     one, two = (urls.tokens(f"https://x.com/{long}{c}?{long}{c}=1", "x.com", f"/{long}{c}") for c in "bc")
     assert not {t for t in one if t[:2] in ("p:", "q:")} & {t for t in two if t[:2] in ("p:", "q:")}
     assert f"p:{long}" in urls.tokens(f"https://x.com/{long}", "x.com", f"/{long}")
+
+
+def test_many_common_tokens_are_one_and_raise_the_support(spark):
+    """Forty tokens that all URLs share would have 2^40 combinations, and so would forty that nearly all do."""
+    common = [f"p:{k}" for k in range(40)]
+    rows = [([*common, "h:bad"], "block")] * 30 + [([*common, "h:good"], "allow")] * 70
+    found = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert {(("h:bad",), "block"), (("h:good",), "allow")} == {(m[0], m[1]) for m in found}
+    rows += [([f"p:{k}"], "allow") for k in range(40)]
+    items = spark.createDataFrame([([*t, "=" + y],) for t, y in rows], "items array<string>")
+    assert urls.bounded(items, 0.005, 20)[1] > 100 / 140
+    assert all(len(m[0]) < 2 for m in urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string")))
+    assert len(urls.mine(spark.createDataFrame([(t[36:], y) for t, y in rows], "tokens array<string>, label string"), most_rules=2)) <= 2
+
+
+def test_held_out_labels_and_rows_as_they_come(spark):
+    """Rules mined from four fifths of the URLs judge the others as their labels do; long, repeated and null URLs are rows like others."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        tld, lang, shop = rng.choice(["com", "net", "org"]), rng.choice(["en", "fr", "es"]), rng.random() < 0.3
+        bad = (tld == "net" and lang != "en") or (tld == "org" and shop)
+        rows.append((i, f"https://www.site{rng.randrange(9)}.{tld}/{lang}/{'shop/' if shop else ''}{rng.randrange(99)}?id={i}", "block" if bad else "allow"))
+    rows += [(2000, "https://x.org/" + "a" * 100_000 + "/shop/", None), (2001, None, None), (2001, None, None), (2001, "https://x.net/fr/?" + "q=1&" * 2000, None)]
+    parts = urls.split(spark.createDataFrame(rows, "page_id long, url string, label string"), [], keep=["page_id", "label"])
+    mined = urls.mine(parts.filter("page_id % 5 <> 2").select("tokens", "label"))
+    got = urls.verdicts(parts, mined, keep=["page_id", "label"]).collect()
+    held = [r for r in got if r.page_id % 5 == 2 and r.label]
+    assert len(got) == len(rows) and sum(r.verdict == r.label for r in held) >= 0.95 * len(held)
+    assert [r.verdict for r in got if r.page_id == 2000] == ["block"] and sorted(r.verdict for r in got if r.page_id == 2001) == ["allow", "allow", "block"]
