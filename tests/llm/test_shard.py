@@ -42,3 +42,23 @@ def test_all_rows_alike(spark):
     df = spark.createDataFrame([(i, "same", "s", "en") for i in range(800)], "doc_id long, text string, source string, lang string")
     counts = Counter(r.shard for r in shard.shards(df, leaves=8).collect())
     assert len(counts) == 8 and max(counts.values()) <= 110
+
+
+def test_heavy_equal_texts_stay_whole_and_sizes_near_equal(spark):
+    data = rows(1800)
+    leaf = sum(len(r[1].encode()) + 1 for r in data) // 8
+    for g, share in enumerate((0.3, 0.3, 0.45, 0.2)):
+        data += [(2000 + 10 * g + i, f"{g}" * (int(leaf * share) // 2), f"src{i}", "en") for i in range(2)]
+    got = shard.shards(spark.createDataFrame(data, "doc_id long, text string, source string, lang string").repartition(3), leaves=8).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert len(got) == len(data) and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8
+    for g in range(4):
+        assert len({r.shard for r in got if 2000 + 10 * g <= (r.doc_id or 0) < 2010 + 10 * g}) == 1
+
+
+def test_only_heavy_groups(spark):
+    data = [(10 * g + i, f"text {g} " * 50, "s", "en") for g in range(8) for i in range(3)]
+    got = shard.shards(spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), leaves=8).collect()
+    assert len(got) == 24 and len({r.shard for r in got}) == 8 and all(len({r.shard for r in got if r.doc_id // 10 == g}) == 1 for g in range(8))
