@@ -29,7 +29,8 @@ def test_scores_equal_brute_force():
     rng = random.Random(2)
     matrix = np.log(np.random.default_rng(0).random((1 << 8, 3))).astype(np.float32)
     texts = [text(name, 30, rng) for name in WORDS] + ["", "a", "ab?c", "x" * 5]
-    total, _ = language.score(texts, matrix, 4, 8)
+    total, _, n = language.score(texts, matrix, 4, 8)
+    assert n.tolist() == [sum(len(b) for _, b in language.grams([t], 4, 8)[0]) for t in texts]
     for t, row in zip(texts, total, strict=True):
         want = np.zeros(3)
         for _, bucket in language.grams([t], 4, 8)[0]:
@@ -50,3 +51,41 @@ def test_sample_is_bounded(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("aa").alias("lang"))
     langs, few = language.train(docs, key=F.col("doc_id"), rows_per_language=100, max_n=1, bits=4)
     assert langs == ["aa"] and few.shape == (16, 1)
+
+
+def test_counts_equal_brute_force(spark):
+    """Training counts against n-grams cut out by hand; ties go to the first name; a language without n-grams stays even."""
+    rows = [(1, "Ab1c", "xx"), (2, "ab", "xx"), (3, "ab", "yy"), (4, "12", "zz"), (5, None, "xx"), (6, "ab", None), (None, "ab", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = language.train(docs, key=F.col("doc_id"), max_n=2, bits=10, alpha=0.5)
+    assert langs == ["xx", "yy", "zz"]
+    # runs of what is no letter are one blank; single blanks are no n-gram
+    grams = {"xx": ["a", "b", "c", "ab", "b ", " c", "a", "b", "ab"], "yy": ["a", "b", "ab"], "zz": []}
+    for k, name in enumerate(langs):
+        want = np.full(1 << 10, 0.5)
+        for g in grams[name]:
+            h = 0
+            for c in g:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % (1 << 64)
+            want[h * (0xD1342543DE82EF95 + 2 * len(g)) % (1 << 64) >> 54] += 1
+        assert np.allclose(matrix[:, k], np.log(want / want.sum()), atol=1e-6)
+    even = ["xx", "yy"], np.repeat(matrix[:, :1], 2, axis=1)
+    assert language.identify(docs, even, keep=["doc_id"], max_n=2, bits=10).first().lang_pred == "xx"
+
+
+def test_groups_of_languages_change_nothing(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, text(name, rng.randrange(1, 9), rng), name) for i, name in enumerate(list(WORDS) * 30)] + [(900, None, None), (901, "??", "aa")], "doc_id long, text string, lang string")
+    one, parts = language.train(docs, key=F.col("doc_id")), language.train(docs, key=F.col("doc_id"), most_languages=2)
+    assert [m[0] for m in parts] == [["aa", "bb"], ["cc"]]
+    a, b = ({r.doc_id: r for r in language.identify(docs, m, keep=["doc_id"], fit_out="fit").collect()} for m in (one, parts))
+    assert all(a[k].lang_pred == b[k].lang_pred and abs(a[k].score - b[k].score) < 1e-9 and abs(a[k].fit - b[k].fit) < 1e-9 for k in a) and len(a) == len(b) == 92
+
+
+def test_fit_tells_an_unlearned_script(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, text(name, 40, rng), name) for i, name in enumerate(["aa", "bb"] * 60)], "doc_id long, text string, lang string")
+    model = language.train(docs, key=F.col("doc_id"))
+    other = spark.createDataFrame([(1, text("cc", 40, rng)), (2, text("aa", 40, rng)), (3, "")], "doc_id long, text string")
+    fit = {r.doc_id: (r.score, r.fit) for r in language.identify(other, model, keep=["doc_id"], fit_out="fit").collect()}
+    assert fit[1][0] > 0.5 and fit[1][1] < 0.2 and fit[2][1] > 0.9 and fit[3] == (0.0, 0.0)

@@ -6,7 +6,12 @@ language over a bounded sample, at most about ``rows_per_language`` labelled row
 each language chosen by a hash of the id (in expectation; the share is the bound over
 the language's count). The log-probabilities, buckets by languages, are broadcast;
 batches are scored with numpy by gathering rows and summing them by text. Every
-text is scored whole. Languages weigh the same, whatever their share of the rows.
+text is scored whole. Languages weigh the same, whatever their share of the rows. More than
+``most_languages`` are trained and scored in groups, one matrix at a time, with the same results.
+
+The posterior is closed: it also nears 1 for texts in none of the languages. ``fit_out`` adds an absolute
+measure: how far a text's mean log-probability an n-gram lies from that of evenly strewn buckets (0) to
+that of the winning language's own texts (1, the negative entropy of its model).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and
 so is everything if no row is labelled; ties go to the first language in code point
@@ -24,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.cluster import lean
+from timberline.llm.cluster import lean, materialize
 
 UNKNOWN = "und"
-_MOST_LANGUAGES = 500
+MOST_LANGUAGES = 500
+Model = tuple[list[str], np.ndarray]
 _SLICE = 1 << 19
 
 
@@ -75,15 +81,20 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def train(docs: DataFrame, *, key: Column, text: str = "text", lang: str = "lang", rows_per_language: int = 8000, max_n: int = 4, bits: int = 16, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and float32 log-probabilities (buckets by languages); ``key`` is the id that samples."""
+def train(docs: DataFrame, *, key: Column, text: str = "text", lang: str = "lang", rows_per_language: int = 8000, max_n: int = 4, bits: int = 16, alpha: float = 0.5, most_languages: int = MOST_LANGUAGES) -> Model | list[Model]:
+    """Languages, sorted, and float32 log-probabilities (buckets by languages); a list of these beyond ``most_languages``.
+    ``key`` is the id that samples."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & key.isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(_MOST_LANGUAGES + 1).collect()}
-    if len(counts) > _MOST_LANGUAGES:
-        raise ValueError(f"more than {_MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((1 << bits, 0), dtype=np.float32)
+    parts = [langs[k : k + most_languages] for k in range(0, len(langs), most_languages)]
+    models = [_train(rows if len(parts) == 1 else rows.filter(F.col("lang").isin(part)), part, counts, rows_per_language, max_n, bits, alpha) for part in parts]
+    return models[0] if len(models) == 1 else models
+
+
+def _train(rows: DataFrame, langs: list[str], counts: dict[str, int], rows_per_language: int, max_n: int, bits: int, alpha: float) -> Model:
     share = F.create_map(*(F.lit(x) for name in langs for x in (name, min(1.0, rows_per_language / counts[name]))))
     sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
 
@@ -107,42 +118,73 @@ def train(docs: DataFrame, *, key: Column, text: str = "text", lang: str = "lang
     return langs, np.ascontiguousarray(np.log(seen / seen.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 
-def score(texts: list[str], matrix: np.ndarray, max_n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-probabilities, texts by languages, and which texts have a letter."""
-    total = np.zeros((len(texts), matrix.shape[1]))
+def score(texts: list[str], matrix: np.ndarray, max_n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Summed log-probabilities, texts by languages; which texts have a letter; and their numbers of n-grams."""
+    total, n_grams = np.zeros((len(texts), matrix.shape[1])), np.zeros(len(texts), dtype=np.int64)
     has = np.zeros(len(texts), dtype=bool)
     block = max(1024, (1 << 21) // max(1, matrix.shape[1]))
     for lo, hi in _slices(texts):
         found, has[lo:hi] = grams(texts[lo:hi], max_n, bits)
         for doc, bucket in found:
+            n_grams[lo:hi] += np.bincount(doc, minlength=hi - lo)
             for k in range(0, len(doc), block):
                 d = doc[k : k + block]
                 first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
                 total[lo + d[first]] += np.add.reduceat(matrix[bucket[k : k + block]], first, axis=0, dtype=np.float64)
-    return total, has
+    return total, has, n_grams
+
+
+def scale(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each language's mean log-probability over evenly strewn buckets, and over n-grams of its own."""
+    even, own = np.empty(matrix.shape[1]), np.empty(matrix.shape[1])
+    for k in range(matrix.shape[1]):
+        p = matrix[:, k].astype(np.float64)
+        even[k], own[k] = p.mean(), (np.exp(p) * p).sum()
+    return even, own
+
+
+def identify(docs: DataFrame, model: Model | list[Model], *, keep: list[str], text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fit_out: str | None = None, max_n: int = 4, bits: int = 16) -> DataFrame:
+    """The columns ``keep``, then the predicted language and its posterior, and the fit if ``fit_out`` names a column for it."""
+    models = model if isinstance(model, list) else [model]
+    keep = [c for c in keep if c not in (lang_out, score_out, fit_out)]
+    rows = docs.select(*keep, F.col(text).alias("__text"), F.lit(None).cast("string").alias("__lang"), F.lit(0.0).alias("__top"), F.lit(0.0).alias("__rest"), F.lit(0.0).alias("__fit"))
+    for k, one in enumerate(models):
+        rows = _score_group(rows, one, keep, max_n, bits)
+        if k < len(models) - 1:
+            rows = materialize(rows, "languages")
+    known = F.col("__lang").isNotNull()
+    out = [F.coalesce("__lang", F.lit(UNKNOWN)).alias(lang_out), F.when(known, 1 / F.col("__rest")).otherwise(0.0).alias(score_out)]
+    return rows.select(*keep, *out, *([F.when(known, F.col("__fit")).otherwise(0.0).alias(fit_out)] if fit_out else []))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, keep: list[str], text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", max_n: int = 4, bits: int = 16) -> DataFrame:
-    """The columns ``keep``, then the predicted language and its posterior."""
-    keep = [c for c in keep if c not in (lang_out, score_out)]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _score_group(rows: DataFrame, model: Model, keep: list[str], max_n: int, bits: int) -> DataFrame:
+    """The best language so far: its log-probability, the sum of all languages' relative to it, and its fit."""
+    held = rows.sparkSession.sparkContext.broadcast((*model, *scale(model[1])))
+    state = ["__lang", "__top", "__rest", "__fit"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = held.value
+        langs, matrix, even, own = held.value
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
-            total, has = score(texts, matrix, max_n, bits)
-            if langs:
+            names = batch.column("__lang").to_pylist()
+            top, rest, fit = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in state[1:])
+            if langs and texts:
+                total, has, n = score(texts, matrix, max_n, bits)
                 best = total.argmax(axis=1)
-                sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                names = [langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-                sure = np.where(has, sure, 0.0)
-            else:
-                names, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, lang_out, score_out])
-
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.select(*keep, F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
-    for f in schema.fields[-2:]:
+                high = total.max(axis=1)
+                mine = np.exp(total - high[:, None]).sum(axis=1)
+                for i in np.flatnonzero(has):
+                    b = best[i]
+                    # of equal ones the first name stays
+                    if names[i] is None or high[i] > top[i]:
+                        before = 0.0 if names[i] is None else rest[i] * np.exp(top[i] - high[i])
+                        names[i], top[i], rest[i] = langs[b], high[i], mine[i] + before
+                        fit[i] = (high[i] / n[i] - even[b]) / max(own[b] - even[b], 1e-9)
+                    else:
+                        rest[i] += mine[i] * np.exp(high[i] - top[i])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "__text")), pa.array(names, pa.string()), pa.array(top), pa.array(rest), pa.array(fit)], names=[*keep, "__text", *state])
+
+    schema = rows.schema
+    for f in schema.fields[-4:]:
         f.nullable = True
     return rows.mapInArrow(lean(predict), schema)
