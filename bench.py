@@ -25,7 +25,7 @@ from timberline.operators import mining  # noqa: E402
 from timberline.shipping import ship  # noqa: E402
 
 HEADLINE = [
-    "tokenize_documents", "mask_documents", "mask_nginx", "pattern_topk", "captures_documents", "mine_short_online", "mine_documents_online", "template_registry", "redact_documents", "severity_syslog", "timestamps_nginx",
+    "tokenize_documents", "mask_documents", "mask_nginx", "pattern_topk", "captures_documents", "mine_documents_online", "mine_syslog_online", "template_registry", "redact_documents", "severity_syslog", "timestamps_nginx",
     "lateness", "lql_filter_text", "lql_sequence", "lql_correlate", "window_counts_dense", "ewma_baseline", "insight_pipeline", "ingest_syslog", "stream_mine",
 ]
 

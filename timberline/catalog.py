@@ -43,15 +43,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(table(spark, sf_dir, "documents"))
 
 
-def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked lines of the documents that the fast path of mining takes (its domain, not a sample)."""
-    rows = lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
-    return rows.filter((F.size("masked") > 0) & mining.Params().fast(F.size("masked")))
+def masked_lines(rows: DataFrame) -> DataFrame:
+    return rows.select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
 
 
 _PARSED = f"SELECT stream_id, source_offset, raw, {masking.sql_status('raw')} AS parse_status, {masking.sql_tokens('raw')} AS tokens FROM ({SQL_TEXT_LINES})"
 _MASKED = f"SELECT stream_id, source_offset, raw, tokens, {masking.sql_masked('tokens')} AS masked FROM ({_PARSED})"
-_SHORT = f"SELECT stream_id, source_offset, masked FROM ({_MASKED}) WHERE len(masked) BETWEEN 1 AND 8"
 
 
 @query("tokenize_documents", f"SELECT stream_id, source_offset, parse_status, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, chr(31)) AS tokens FROM ({_PARSED})")
@@ -156,92 +153,76 @@ def routing_keys(spark, sf_dir):
     return rows.groupBy("stream_id", F.col("r.n").alias("n_tokens"), F.array_join("r.prefix", " ").alias("prefix")).agg(F.count("*").alias("n"))
 
 
-# ---- mining
+# ---- mining, of all lines; the SQL is the sequential miner as a recursion over each bucket's lines
 
-_WIN = "PARTITION BY stream_id, len(masked), masked[1:4] ORDER BY source_offset"
-_TAIL = [f"CASE WHEN len(masked) >= {j} THEN CASE WHEN min(masked[{j}]) OVER w <> max(masked[{j}]) OVER w THEN '<*>' ELSE masked[{j}] END END" for j in range(5, 9)]
-_MINED = f"""
-SELECT stream_id, source_offset, masked, created, seen, pattern, 1 + sum(CASE WHEN was <> wide THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, created ORDER BY source_offset) AS version
-FROM (SELECT *, lag(wide) OVER (PARTITION BY stream_id, created ORDER BY source_offset) AS was FROM (
-    SELECT stream_id, source_offset, masked, first_value(source_offset) OVER w AS created, row_number() OVER w AS seen,
-           array_to_string(list_concat(masked[1:4], list_filter([{', '.join(_TAIL)}], lambda x: x IS NOT NULL)), ' ') AS pattern,
-           concat_ws(',', {', '.join(f"CASE WHEN len(masked) >= {j} AND min(masked[{j}]) OVER w <> max(masked[{j}]) OVER w THEN '1' ELSE '0' END" for j in range(5, 9))}) AS wide
-    FROM ({_SHORT}) WINDOW w AS ({_WIN})))"""
-_NUMBERED = f"SELECT m.stream_id, source_offset, masked, template_id, pattern, CAST(version AS INTEGER) AS version, seen FROM ({_MINED}) AS m JOIN (SELECT stream_id, created, row_number() OVER (PARTITION BY stream_id ORDER BY created) - 1 AS template_id FROM ({_MINED}) WHERE created = source_offset) AS i ON m.stream_id = i.stream_id AND m.created = i.created"
+_MINED = mining.sql_mined(_MASKED)
+_EVENT_MASKED = {k: f"SELECT stream_id, source_offset, {masking.sql_masked('tokens')} AS masked FROM (SELECT stream_id, source_offset, {masking.sql_tokens('raw')} AS tokens FROM ({sql_event_lines(k)}))" for k in ("nginx", "syslog", "json")}
+_REGISTRY = f"""{_MINED}, registry AS MATERIALIZED (
+    SELECT stream_id, template_id, arg_max(pattern, source_offset) AS pattern, arg_max(version, source_offset) AS version, count(*) AS occurrence_count,
+           min(source_offset) AS first_seen, max(source_offset) AS last_seen, CASE WHEN count(*) >= 5 THEN 'stable' ELSE 'emerging' END AS state
+    FROM numbered GROUP BY stream_id, template_id)"""
 
 
-def _short_mined(spark, sf_dir) -> DataFrame:
-    return mining.mine_online(short_lines(spark, sf_dir))
+def _mined(spark, sf_dir) -> DataFrame:
+    return mining.mine_online(masked_lines(lines(spark, sf_dir)))
 
 
-def _all_mined(spark, sf_dir) -> DataFrame:
-    """All lines, by both paths."""
-    return mining.mine_online(lines(spark, sf_dir).select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked")))
-
-
-@query("mine_short_online", f"SELECT stream_id, source_offset, template_id, pattern, version, seen FROM ({_NUMBERED})")
-def mine_short_online(spark, sf_dir):
-    return _short_mined(spark, sf_dir).drop("masked")
-
-
-@query("mine_documents_online")
+@query("mine_documents_online", f"{_MINED} SELECT stream_id, source_offset, template_id, pattern, version, seen FROM numbered")
 def mine_documents_online(spark, sf_dir):
-    """All lines, by both paths; tested against a sequential simulator."""
-    return _all_mined(spark, sf_dir).drop("masked")
+    return _mined(spark, sf_dir).drop("masked")
 
 
-_REGISTRY = f"""
-SELECT stream_id, template_id, arg_max(pattern, source_offset) AS pattern, arg_max(version, source_offset) AS version, count(*) AS occurrence_count,
-       min(source_offset) AS first_seen, max(source_offset) AS last_seen, CASE WHEN count(*) >= 5 THEN 'stable' ELSE 'emerging' END AS state
-FROM ({_NUMBERED}) GROUP BY stream_id, template_id"""
+for _kind, _depth in (("nginx", 5), ("syslog", 4), ("json", 4)):
 
+    @query(f"mine_{_kind}_online", f"{mining.sql_mined_distinct(_EVENT_MASKED[_kind], _depth)} SELECT stream_id, source_offset, template_id, pattern, version, seen FROM numbered")
+    def mine_events_online(spark, sf_dir, kind=_kind):
+        """Rendered lines of one format, at its depth."""
+        formats = {"nginx": "nginx-access", "syslog": "syslog-rfc5424", "json": "json-lines"}
+        return mining.mine_online(masked_lines(event_lines(table(spark, sf_dir, "events"), kind)), mining.Params.of_formats(formats)).drop("masked")
 
-@query("template_registry", _REGISTRY)
+
+@query("template_registry", f"{_REGISTRY} SELECT * FROM registry")
 def template_registry(spark, sf_dir):
-    return mining.registry(_short_mined(spark, sf_dir))
+    return mining.registry(_mined(spark, sf_dir))
 
 
-@query("promote_stable", f"SELECT stream_id, state, count(*) AS n FROM ({_REGISTRY}) GROUP BY ALL")
+@query("promote_stable", f"{_REGISTRY} SELECT stream_id, state, count(*) AS n FROM registry GROUP BY ALL")
 def promote_stable(spark, sf_dir):
     return template_registry(spark, sf_dir).groupBy("stream_id", "state").agg(F.count("*").alias("n"))
 
 
-@query("evict_cold", f"SELECT stream_id, template_id, CASE WHEN row_number() OVER (PARTITION BY stream_id ORDER BY occurrence_count, last_seen, template_id) <= count(*) OVER (PARTITION BY stream_id) - 20 THEN 'cold' ELSE state END AS state FROM ({_REGISTRY})")
+@query("evict_cold", f"{_REGISTRY} SELECT stream_id, template_id, CASE WHEN row_number() OVER (PARTITION BY stream_id ORDER BY occurrence_count, last_seen, template_id) <= count(*) OVER (PARTITION BY stream_id) - 20 THEN 'cold' ELSE state END AS state FROM registry")
 def evict_cold(spark, sf_dir):
     return mining.evict(template_registry(spark, sf_dir), 20).select("stream_id", "template_id", "state")
 
 
 @query(
     "template_lifecycle",
-    f"""SELECT t.stream_id, t.template_id, CASE WHEN last_seen < 500 * 1048576 THEN 'retired' WHEN state = 'stable' AND widened_at > 700 * 1048576 THEN 'evolving' ELSE state END AS state
-FROM ({_REGISTRY}) AS t LEFT JOIN (SELECT stream_id, template_id, max(a) AS widened_at FROM (SELECT stream_id, template_id, version, min(source_offset) AS a FROM ({_NUMBERED}) WHERE version > 1 GROUP BY ALL) GROUP BY ALL) AS w
+    f"""{_REGISTRY} SELECT t.stream_id, t.template_id, CASE WHEN last_seen < 500 * 1048576 THEN 'retired' WHEN state = 'stable' AND widened_at > 700 * 1048576 THEN 'evolving' ELSE state END AS state
+FROM registry AS t LEFT JOIN (SELECT stream_id, template_id, max(a) AS widened_at FROM (SELECT stream_id, template_id, version, min(source_offset) AS a FROM numbered WHERE version > 1 GROUP BY ALL) GROUP BY ALL) AS w
 ON t.stream_id = w.stream_id AND t.template_id = w.template_id""",
 )
 def template_lifecycle(spark, sf_dir):
-    return _lifecycle(_short_mined(spark, sf_dir))
-
-
-def _lifecycle(mined: DataFrame) -> DataFrame:
-    unit = 1 << 20
+    unit, mined = 1 << 20, _mined(spark, sf_dir)
     return mining.lifecycle(mining.registry(mined), mined, now=1000 * unit, retention=500 * unit, recent=300 * unit).select("stream_id", "template_id", "state")
 
 
 @query(
     "resolve_fingerprints",
-    f"""SELECT f.stream_id, f.template_id, fingerprint, events, pattern FROM
-(SELECT stream_id, array_to_string(masked, chr(30)) AS fingerprint, arg_max(template_id, source_offset) AS template_id, count(*) AS events FROM ({_NUMBERED}) GROUP BY 1, 2) AS f
-JOIN (SELECT stream_id, template_id, pattern FROM ({_REGISTRY})) AS t ON f.stream_id = t.stream_id AND f.template_id = t.template_id""",
+    f"""{_REGISTRY} SELECT f.stream_id, f.template_id, fingerprint, events, pattern FROM
+(SELECT stream_id, array_to_string(masked, chr(30)) AS fingerprint, arg_max(template_id, source_offset) AS template_id, count(*) AS events FROM numbered GROUP BY 1, 2) AS f
+JOIN registry AS t ON f.stream_id = t.stream_id AND f.template_id = t.template_id""",
 )
 def resolve_fingerprints(spark, sf_dir):
     """By the fingerprinted text itself, so that SQL can follow."""
-    mined = _short_mined(spark, sf_dir).withColumn("fingerprint", F.array_join("masked", _RS))
+    mined = _mined(spark, sf_dir).withColumn("fingerprint", F.array_join("masked", _RS))
     return mining.resolve_fingerprints(mined, mining.registry(mined))
 
 
 @query(
     "merge_candidates",
-    f"""WITH t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM ({_REGISTRY})),
-e AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position, array_to_string(toks[1 : i - 1], ' ') || chr(0) || array_to_string(toks[i + 1 :], ' ') AS k, len(toks) AS n FROM t, unnest(range(1, len(toks) + 1)) AS r(i)),
+    f"""{_REGISTRY}, t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM registry),
+e AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position, md5(array_to_string(toks[1 : i - 1], ' ') || chr(0) || array_to_string(toks[i + 1 :], ' ')) AS k, len(toks) AS n FROM t, unnest(range(1, len(toks) + 1)) AS u(i)),
 s AS (SELECT *, first_value(template_id) OVER w AS survivor, first_value(version) OVER w AS sv FROM e WINDOW w AS (PARTITION BY stream_id, position, n, k ORDER BY occurrence_count DESC, template_id))
 SELECT stream_id, template_id, survivor, CAST(position AS INTEGER) AS position, sv + 1 AS version FROM (
     SELECT *, row_number() OVER (PARTITION BY stream_id, template_id ORDER BY survivor, position) AS rn FROM s WHERE survivor <> template_id) WHERE rn = 1""",
@@ -250,56 +231,26 @@ def merge_candidates(spark, sf_dir):
     return mining.merge_candidates(template_registry(spark, sf_dir))
 
 
-@query(
-    "split_candidates",
-    f"""WITH t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM ({_REGISTRY}) WHERE occurrence_count >= 10),
-p AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position FROM t, unnest(range(1, len(toks) + 1)) AS r(i) WHERE toks[i] = '<*>'),
-v AS (SELECT p.stream_id, p.template_id, position, p.occurrence_count, p.version, masked[position + 1] AS v, count(*) AS n FROM ({_NUMBERED}) AS m JOIN p ON m.stream_id = p.stream_id AND m.template_id = p.template_id GROUP BY ALL)
+def _split_sql(mined: str) -> str:
+    return f"""{mined}, registry AS MATERIALIZED (
+    SELECT stream_id, template_id, arg_max(pattern, source_offset) AS pattern, arg_max(version, source_offset) AS version, count(*) AS occurrence_count FROM numbered GROUP BY stream_id, template_id),
+t AS (SELECT stream_id, template_id, occurrence_count, version, str_split(pattern, ' ') AS toks FROM registry WHERE occurrence_count >= 10),
+p AS (SELECT stream_id, template_id, occurrence_count, version, i - 1 AS position FROM t, unnest(range(1, len(toks) + 1)) AS u(i) WHERE toks[i] = '<*>'),
+v AS (SELECT p.stream_id, p.template_id, position, p.occurrence_count, p.version, masked[position + 1] AS v, count(*) AS n FROM numbered AS m JOIN p ON m.stream_id = p.stream_id AND m.template_id = p.template_id GROUP BY ALL)
 SELECT stream_id, template_id, CAST(position AS INTEGER) AS position, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS covered, string_agg(v, '|' ORDER BY v) AS constants, version + 1 AS version
-FROM v WHERE n >= 0.2 * occurrence_count GROUP BY stream_id, template_id, position, version HAVING count(*) BETWEEN 2 AND 4""",
-)
-def split_candidates(spark, sf_dir):
-    mined = _short_mined(spark, sf_dir)
-    return mining.split_candidates(mined, mining.registry(mined))
-
-
-# The same over all lines. Window SQL cannot follow the sequential path, so these are tested against a simulator.
+FROM v WHERE n >= 0.2 * occurrence_count GROUP BY stream_id, template_id, position, version HAVING count(*) BETWEEN 2 AND 4"""
 
 
-@query("template_registry_all")
-def template_registry_all(spark, sf_dir):
-    return mining.registry(_all_mined(spark, sf_dir))
-
-
-@query("promote_stable_all")
-def promote_stable_all(spark, sf_dir):
-    return template_registry_all(spark, sf_dir).groupBy("stream_id", "state").agg(F.count("*").alias("n"))
-
-
-@query("evict_cold_all")
-def evict_cold_all(spark, sf_dir):
-    return mining.evict(template_registry_all(spark, sf_dir), 20).select("stream_id", "template_id", "state")
-
-
-@query("template_lifecycle_all")
-def template_lifecycle_all(spark, sf_dir):
-    return _lifecycle(_all_mined(spark, sf_dir))
-
-
-@query("resolve_fingerprints_all")
-def resolve_fingerprints_all(spark, sf_dir):
-    mined = _all_mined(spark, sf_dir).withColumn("fingerprint", F.array_join("masked", _RS))
-    return mining.resolve_fingerprints(mined, mining.registry(mined))
-
-
-@query("merge_candidates_all")
-def merge_candidates_all(spark, sf_dir):
-    return mining.merge_candidates(template_registry_all(spark, sf_dir))
+@query("split_candidates", _split_sql(_MINED))
+def split_candidates(spark, sf_dir):
+    mined = _mined(spark, sf_dir)
+    return mining.split_candidates(mined, mining.registry(mined))
 
 
-@query("split_candidates_all")
-def split_candidates_all(spark, sf_dir):
-    mined = _all_mined(spark, sf_dir)
+@query("split_candidates_syslog", _split_sql(mining.sql_mined_distinct(_EVENT_MASKED["syslog"])))
+def split_candidates_syslog(spark, sf_dir):
+    """Of rendered syslog lines, whose widened position holds a few constants."""
+    mined = mining.mine_online(masked_lines(event_lines(table(spark, sf_dir, "events"), "syslog")))
     return mining.split_candidates(mined, mining.registry(mined))
 
 
@@ -785,4 +736,4 @@ def ingest_syslog(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of all document lines, mined online, with their counts and states."""
     ship(spark)
-    return mining.registry(_all_mined(spark, sf_dir))
+    return mining.registry(_mined(spark, sf_dir))

@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="timberline-")
-    return f"{base.rstrip('/')}/timberline-{tag}-{uuid.uuid4().hex}"
+    """A new path below ``spark.checkpoint.dir``, removed when the driver's Python ends; below a temporary folder
+    where that is unset and all tasks run in this process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="timberline-")
+    path = f"{base.rstrip('/')}/timberline-{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+    path = folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _release() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone: the cluster cleans its folder
+            return
+
+
+atexit.register(_release)

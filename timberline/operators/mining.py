@@ -1,11 +1,20 @@
 """Template mining: routing by length and prefix, similarity, widening, ids, registry, re-mining.
 
-A bucket is (stream, number of tokens, first ``depth`` tokens); its templates depend on
-no other bucket, but for the numbering, which follows the order in which templates
-were created in the stream. Lines whose prefix alone reaches the similarity threshold have
-one template a bucket and are mined by window expressions; longer ones, where several
-templates can share a bucket, by a sequential function over the sorted rows of each bucket that
-keeps templates, not rows.
+A bucket is (stream, number of tokens, first ``depth`` tokens); its templates depend on no other bucket, but for
+the numbering, which follows the order in which templates were created in the stream.
+
+A line that came before can widen no template: the one that took it covers it for ever. So templates and their
+versions follow from each distinct line's first offset alone:
+
+1. Lines are grouped by stream and masked tokens, with their least offset (combined before the shuffle, so a line
+   that comes a billion times is one row).
+2. A sequential function over the sorted distinct lines of each bucket keeps its templates and tells which one
+   takes each line, and every version of each template with the offset it begins at.
+3. An older template can widen until it covers a line that a younger one took; later events of that line are
+   then the older one's, as ties go to it. Only buckets where that can be are looked at once more.
+4. Events are joined to their line, and to their template's versions by the greatest beginning up to their offset.
+
+What Python sees are distinct lines; what it keeps are templates.
 """
 
 from __future__ import annotations
@@ -17,23 +26,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.functions import scratch
+
 WILD = "<*>"
 _BREAK = "\x1e"
 
+#: The numbers of tokens to route by, where a format needs another depth.
+FORMAT_DEPTH = {"nginx-access": 5}
 
-class Params:
-    """Mining parameters of a stream."""
 
-    def __init__(self, depth: int = 4, threshold: float = 0.5, most_templates: int = 10_000, stable_at: int = 5):
-        self.depth, self.threshold, self.most_templates, self.stable_at = depth, threshold, most_templates, stable_at
+class Params:
+    """Mining parameters. ``depths`` gives streams another depth; ``most_templates`` is a stream's bound of live templates."""
 
-    def fast(self, n: Column) -> Column:
-        """Whether the prefix alone makes every line of n tokens match its bucket's first template."""
-        return (n == 0) | (F.least(n, F.lit(self.depth)) / n >= self.threshold)
+    def __init__(self, depth: int = 4, threshold: float = 0.5, most_templates: int = 10_000, stable_at: int = 5, depths: dict[str, int] | None = None):
+        self.depth, self.threshold, self.most_templates, self.stable_at, self.depths = depth, threshold, most_templates, stable_at, depths or {}
 
+    @classmethod
+    def of_formats(cls, formats: dict[str, str], **others) -> Params:
+        """Parameters for streams of known formats."""
+        return cls(depths={stream: FORMAT_DEPTH[f] for stream, f in formats.items() if f in FORMAT_DEPTH}, **others)
 
-#: The numbers of tokens to route by, where a stream needs another depth.
-FORMAT_DEPTH = {"nginx-access": 5}
+    def depth_of(self, stream: Column) -> Column:
+        out = F.lit(self.depth)
+        for name, depth in self.depths.items():
+            out = F.when(stream == name, depth).otherwise(out)
+        return out
 
 
 def routing_key(masked: Column, depth: int = 4) -> Column:
@@ -47,30 +64,6 @@ def similarity(masked: Column, template: Column) -> Column:
     return F.when(F.size(masked) != F.size(template), 0.0).when(F.size(masked) == 0, 1.0).otherwise(same / F.size(template))
 
 
-def mine_short(events: DataFrame, params: Params, *, order: str = "source_offset") -> DataFrame:
-    """Fast path over stream_id, ``order`` and masked: adds created (the offset that made the template), pattern as of the event, version and count so far."""
-    p = params
-    rows = events.filter(p.fast(F.size("masked"))).withColumn("bucket", routing_key(F.col("masked"), p.depth))
-    w = Window.partitionBy("stream_id", "bucket").orderBy(order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the fast path holds for at most depth / threshold tokens, and only those behind the prefix can widen
-    longest = max(p.depth, int(p.depth / p.threshold)) if p.threshold > 0 else None
-    if longest is None:
-        raise ValueError("a threshold of 0 has no fast path by windows")
-    tail = range(p.depth, longest)
-    first = {j: F.first(F.get(F.col("masked"), j)).over(so_far) for j in tail}
-    differs = {j: (F.min(F.get(F.col("masked"), j)).over(so_far) != F.max(F.get(F.col("masked"), j)).over(so_far)) for j in tail}
-    rows = rows.withColumns({"created": F.first(order).over(so_far), "seen": F.row_number().over(w), **{f"__f{j}": first[j] for j in tail}, **{f"__w{j}": F.coalesce(differs[j], F.lit(False)) for j in tail}})
-    wide = F.array(*(F.col(f"__w{j}") for j in tail)) if tail else F.array().cast("array<boolean>")
-    head = F.array(*(F.col(f"__f{j}") for j in tail)) if tail else F.array().cast("array<string>")
-    rows = rows.withColumns({"__wide": wide, "__mask": F.array_join(F.transform(wide, lambda x: x.cast("string")), ",")})
-    tokens = F.concat(F.slice("masked", 1, p.depth), F.slice(F.zip_with(head, F.col("__wide"), lambda t, x: F.when(x, F.lit(WILD)).otherwise(t)), 1, F.greatest(F.size("masked") - p.depth, F.lit(0)))) if tail else F.col("masked")
-    # one step of version for each event that widens
-    rows = rows.withColumn("__widened", F.coalesce((F.lag("__mask").over(w) != F.col("__mask")).cast("int"), F.lit(0)))
-    out = rows.withColumns({"template": tokens, "version": F.sum("__widened").over(so_far) + 1})
-    return out.drop("bucket", "__wide", "__mask", "__widened", *(f"__{x}{j}" for j in tail for x in "fw"))
-
-
 class Bucket:
     """Templates of one bucket, as the sequential miner sees them."""
 
@@ -78,74 +71,158 @@ class Bucket:
         self.depth, self.threshold = depth, threshold
         self.templates: list[list] = []  # tokens, created, version, count
 
-    def add(self, tokens: list[str], offset: int) -> list:
-        """The template that takes the line; ties go to the older one."""
+    def take(self, tokens: list[str], offset: int) -> tuple[list, bool]:
+        """The template that takes the line, and whether it widened; ties go to the older one."""
         n, best, most = len(tokens), None, -1
-        need = self.threshold * n
+        need = self.threshold * n - 1e-12
         for t in self.templates:
-            same = sum(a == b or b == WILD for a, b in zip(tokens, t[0], strict=True))
-            if (n == 0 or same >= need - 1e-12) and same > most:
+            if t[0] == tokens:
+                same = n
+            else:
+                same = sum(map(_alike, t[0], tokens))
+            if (n == 0 or same >= need) and same > most:
                 best, most = t, same
+                if same == n:
+                    break
         if best is None:
-            best = [list(tokens), offset, 1, 1]
+            best = [list(tokens), offset, 1, 0]
             self.templates.append(best)
-            return best
-        wider = [a if a == b or j < self.depth else WILD for j, (a, b) in enumerate(zip(best[0], tokens, strict=True))]
-        if wider != best[0]:
-            best[0], best[2] = wider, best[2] + 1
         best[3] += 1
-        return best
-
-
-def mine_long(events: DataFrame, params: Params, *, order: str = "source_offset") -> DataFrame:
-    """The sequential path over the same input and with the same output, for lines of any length."""
-    p = params
-    keep = [c for c in events.columns if c not in ("created", "seen", "template", "version")]
-    rows = events.select(*keep, F.concat_ws(_BREAK, F.col("stream_id"), F.size("masked").cast("string"), F.array_join(F.slice("masked", 1, p.depth), _BREAK)).alias("__bucket"))
-    at = keep.index(order)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("created", rows.schema[order].dataType), T.StructField("seen", T.IntegerType()), T.StructField("template", T.ArrayType(T.StringType())), T.StructField("version", T.LongType())])
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bucket = None, Bucket(p.depth, p.threshold)
-        for batch in batches:
-            names, lines, offsets = batch.column("__bucket").to_pylist(), batch.column("masked").to_pylist(), batch.column(at).to_pylist()
-            created, seen, template, version = [], [], [], []
-            for name, tokens, offset in zip(names, lines, offsets, strict=True):
-                if name != now:
-                    now, bucket = name, Bucket(p.depth, p.threshold)
-                t = bucket.add(tokens, offset)
-                created.append(t[1])
-                seen.append(t[3])
-                template.append(list(t[0]))
-                version.append(t[2])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(created, batch.schema.field(order).type), pa.array(seen, pa.int32()), pa.array(template, pa.list_(pa.string())), pa.array(version, pa.int64())],
-                names=schema.names,
-            )
-
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "__bucket").sortWithinPartitions("__bucket", order).mapInArrow(mine, schema)
-
-
-def number(mined: DataFrame, *, order: str = "source_offset") -> DataFrame:
-    """Adds template_id: creations numbered from 0 by stream, in order; ``created`` goes."""
-    made = mined.filter(F.col("created") == F.col(order)).select("stream_id", "created")
-    ids = made.withColumn("template_id", (F.row_number().over(Window.partitionBy("stream_id").orderBy("created")) - 1).cast("bigint"))
-    return mined.join(ids, ["stream_id", "created"]).drop("created")
+        wider = most < n and best[3] > 1 and [a if a == b or j < self.depth else WILD for j, (a, b) in enumerate(zip(best[0], tokens, strict=True))]
+        if not wider or wider == best[0]:
+            return best, False
+        best[0], best[2] = wider, best[2] + 1
+        return best, True
+
+    def add(self, tokens: list[str], offset: int) -> list:
+        return self.take(tokens, offset)[0]
+
+
+def _alike(mine: str, token: str) -> bool:
+    return mine == token or mine == WILD
+
+
+def _key(params: Params) -> Column:
+    """The bucket as a string, each part with its length."""
+    prefix = F.transform(F.slice("masked", F.lit(1), F.least(params.depth_of(F.col("stream_id")), F.size("masked"))), lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t))
+    return F.concat_ws(_BREAK, F.length("stream_id").cast("string"), "stream_id", F.size("masked").cast("string"), F.array_join(prefix, _BREAK))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches, as tuples."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _fold(threshold: float, schema: pa.Schema):
+    """Step 2 over rows (bucket, stream_id, depth, masked, first) in order: a row for each line, then one for each version of a template."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in schema.names]
+        now, bucket, at = None, None, None
+
+        def put(*row) -> None:
+            for to, x in zip(out, row, strict=True):
+                to.append(x)
+
+        def batch() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for c in out:
+                c.clear()
+            return got
+
+        for name, stream, depth, tokens, first in _by_bucket(batches):
+            if name != now:
+                now, bucket, at = name, Bucket(depth, threshold), -1
+            before = len(bucket.templates)
+            t, widened = bucket.take(tokens, first)
+            if widened or len(bucket.templates) > before:
+                # an older template that widens below a younger one can come to cover the younger one's lines
+                put(True, name, stream, None, t[1], first, t[2], list(t[0]), widened and t is not bucket.templates[-1])
+            put(False, name, stream, tokens, t[1], first, None, None, None)
+            if len(out[0]) >= 4096:
+                yield batch()
+        if out[0]:
+            yield batch()
+
+    return fold
+
+
+def _switches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3 over rows (bucket, template or line, created, since, tokens): versions of the bucket's templates first, then its lines.
+    Gives lines that an older template takes over, with the offsets from which it does."""
+    schema = pa.schema([("stream_id", pa.string()), ("masked", pa.list_(pa.string())), ("later", pa.list_(pa.struct([("since", pa.int64()), ("created", pa.int64())])))])
+    now, versions, out = None, {}, ([], [], [])
+    for name, is_version, stream, created, since, tokens in _by_bucket(batches):
+        if name != now:
+            now, versions = name, {}
+        if is_version:
+            versions.setdefault(created, []).append((since, tokens))
+            continue
+        later = []
+        # the youngest of the older ones first: each takes over from those after it
+        mine, taken = created, None
+        found = []
+        for other in sorted(c for c in versions if c < mine):
+            begin = next((at for at, t in versions[other] if at > since and all(a == b or a == WILD for a, b in zip(t, tokens, strict=True))), None)
+            if begin is not None:
+                found.append((begin, other))
+        # from an offset on the oldest that covers the line has it
+        for begin, other in sorted(found):
+            if taken is None or other < taken:
+                later.append({"since": begin, "created": other})
+                taken = other
+        if later:
+            for to, x in zip(out, (stream, tokens, later), strict=True):
+                to.append(x)
+            if len(out[0]) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                out = ([], [], [])
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def mine_lines(lines: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """From rows of stream_id, masked and first (distinct lines with their first offsets): the lines with the template that takes them
+    (``created``, the offset that made it, and ``later`` changes), and the templates with template_id and versions."""
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "template boolean, bucket string, stream_id string, masked array<string>, created bigint, since bigint, version bigint, tokens array<string>, shared boolean"
+    types = [pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+    schema = pa.schema(list(zip([f.split()[0] for f in kind.split(", ")], types, strict=True)))
+    rows = lines.select(_key(params).alias("bucket"), "stream_id", params.depth_of(F.col("stream_id")).alias("depth"), "masked", F.col("first").cast("bigint").alias("first"))
+    told = scratch.materialize(rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "first").mapInArrow(_fold(params.threshold, schema), kind), "mined")
+    versions, taken = told.filter("template"), told.filter("not template")
+
+    ids = versions.filter("created = since").select("stream_id", "created").withColumn("template_id", (F.row_number().over(Window.partitionBy("stream_id").orderBy("created")) - 1).cast("bigint"))
+    history = versions.groupBy("stream_id", "created").agg(F.sort_array(F.collect_list(F.struct("since", "version", F.array_join("tokens", " ").alias("pattern")))).alias("versions"))
+    templates = history.join(ids, ["stream_id", "created"])
+
+    shared = versions.filter("shared").select("bucket").distinct()
+    again = versions.select("bucket", F.lit(True).alias("template"), "stream_id", "created", "since", "tokens").union(taken.select("bucket", F.lit(False), "stream_id", "created", "since", "masked")).join(shared, "bucket", "left_semi")
+    again = again.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("template"), "since")
+    later = again.mapInArrow(_switches, "stream_id string, masked array<string>, later array<struct<since:bigint,created:bigint>>")
+    return taken.select("stream_id", "masked", "created").join(later, ["stream_id", "masked"], "left"), templates
 
 
 def mine_online(events: DataFrame, params: Params | None = None, *, order: str = "source_offset") -> DataFrame:
-    """stream_id, order, masked and what else comes in, with template_id, pattern (as of the event), version and seen; one offset
-    is one event of its stream. Unparsed lines (null or empty masked) have null results."""
+    """stream_id, order, masked and what else comes in, with template_id, pattern (as of the event), version and seen (the
+    template's events so far); one offset is one event of its stream. Unparsed lines (null or empty masked) have null results."""
     params = params or Params()
     keep = events.columns
     parsed = F.size(F.coalesce("masked", F.array().cast("array<string>"))) > 0
-    rows = events.filter(parsed)
-    short, long = mine_short(rows, params, order=order), mine_long(rows.filter(~params.fast(F.size("masked"))), params, order=order)
-    mined = number(short.select(*keep, "created", "seen", "template", "version").union(long.select(*keep, "created", "seen", "template", "version")), order=order)
-    mined = mined.select(*keep, "template_id", F.array_join("template", " ").alias("pattern"), F.col("version").cast("int").alias("version"), F.col("seen").cast("bigint").alias("seen"))
-    rest = events.filter(~parsed).select(*keep, F.lit(None).cast("bigint").alias("template_id"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("bigint").alias("seen"))
-    return mined.union(rest)
+    first = events.filter(parsed).groupBy("stream_id", "masked").agg(F.min(order).alias("first"))
+    lines, templates = mine_lines(first, params)
+    last = lambda list_, at: F.element_at(F.filter(list_, lambda x: x["since"] <= at), -1)
+    at = F.col(order).cast("bigint")
+    changed = F.filter("later", lambda x: x["since"] <= at)
+    # lines that do not parse have no distinct line, and no template
+    rows = events.join(lines, ["stream_id", "masked"], "left")
+    rows = rows.withColumn("created", F.when(F.size(F.coalesce(changed, F.array())) > 0, F.element_at(changed, -1)["created"]).otherwise(F.col("created"))).drop("later")
+    rows = rows.join(templates, ["stream_id", "created"], "left").withColumn("__now", last(F.col("versions"), at))
+    one_template = Window.partitionBy("stream_id", "created", F.when(F.col("created").isNull(), at)).orderBy(order)
+    seen = F.when(F.col("created").isNotNull(), F.row_number().over(one_template).cast("bigint"))
+    return rows.select(*keep, "template_id", F.col("__now.pattern").alias("pattern"), F.col("__now.version").cast("int").alias("version"), seen.alias("seen"))
 
 
 def registry(mined: DataFrame, params: Params | None = None, *, order: str = "source_offset") -> DataFrame:
@@ -202,3 +279,44 @@ def split_candidates(mined: DataFrame, templates: DataFrame, *, least_share: flo
     large = counts.filter(F.col("n") >= least_share * F.col("occurrence_count"))
     out = large.groupBy("stream_id", "template_id", "position", "was", "occurrence_count").agg(F.count("*").alias("n_values"), F.sum("n").alias("covered"), F.array_join(F.array_sort(F.collect_set("value")), "|").alias("constants"))
     return out.filter((F.col("n_values") >= 2) & (F.col("n_values") <= most_values)).select("stream_id", "template_id", "position", "n_values", "covered", "constants", (F.col("was") + 1).alias("version"))
+
+
+# ---- the same as DuckDB SQL
+
+
+def _sql_fold(lines: str, depth: int) -> str:
+    """CTEs ``l`` and ``r``: the sequential miner over rows (stream_id, source_offset, masked), a line of each bucket a step."""
+    made = "{'toks': masked, 'created': source_offset, 'version': 1, 'seen': 1}"
+    return f"""
+l AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY stream_id, len(masked), masked[1:{depth}]) AS b, row_number() OVER (PARTITION BY stream_id, len(masked), masked[1:{depth}] ORDER BY source_offset) AS k
+    FROM (SELECT stream_id, source_offset, masked FROM ({lines}) WHERE len(masked) > 0)),
+r AS (
+    SELECT b, k, stream_id, source_offset, masked, 1 AS hit, [{made}] AS ts FROM l WHERE k = 1
+    UNION ALL
+    SELECT b, k, stream_id, source_offset, masked, hit, CASE WHEN hit > len(ts) THEN list_append(ts, {made}) ELSE list_transform(ts, lambda t, i:
+        CASE WHEN i <> hit THEN t ELSE {{'toks': wide, 'created': t.created, 'version': t.version + CASE WHEN wide <> t.toks THEN 1 ELSE 0 END, 'seen': t.seen + 1}} END) END
+    FROM (SELECT *, CASE WHEN hit <= len(ts) THEN list_transform(ts[hit].toks, lambda x, j: CASE WHEN x = masked[j] OR j <= {depth} THEN x ELSE '<*>' END) END AS wide
+        FROM (SELECT *, CASE WHEN 2 * list_max(same) >= len(masked) THEN list_position(same, list_max(same)) ELSE len(ts) + 1 END AS hit
+            FROM (SELECT l.*, r.ts, list_transform(r.ts, lambda t: len(list_filter(t.toks, lambda x, j: x = l.masked[j] OR x = '<*>'))) AS same FROM r JOIN l ON l.b = r.b AND l.k = r.k + 1))))"""
+
+
+def sql_mined(lines: str, depth: int = 4) -> str:
+    """WITH clause whose ``numbered`` has stream_id, source_offset, masked, template_id, pattern, version and seen, from every line in turn."""
+    return f"""WITH RECURSIVE {_sql_fold(lines, depth)},
+numbered AS MATERIALIZED (
+    SELECT stream_id, source_offset, masked, CAST(dense_rank() OVER (PARTITION BY stream_id ORDER BY t.created) - 1 AS BIGINT) AS template_id, array_to_string(t.toks, ' ') AS pattern, t.version AS version, CAST(t.seen AS BIGINT) AS seen
+    FROM (SELECT stream_id, source_offset, masked, ts[hit] AS t FROM r))"""
+
+
+def sql_mined_distinct(lines: str, depth: int = 4) -> str:
+    """The same for streams of many lines and few patterns: distinct lines in turn, then every line's template as of its offset.
+    It holds where no older template widens to a younger one's lines."""
+    return f"""WITH RECURSIVE src AS MATERIALIZED (SELECT stream_id, source_offset, masked FROM ({lines})), {_sql_fold("SELECT stream_id, min(source_offset) AS source_offset, masked FROM src GROUP BY ALL", depth)},
+states AS MATERIALIZED (SELECT stream_id, masked, source_offset AS since, ts[hit].created AS created, ts[hit].version AS version, array_to_string(ts[hit].toks, ' ') AS pattern FROM r),
+numbered AS MATERIALIZED (
+    SELECT s.stream_id, s.source_offset, s.masked, i.template_id, arg_max(v.pattern, v.since) AS pattern, arg_max(v.version, v.since) AS version, t.created AS created,
+           row_number() OVER (PARTITION BY s.stream_id, t.created ORDER BY s.source_offset) AS seen
+    FROM src AS s JOIN states AS t ON s.stream_id = t.stream_id AND s.masked = t.masked JOIN states AS v ON v.stream_id = t.stream_id AND v.created = t.created AND v.since <= s.source_offset
+    JOIN (SELECT stream_id, created, row_number() OVER (PARTITION BY stream_id ORDER BY created) - 1 AS template_id FROM (SELECT DISTINCT stream_id, created FROM states)) AS i ON i.stream_id = t.stream_id AND i.created = t.created
+    GROUP BY s.stream_id, s.source_offset, s.masked, i.template_id, t.created)"""

@@ -24,8 +24,10 @@ def derive(events: DataFrame, *, json_severity: bool = True, default_zone: str |
     return rows.withColumn("attributes", enrich.attributes(enrich.json_attributes(raw), F.col("captures"), F.col("severity_source")))
 
 
-def ingest(lines: DataFrame, *, classes: list | None = None, params: mining.Params | None = None) -> DataFrame:
-    """Redact, parse, derive, fingerprint and mine: lines have stream_id, source_offset and raw."""
-    rows = derive(parse(lines.withColumn("raw", redact.redact(F.col("raw"), classes))))
+def ingest(lines: DataFrame, *, classes: list | None = None, params: mining.Params | None = None, formats: dict[str, str] | None = None, **derived) -> DataFrame:
+    """Redact, parse, derive, fingerprint and mine: lines have stream_id, source_offset and raw. ``formats`` names the known
+    formats of streams, which set the depth of their mining; what else is named goes to ``derive``."""
+    params = params or mining.Params.of_formats(formats or {})
+    rows = derive(parse(lines.withColumn("raw", redact.redact(F.col("raw"), classes))), **derived)
     rows = rows.withColumn("fingerprint", F.when(F.size("masked") > 0, fnv.fingerprint(F.col("masked"))))
     return mining.mine_online(rows, params)
