@@ -639,21 +639,50 @@ def _corpus(spark, sf_dir):
     return rows.select("format_id", "line", "raw"), rows.select("format_id", "line", "template_gid"), templates
 
 
-@query("corpus_accuracy")
+_CORPUS_NAMES = {"nginx": "nginx-access", "syslog": "syslog-rfc5424", "json": "json-lines"}
+_GOLDEN_SQL = {
+    "nginx": ("""split_part(split_part(raw, '"', 2), ' ', 1)""", """'<IP> - - <TS> "' || gid || ' <PATH> HTTP/1.1" <NUM> <NUM>'"""),
+    "syslog": ("CASE WHEN contains(raw, 'failed') THEN 'failed' ELSE 'done' END", "'<NUM>1 <TS> host01 app - - - <*> by user <NUM> ' || CASE gid WHEN 'failed' THEN 'failed : ERROR' ELSE 'done' END"),
+    "json": ("json_extract_string(raw, '$.level')", """'{ "level" : "' || gid || '" , "msg" : <*> , "user_id" : <NUM> , "id" : "<HEX>" }'"""),
+}
+
+
+def _assigned_sql(kind: str) -> str:
+    """format_id, line, expected, mined and template of every rendered line of a kind."""
+    gid, golden = _GOLDEN_SQL[kind]
+    return f"""({mining.sql_mined_distinct(_EVENT_MASKED[kind], 5 if kind == 'nginx' else 4)}
+SELECT '{_CORPUS_NAMES[kind]}' AS format_id, n.source_offset AS line, pattern AS mined, template_id, expected
+FROM numbered AS n JOIN (SELECT source_offset, {golden} AS expected FROM (SELECT source_offset, {gid} AS gid FROM ({sql_event_lines(kind)}))) AS g ON g.source_offset = n.source_offset)"""
+
+
+_ASSIGNED = " UNION ALL ".join(_assigned_sql(k) for k in _CORPUS_NAMES)
+_ACCURACY = f"""WITH a AS MATERIALIZED ({_ASSIGNED}),
+g AS (SELECT format_id, template_id, count(*) AS n_mined, count(DISTINCT expected) AS n_expected FROM a GROUP BY ALL), e AS (SELECT format_id, expected, count(*) AS n_label FROM a GROUP BY ALL)
+SELECT format_id, count(*) AS lines, round(avg(CASE WHEN mined = expected THEN 1.0 ELSE 0.0 END), 6) AS pa_exact, round(avg(CASE WHEN n_expected = 1 AND n_mined = n_label THEN 1.0 ELSE 0.0 END), 6) AS pa_grouping
+FROM a JOIN g USING (format_id, template_id) JOIN e USING (format_id, expected) GROUP BY format_id"""
+
+
+@query("corpus_accuracy", _ACCURACY)
 def corpus_accuracy(spark, sf_dir):
     return corpus.accuracy(corpus.assignments(*_corpus(spark, sf_dir)))
 
 
-@query("corpus_nginx_accuracy", "SELECT 'nginx-access' AS format_id, count(*) AS lines, CAST(1 AS DOUBLE) AS pa_exact, CAST(1 AS DOUBLE) AS pa_grouping FROM events")
+@query("corpus_nginx_accuracy", f"SELECT * FROM ({_ACCURACY}) WHERE format_id = 'nginx-access'")
 def corpus_nginx_accuracy(spark, sf_dir):
     return corpus.accuracy(corpus.assignments(*_corpus(spark, sf_dir))).filter("format_id = 'nginx-access'")
 
 
-@query("corpus_delta")
+@query("corpus_delta", f"SELECT format_id, count(DISTINCT mined) - count(DISTINCT expected) AS delta FROM ({_ASSIGNED}) GROUP BY format_id")
 def corpus_delta(spark, sf_dir):
     return corpus.template_delta(corpus.assignments(*_corpus(spark, sf_dir)))
 
 
+@query("corpus_determinism")
+def corpus_determinism(spark, sf_dir):
+    """Two runs under other partitions are to agree on every line."""
+    return spark.createDataFrame([(corpus.deterministic(_corpus(spark, sf_dir)[0]),)], "same boolean")
+
+
 # ---- segments and streams
 
 
@@ -714,23 +743,42 @@ def segment_compacted(spark, sf_dir):
     return store.read()[0].select("stream_id", "source_offset", "event_type")
 
 
-@query("stream_mine")
+_PRINTS = fnv.sql_fnv_ctes("(SELECT DISTINCT array_to_string(masked, chr(30)) AS line FROM src)", "line", "line", "prints")
+_SYSLOG_MINED = mining.sql_mined_distinct(_EVENT_MASKED["syslog"])
+
+
+@query(
+    "stream_mine",
+    f"""{_SYSLOG_MINED}, {_PRINTS}
+SELECT n.stream_id, n.source_offset, p.fnv AS template_key, pattern, version, seen, q.fnv AS fingerprint FROM numbered AS n JOIN (SELECT stream_id, source_offset, array_to_string(masked, chr(30)) AS line FROM src) AS f
+ON f.stream_id = n.stream_id AND f.source_offset = n.created JOIN prints AS p ON p.k = f.line JOIN prints AS q ON q.k = array_to_string(n.masked, chr(30))""",
+)
 def stream_mine(spark, sf_dir):
     """Syslog lines mined as a stream until no more are there."""
     source, target, marks = (scratch.folder(spark, f"stream-{x}") for x in ("in", "out", "marks"))
-    rows = event_lines(table(spark, sf_dir, "events"), "syslog").select("stream_id", "source_offset", masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
+    rows = masked_lines(event_lines(table(spark, sf_dir, "events"), "syslog"))
     rows.write.parquet(source)
     live = spark.readStream.schema(rows.schema).parquet(source)
     run = streaming.mine_stream(live).writeStream.format("parquet").option("path", target).option("checkpointLocation", marks).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(streaming.MINED).parquet(target)
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return spark.read.schema(streaming.MINED).parquet(target).select("stream_id", "source_offset", hexed("template_key"), "pattern", "version", "seen", hexed("fingerprint"))
 
 
-@query("ingest_syslog")
+_INGESTED = f"SELECT 'syslog' AS stream_id, source_offset, ts, {redact.sql_redact('raw')} AS raw FROM ({sql_event_lines('syslog')})"
+
+
+@query(
+    "ingest_syslog",
+    f"""{mining.sql_mined_distinct(f"SELECT stream_id, source_offset, {masking.sql_masked('tokens')} AS masked FROM (SELECT stream_id, source_offset, {masking.sql_tokens('raw')} AS tokens FROM ({_INGESTED}))")}, {_PRINTS}
+SELECT n.stream_id, n.source_offset, date_trunc('millisecond', ts) AS event_time, severity, severity_source, fnv AS fingerprint, template_id, pattern, version
+FROM numbered AS n JOIN ({_severity_sql(f"SELECT *, 'x' AS event_type FROM ({_INGESTED})", _SYS)}) AS s ON s.source_offset = n.source_offset JOIN prints AS p ON p.k = array_to_string(n.masked, chr(30))""",
+)
 def ingest_syslog(spark, sf_dir):
     """Redact, parse, derive, fingerprint and mine in one plan."""
     rows = event_lines(table(spark, sf_dir, "events"), "syslog").select("stream_id", "source_offset", "raw")
-    return ingest.ingest(rows).select("stream_id", "source_offset", "event_time", "severity", "severity_source", "fingerprint", "template_id", "pattern", "version")
+    out = ingest.ingest(rows, formats={"syslog": "syslog-rfc5424"})
+    return out.select("stream_id", "source_offset", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "severity", "severity_source", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "template_id", "pattern", "version")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

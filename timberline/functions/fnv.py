@@ -75,12 +75,16 @@ def template_set_hash(patterns: list[str]) -> int:
     return fnv1a(b"".join(p + b"\n" for p in sorted({p.encode() for p in patterns})))
 
 
-def sql_fnv(source: str, key: str, text: str) -> str:
-    """DuckDB SQL: rows (key, fnv) with 16 hex digits for each row of ``source``; every key must be unique."""
+def sql_fnv_ctes(source: str, key: str, text: str, name: str = "fnv1a") -> str:
+    """DuckDB CTEs, to follow on WITH RECURSIVE, of which ``name`` has rows (k, fnv) with 16 hex digits for each row of ``source``; every key must be unique."""
     return f"""
-WITH RECURSIVE src AS (SELECT {key} AS k, hex(encode({text})) AS h FROM {source}),
-run(k, h, i, s) AS (
-    SELECT k, h, 1, CAST({BASIS} AS HUGEINT) FROM src
+{name}_src AS MATERIALIZED (SELECT {key} AS k, hex(encode({text})) AS h FROM {source}),
+{name}_run(k, h, i, s) AS (
+    SELECT k, h, 1, CAST({BASIS} AS HUGEINT) FROM {name}_src
     UNION ALL
-    SELECT k, h, i + 2, (xor(s, CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) AS HUGEINT)) * {PRIME}) % CAST(18446744073709551616 AS HUGEINT) FROM run WHERE i < length(h))
-SELECT k, lower(printf('%016x', CAST(s AS UBIGINT))) AS fnv FROM run WHERE i >= length(h)"""
+    SELECT k, h, i + 2, (xor(s, CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) AS HUGEINT)) * {PRIME}) % CAST(18446744073709551616 AS HUGEINT) FROM {name}_run WHERE i < length(h)),
+{name} AS MATERIALIZED (SELECT k, lower(printf('%016x', CAST(s AS UBIGINT))) AS fnv FROM {name}_run WHERE i >= length(h))"""
+
+
+def sql_fnv(source: str, key: str, text: str) -> str:
+    return f"WITH RECURSIVE {sql_fnv_ctes(source, key, text)} SELECT k, fnv FROM fnv1a"

@@ -28,10 +28,8 @@ class UnknownTemplate(ValueError):
 def template_miner(lines: DataFrame, params: mining.Params | None = None) -> DataFrame:
     """This engine's miner, with each format's depth; a line that does not parse has no pattern."""
     rows = lines.select(F.col("format_id").alias("stream_id"), F.col("line").alias("source_offset"), masking.masked(masking.tokens(F.col("raw"))).alias("masked"))
-    deep = rows.filter(F.col("stream_id").isin(*mining.FORMAT_DEPTH))
-    out = mining.mine_online(rows.filter(~F.col("stream_id").isin(*mining.FORMAT_DEPTH)), params)
-    for name, depth in mining.FORMAT_DEPTH.items():
-        out = out.union(mining.mine_online(deep.filter(F.col("stream_id") == name), mining.Params(depth=depth)))
+    params = params or mining.Params(depths=mining.FORMAT_DEPTH)
+    out = mining.mine_online(rows, params)
     return out.select(F.col("stream_id").alias("format_id"), F.col("source_offset").alias("line"), "pattern", F.col("template_id").cast("string").alias("group"))
 
 
@@ -66,8 +64,12 @@ def template_delta(assigned: DataFrame) -> DataFrame:
 
 
 def set_hash(patterns: DataFrame, column: str = "pattern") -> int:
-    """The template set hash of a registry (bounded by its template limit)."""
-    return fnv.template_set_hash([r[0] for r in patterns.select(column).distinct().collect()])
+    """The template set hash of a registry: the distinct patterns in byte order pass by one at a time."""
+    rows = patterns.select(F.encode(column, "UTF-8").alias("p")).filter("p is not null").distinct().orderBy("p")
+    state = fnv.BASIS
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        state = fnv.fnv1a(bytes(row["p"]) + b"\n", state)
+    return state
 
 
 def deterministic(lines: DataFrame, miner: Miner = template_miner) -> bool:

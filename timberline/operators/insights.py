@@ -35,7 +35,11 @@ def window_counts(events: DataFrame, s: Settings = Settings(), *, time: str = "t
     """stream_id, template_id, win_start, cnt (and errors): every window between a subject's first and the stream's last, empty ones too."""
     width = F.window(time, s.window)
     rows = events.filter(F.col(time).isNotNull()).groupBy(*SUBJECT, width.alias("w")).agg(F.count("*").alias("cnt"), F.sum(F.coalesce(errors, F.lit(False)).cast("int") if errors is not None else F.lit(0)).alias("errors"))
-    rows = rows.select(*SUBJECT, F.col("w.start").alias("win_start"), "cnt", "errors")
+    return dense(rows.select(*SUBJECT, F.col("w.start").alias("win_start"), "cnt", "errors"), s)
+
+
+def dense(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Counts by window (subject, win_start, cnt, errors) with the empty windows."""
     last = rows.groupBy("stream_id").agg(F.max("win_start").alias("last"))
     first = rows.groupBy(*SUBJECT).agg(F.min("win_start").alias("first"))
     every = first.join(last, "stream_id").select(*SUBJECT, F.explode(F.sequence("first", "last", F.expr(f"interval {s.window}"))).alias("win_start"))

@@ -1,4 +1,4 @@
-"""Streaming: online mining with keyed state, per-stream watermarks that drop nothing, and idempotent sealing.
+"""Streaming: online mining with bounded keyed state, per-stream watermarks that drop nothing, detection, and idempotent sealing.
 
 Online template ids are the fingerprint of the event that made the template; dense
 ids come from the batch miner.
@@ -7,40 +7,78 @@ ids come from the batch miner.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from timberline.functions import fnv
+from timberline.operators import insights
 from timberline.operators.mining import Bucket, Params
 
 MINED = "stream_id string, source_offset bigint, template_key bigint, pattern string, version int, seen bigint, fingerprint bigint"
 LATE = "stream_id string, source_offset bigint, event_time timestamp, watermark timestamp, lateness string"
 
 
+class LiveBucket(Bucket):
+    """A bucket whose templates are state: bounded, and quick for lines that came before.
+
+    Beyond ``most`` templates the least valuable one turns cold (least count, then oldest, then first made): it takes no more
+    lines, and a line like its own makes a template again.
+    """
+
+    def __init__(self, depth: int, threshold: float, most: int, held: list[list] | None = None):
+        super().__init__(depth, threshold)
+        self.templates, self.most, self.known = held or [], most, {}
+
+    def add(self, tokens: tuple[str, ...], offset: int) -> list:
+        t = self.known.get(tokens)
+        if t is not None:
+            # what took the line covers it, so nothing widens
+            t[3] += 1
+            return t
+        before = len(self.templates)
+        t, widened = self.take(list(tokens), offset)
+        if widened and t is not self.templates[-1]:
+            # an older template may now cover lines that a younger one took
+            self.known.clear()
+        if len(self.templates) > max(before, self.most):
+            cold = min(self.templates[:-1], key=lambda x: (x[3], x[4] if len(x) > 4 else -1))
+            self.templates.remove(cold)
+            self.known = {k: v for k, v in self.known.items() if v is not cold}
+        self.known[tokens] = t
+        return t
+
+
 def mine_stream(events: DataFrame, params: Params | None = None) -> DataFrame:
-    """A streaming frame of stream_id, source_offset and masked, mined by bucket; the rows of a batch are taken in order of their offsets."""
+    """A streaming frame of stream_id, source_offset and masked, mined by bucket; the rows of a batch are taken in order of their offsets.
+    State holds at most ``most_templates`` templates a bucket."""
     p = params or Params()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        bucket = Bucket(p.depth, p.threshold)
-        if state.exists:
-            bucket.templates = json.loads(state.get[0])
-        rows = pd.concat(list(batches)).sort_values("source_offset")
-        out = []
-        for stream, offset, tokens in zip(rows.stream_id, rows.source_offset, rows.masked, strict=True):
-            tokens = list(tokens)
-            print_of = fnv.fnv_batch([fnv.SEPARATOR.join(tokens)]).view("int64")[0]
-            t = bucket.add(tokens, int(print_of))
-            out.append((stream, offset, t[1], " ".join(t[0]), t[2], t[3], int(print_of)))
+        bucket = LiveBucket(key[1], p.threshold, p.most_templates, json.loads(state.get[0]) if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values("source_offset", kind="stable")
+        made, patterns, versions, seen = [], [], [], []
+        spelt: dict[tuple[int, int], str] = {}
+        for offset, line, print_of in zip(rows.source_offset, rows.line, rows.fingerprint, strict=True):
+            t = bucket.add(tuple(line.split(fnv.SEPARATOR)), int(print_of))
+            t[4:] = [int(offset)]
+            at = (id(t), t[2])
+            if at not in spelt:
+                spelt[at] = " ".join(t[0])
+            made.append(t[1])
+            patterns.append(spelt[at])
+            versions.append(t[2])
+            seen.append(t[3])
         state.update((json.dumps(bucket.templates),))
-        yield pd.DataFrame(out, columns=["stream_id", "source_offset", "template_key", "pattern", "version", "seen", "fingerprint"])
+        yield pd.DataFrame({"stream_id": rows.stream_id.to_numpy(), "source_offset": rows.source_offset.to_numpy(), "template_key": made, "pattern": patterns, "version": versions, "seen": seen, "fingerprint": rows.fingerprint.to_numpy()})
 
-    rows = events.filter(F.size("masked") > 0).withColumns({"n": F.size("masked"), "prefix": F.array_join(F.slice("masked", 1, p.depth), fnv.SEPARATOR)})
-    return rows.groupBy("stream_id", "n", "prefix").applyInPandasWithState(step, MINED, "templates string", "append", GroupStateTimeout.NoTimeout)
+    depth = p.depth_of(F.col("stream_id"))
+    rows = events.filter(F.size("masked") > 0).withColumns({"depth": depth, "n": F.size("masked"), "prefix": F.array_join(F.slice("masked", F.lit(1), F.least(depth, F.size("masked"))), fnv.SEPARATOR)})
+    rows = rows.select("stream_id", "depth", "n", "prefix", "source_offset", F.array_join("masked", fnv.SEPARATOR).alias("line"), fnv.fingerprint(F.col("masked")).alias("fingerprint"))
+    return rows.groupBy("stream_id", "depth", "n", "prefix").applyInPandasWithState(step, MINED, "templates string", "append", GroupStateTimeout.NoTimeout)
 
 
 def lateness_stream(events: DataFrame, *, bound_seconds: int = 600) -> DataFrame:
@@ -64,12 +102,43 @@ def lateness_stream(events: DataFrame, *, bound_seconds: int = 600) -> DataFrame
     return events.groupBy("stream_id").applyInPandasWithState(step, LATE, "mark timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_counts_stream(events: DataFrame, window: str = "1 hour", *, time: str = "time", late: str = "1 day") -> DataFrame:
-    """Tumbling counts by subject for continuous baselines, in update mode."""
-    rows = events.withWatermark(time, late).groupBy("stream_id", "template_id", F.window(time, window).alias("w")).count()
+def window_counts_stream(events: DataFrame, window: str = "1 hour", *, time: str = "time", late: str | None = None) -> DataFrame:
+    """Tumbling counts by subject for continuous baselines, in update mode. No row is ever too late, unless ``late`` bounds
+    the state by a watermark, which drops what is later."""
+    rows = events.withWatermark(time, late) if late else events
+    rows = rows.groupBy("stream_id", "template_id", F.window(time, window).alias("w")).count()
     return rows.select("stream_id", "template_id", F.col("w.start").alias("win_start"), F.col("count").alias("cnt"))
 
 
+class Detector:
+    """Continuous detection: each micro-batch adds its counts by window to a table, and the detectors run over the windows of the horizon.
+
+    Counts are kept by batch, so a batch that runs again counts once; late events count in their own window. Insights of closed windows
+    (all but the stream's last) that this batch changed go to ``sink``; a window that late events change is told again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: insights.Settings, sink: Callable[[DataFrame, int], None], *, time: str = "time", horizon: str = "30 days", detectors: tuple[Callable, ...] = (insights.spikes,)):
+        self.spark, self.path, self.settings, self.sink, self.time, self.horizon, self.detectors = spark, path.rstrip("/"), settings, sink, time, horizon, detectors
+
+    def batch(self, events: DataFrame, number: int) -> None:
+        rows = events.filter(F.col(self.time).isNotNull()).groupBy(*insights.SUBJECT, F.window(self.time, self.settings.window)["start"].alias("win_start")).agg(F.count("*").alias("cnt"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        held = self.spark.read.schema(rows.schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        last = held.groupBy("stream_id").agg(F.max("win_start").alias("__last"))
+        near = held.join(last, "stream_id").filter(F.col("win_start") > F.col("__last") - F.expr(f"interval {self.horizon}"))
+        base = insights.baselines(insights.dense(near.groupBy(*insights.SUBJECT, "win_start").agg(F.sum("cnt").alias("cnt"), F.lit(0).alias("errors")), self.settings).drop("errors"), self.settings)
+        changed = self.spark.read.schema(rows.schema).parquet(f"{self.path}/batch={number}").groupBy("stream_id").agg(F.min("win_start").alias("__from"))
+        found = None
+        for detect in self.detectors:
+            one = detect(base, self.settings)
+            found = one if found is None else found.unionByName(one)
+        self.sink(found.join(changed, "stream_id").join(last, "stream_id").filter((F.col("win_end") >= F.col("__from")) & (F.col("win_start") < F.col("__last"))).drop("__from", "__last"), number)
+
+    def start(self, events: DataFrame, checkpoint: str, **trigger):
+        write = events.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        return write.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def seal_batches(store, events: DataFrame, checkpoint: str, **trigger):
     """Each micro-batch becomes the segment of its number: a batch that runs again writes the same segment once."""
     write = events.writeStream.foreachBatch(lambda rows, batch: store.seal(rows, segment=batch)).option("checkpointLocation", checkpoint)
