@@ -1,7 +1,9 @@
 import io
 import json
 import os
+import random
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -43,6 +45,33 @@ def test_segments(spark, tmp_path):
     assert store.evict(datetime(2024, 1, 3)) == [4] and store.read()[0].count() == 10
 
 
+def test_terms_find_every_event_after_seal_and_compact(spark, tmp_path):
+    store = segments.Store(spark, str(tmp_path))
+    plain = events(spark, range(20, 30)).drop("tokens")
+    for part, k in ((events(spark, range(10)), 0), (events(spark, range(10, 20)), 1), (plain, 2), (events(spark, range(30, 40)), 3)):
+        store.seal(part, k)
+    hits = lambda: sorted(r.source_offset for r in store.read(terms=["word1", "line"])[0].filter("raw like 'word1 %'").collect())
+    want = [i for i in range(40) if i % 3 == 1 and not 20 <= i < 30]
+    rows, coverage = store.read(terms=["word1", "line"])
+    assert coverage["segments"] == [0, 1, 2, 3] and hits() == want and store.read(terms=["37"])[1]["segments"] == [2, 3]
+    assert store.read(terms=["nosuch"])[1]["segments"] == [2]
+    store.compact([0, 1])
+    assert hits() == want and store.read(terms=["word1"])[1]["segments"] == [2, 3, 4] and store.read()[0].count() == 40
+    store.compact([2, 4])
+    assert store.read()[0].count() == 40 and store.read(terms=["15"])[1]["segments"] == [5]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = (segments.Store(spark, str(tmp_path)) for _ in range(2))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda x: x[0].seal(events(spark, range(10 * x[1], 10 * x[1] + 10)), x[1]), [(one, 0), (two, 1), (one, 2), (two, 3)]))
+    assert one.read()[0].count() == 40 and one.manifest().select("segment_id").distinct().count() == 4
+    fs, claim = one._fs(f"{tmp_path}/claims/v{one._version() + 1}")
+    fs.createNewFile(claim)
+    with pytest.raises(TimeoutError):
+        one._swap(lambda m: m, patience=0.1)
+
+
 def test_missing_segment_is_partial(spark, tmp_path):
     store = segments.Store(spark, str(tmp_path))
     for k in range(2):
@@ -85,24 +114,82 @@ def test_docker_and_retries(spark, tmp_path):
     assert plugins.with_retries(lambda: 1 / 0, tries=2, sleep=lambda s: None, dead_letter=dead.append) is None and len(dead) == 1
 
 
-def test_tail_with_rotation(spark, tmp_path):
-    folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
-    folder.mkdir()
+def tail(spark, folder, out, marks, **options):
+    """All that is there now, as one run of the query; the rows so far."""
     files.register(spark)
+    q = spark.readStream.format("line_tail").options(path=str(folder), **options).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return sorted((r.generation, r.source_offset, r.raw) for r in spark.read.schema(files.RAW).parquet(out).collect())
 
-    def go():
-        q = spark.readStream.format("line_tail").option("path", str(folder)).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).start()
-        try:
-            q.processAllAvailable()
-        finally:
-            q.stop()
-        return sorted((r.generation, r.source_offset, r.raw) for r in spark.read.schema(files.RAW).parquet(out).collect())
 
+def test_tail_with_rotation(spark, tmp_path):
+    folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    folder.mkdir()
+    go = lambda: tail(spark, folder, out, marks)
     (folder / "a.log").write_text("one\ntwo\nhal")
     assert go() == [(0, 0, "one"), (0, 4, "two")]
     with open(folder / "a.log", "a") as f:
         f.write("f\nthree\n")
     assert go() == [(0, 0, "one"), (0, 4, "two"), (0, 8, "half"), (0, 13, "three")]
+    # renamed with an unread line, and a new file in its place: both are the stream a.log
+    with open(folder / "a.log", "a") as f:
+        f.write("last\n")
+    os.rename(folder / "a.log", folder / "a.log.1")
+    (folder / "a.log").write_text("fresh\n")
+    rows = go()
+    assert rows[4:] == [(0, 19, "last"), (1, 0, "fresh")] and {r.stream_id for r in spark.read.schema(files.RAW).parquet(out).collect()} == {"a.log"}
+    # cut off, and grown again beyond the old end
+    with open(folder / "a.log", "r+") as f:
+        f.truncate(0)
+        f.write("again and longer than before\n")
+    assert go()[6:] == [(2, 0, "again and longer than before")] and len(go()) == 7
+
+
+def test_tail_takes_lines_longer_than_a_piece(spark, tmp_path):
+    folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    folder.mkdir()
+    lines = ["x" * 5000, "short", "", "y" * 300, "é" * 700, "end"]
+    (folder / "a.log").write_bytes("\n".join(lines).encode() + b"\n" + b"bad \xff bytes\r\nrest")
+    got = tail(spark, folder, out, marks, maxBytesPerTask=64)
+    assert [r[2] for r in got] == [*lines, "bad \ufffd bytes"] and [r[1] for r in got][:3] == [0, 5001, 5007]
+
+
+def test_one_reader_sees_backlog_then_what_is_appended(spark, tmp_path):
+    """Offsets of one running reader: no gap and no overlap where the backlog ends and the tail begins."""
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(200)))
+    reader, start, seen = files._TailReader(str(tmp_path), 256), {}, []
+    for k in range(4):
+        end = reader.latestOffset()
+        seen += [x for piece in reader.partitions(start, end) for x in reader.read(piece)]
+        reader.commit(end)
+        start = end
+        with open(tmp_path / "a.log", "a") as f:
+            f.write(f"more {k}\n")
+    assert [x[3] for x in seen] == [f"line {i}" for i in range(200)] + ["more 0", "more 1", "more 2"]
+    assert all(b[2] == a[2] + len(a[3]) + 1 for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abc é\r", k=rng.randrange(0, 90))) for _ in range(4000)]
+    (tmp_path / "b c+d.log").write_bytes("\n".join(lines).encode() + b"\n\xff\xfe bad\n")
+    (tmp_path / "empty.log").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = files.read_files(spark, str(tmp_path)).orderBy("source_offset").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    at, want = 0, []
+    for x in lines:
+        want.append((at, x.removesuffix("\r")))
+        at += len(x.encode()) + 1
+    assert [(r.source_offset, r.raw) for r in got] == [*want, (at, "\ufffd\ufffd bad")] and {r.stream_id for r in got} == {"b c+d.log"}
 
 
 def lines_of(spark):

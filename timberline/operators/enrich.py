@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions import running
+
 # ---- fixed values: the severity scale and the sources' native levels
 LEVELS = ["trace", "debug", "info", "notice", "warn", "error", "fatal"]
 SYSLOG = {0: "fatal", 1: "fatal", 2: "fatal", 3: "error", 4: "warn", 5: "notice", 6: "info", 7: "debug"}
@@ -94,27 +96,64 @@ def attribute(attributes: Column, key: str) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
 
 
-#: Formats that are looked for by default: a pattern, how Spark reads it, whether it names its zone, and its resolution.
-FORMATS = [
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z", "yyyy-MM-dd'T'HH:mm:ss.SSSX", True, "ms"),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{2}:[0-9]{2}", "yyyy-MM-dd'T'HH:mm:ssXXX", True, "s"),
-    (r"[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}", "dd/MMM/yyyy:HH:mm:ss Z", True, "s"),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}", "yyyy-MM-dd HH:mm:ss", False, "s"),
-]
-
-
-def event_time(raw: Column, *, default_zone: str | None = None, ingestion_zone: str = "UTC", formats: list = FORMATS) -> dict[str, Column]:
+_DATE, _CLOCK = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_ZONE = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})"
+_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+#: Formats that are looked for by default, by name: a pattern, how Spark reads it, whether it names its zone, and its resolution.
+#: Fractions of a second are of any length, of which six digits count. Years of RFC 3164 are those of ``year``.
+FORMATS = {
+    "rfc3339_ms": (_DATE + "[Tt]" + _CLOCK + r"[.,][0-9]{1,3}" + _ZONE, "yyyy-MM-dd'T'HH:mm:ss[.SSS][.SS][.S]XXX", True, "ms"),
+    "rfc3339_us": (_DATE + "[Tt]" + _CLOCK + r"[.,][0-9]{4,}" + _ZONE, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", True, "us"),
+    "rfc3339": (_DATE + "[Tt]" + _CLOCK + _ZONE, "yyyy-MM-dd'T'HH:mm:ssXXX", True, "s"),
+    "access_log": (r"[0-9]{2}/" + _MONTH + r"/[0-9]{4}:" + _CLOCK + r" [+-][0-9]{4}", "dd/MMM/yyyy:HH:mm:ss Z", True, "s"),
+    "iso_local_ms": (_DATE + "[T ]" + _CLOCK + r"[.,][0-9]{1,9}", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", False, "ms"),
+    "iso_local": (_DATE + "[T ]" + _CLOCK, "yyyy-MM-dd'T'HH:mm:ss", False, "s"),
+    "rfc3164": (_MONTH + r" [ 0-9][0-9] " + _CLOCK, "yyyy MMM d HH:mm:ss", False, "s"),
+    "epoch_ms": (r"^[\[(]?1[0-9]{12}(?![0-9])", "epoch", True, "ms"),
+    "epoch": (r"^[\[(]?1[0-9]{9}(?:\.[0-9]{1,9})?(?![0-9])", "epoch", True, "s"),
+}
+
+
+def _read_time(name: str, found: Column, form: str, year: Column) -> Column:
+    """A timestamp from what a format's pattern found, or null."""
+    if form == "epoch":
+        n = F.regexp_replace(found, r"^[\[(]", "").try_cast("decimal(28,9)")
+        return F.timestamp_micros((n * (1000 if name.endswith("_ms") else 1_000_000)).cast("bigint"))
+    if name == "rfc3164":
+        return F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(found, " +", " ")), F.lit(form))
+    if name == "access_log":
+        return F.try_to_timestamp(found, F.lit(form))
+    # one spelling: T between date and time, six digits of a second, a colon in the zone
+    parts = F.regexp_extract(found, r"^(.{10})", 1), F.regexp_extract(found, r"^.{11}(.{8})", 1)
+    fraction = F.substring(F.concat(F.regexp_extract(found, r"^.{19}[.,]([0-9]+)", 1), F.lit("000000")), 1, 6)
+    zone = F.regexp_replace(F.upper(F.regexp_extract(found, r"([Zz]|[+-][0-9]{2}:?[0-9]{2})$", 1)), r"^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+    zoned = name.startswith("rfc3339")
+    return F.try_to_timestamp(F.concat(parts[0], F.lit("T"), parts[1], F.lit("."), fraction, zone if zoned else F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + ("XXX" if zoned else "")))
+
+
+def event_time(raw: Column, *, default_zone: str | None = None, ingestion_zone: str = "UTC", formats: list[str] | None = None, by_stream: dict[str, list[str]] | None = None, stream: Column | None = None, year: Column | None = None) -> dict[str, Column]:
     """event_time, tz_source (explicit, stream_default or ingestion_fallback) and resolution by the first format that parses;
-    all null if none does. The session's zone must be UTC."""
+    all null if none does. ``formats`` names those to look for (all by default), ``by_stream`` those of single streams, by the
+    column ``stream``; ``year`` is that of times that tell none (this year by default). The session's zone must be UTC."""
+    lists = {None: formats or list(FORMATS)} | (by_stream or {})
+    year = year if year is not None else F.year(F.current_timestamp())
     time = source = resolution = F.lit(None)
-    for pattern, form, zoned, unit in reversed(formats):
+    for name, (pattern, form, zoned, unit) in reversed(FORMATS.items()):
+        # none of the streams reads it: no expression
+        named = [s for s, wanted in lists.items() if s is not None and name in wanted]
+        if name not in lists[None] and not named:
+            continue
         found = F.nullif(F.regexp_extract(raw, pattern, 0), F.lit(""))
-        at = F.try_to_timestamp(found, F.lit(form))
+        if by_stream:
+            others = stream.isin(*(s for s in lists if s is not None))
+            allowed = (stream.isin(*named) if named else F.lit(False)) | (~others if name in lists[None] else F.lit(False))
+            found = F.when(allowed, found)
+        at = _read_time(name, found, form, year)
         if not zoned:
             at = F.to_utc_timestamp(at, default_zone or ingestion_zone)
         time = F.when(at.isNotNull(), at).otherwise(time)
-        name = "explicit" if zoned else "stream_default" if default_zone else "ingestion_fallback"
-        source = F.when(at.isNotNull(), name).otherwise(source)
+        told = "explicit" if zoned else "stream_default" if default_zone else "ingestion_fallback"
+        source = F.when(at.isNotNull(), told).otherwise(source)
         resolution = F.when(at.isNotNull(), unit).otherwise(resolution)
     return {"event_time": time.cast("timestamp"), "tz_source": source.cast("string"), "resolution": resolution.cast("string")}
 
@@ -125,11 +164,9 @@ def order_time(event: str = "event_time", ingestion: str = "ingestion_time") ->
 
 def lateness(events: DataFrame, *, bound_seconds: int = 600, stream: str = "stream_id", order: str = "source_offset", time: str = "event_time") -> DataFrame:
     """Adds watermark (the greatest earlier time in the stream) and lateness (on_time, late, very_late; null without a time). No row goes."""
-    before = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(time).over(before)
     gap = F.unix_micros(F.col("watermark").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))
     state = F.when(F.col(time).isNull(), F.lit(None)).when(F.col("watermark").isNull() | (gap <= 0), "on_time").when(gap <= bound_seconds * 1_000_000, "late").otherwise("very_late")
-    return events.withColumn("watermark", mark).withColumn("lateness", state)
+    return running.greatest_before(events, [stream], order, time, "watermark").withColumn("lateness", state)
 
 
 def merged_order(events: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ def parse(lines: DataFrame) -> DataFrame:
     return rows.withColumn("masked", masking.masked(F.col("tokens")))
 
 
-def derive(events: DataFrame, *, json_severity: bool = True, default_zone: str | None = None) -> DataFrame:
-    """Adds event_time, tz_source, resolution, severity, severity_source, captures and attributes, in that order."""
+def derive(events: DataFrame, *, json_severity: bool = True, default_zone: str | None = None, time_formats: list[str] | None = None, times_by_stream: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds event_time, tz_source, resolution, severity, severity_source, captures and attributes, in that order. Formats of times are
+    names of ``enrich.FORMATS``, for all streams and for single ones."""
     raw = F.col("raw")
     structured = F.coalesce(enrich.syslog_level(raw), enrich.json_level(raw)) if json_severity else enrich.syslog_level(raw)
-    rows = events.withColumns(enrich.event_time(raw, default_zone=default_zone)).withColumns({"__s": structured, "__p": enrich.text_level(raw)})
+    rows = events.withColumns(enrich.event_time(raw, default_zone=default_zone, formats=time_formats, by_stream=times_by_stream, stream=F.col("stream_id"))).withColumns({"__s": structured, "__p": enrich.text_level(raw)})
     rows = rows.withColumns(enrich.severity(F.col("__s"), F.col("__p"))).drop("__s", "__p").withColumn("captures", masking.captures(F.col("tokens")))
     return rows.withColumn("attributes", enrich.attributes(enrich.json_attributes(raw), F.col("captures"), F.col("severity_source")))
 

@@ -6,9 +6,13 @@ import json
 import os
 import sys
 import tomllib
+import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -20,15 +24,18 @@ _EVENT = {
 
 
 def read_files(spark: SparkSession, path: str, *, start: dict[str, int] | None = None) -> DataFrame:
-    """Lines of files with the byte at which each begins. A file is one row of ``binaryFile`` and is
-    split on the executors, so each file must fit a task's memory. ``start`` gives a first offset by file name."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("stream_id"), "content")
-    # offsets are sums of the lengths before, within the file
-    parts = files.withColumn("lines", F.split(F.decode("content", "UTF-8"), "\n"))
-    sizes = F.transform("lines", lambda x: F.octet_length(x).cast("bigint") + 1)
-    begins = F.aggregate(sizes, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = parts.select("stream_id", F.explode(F.arrays_zip("lines", F.slice(begins, 1, F.size("lines")).alias("begins"))).alias("x"), F.octet_length("content").alias("size"))
-    rows = rows.select("stream_id", F.lit(0).alias("generation"), F.col("x.begins").alias("source_offset"), F.regexp_replace("x.lines", r"\r\z", "").alias("raw"), "size").filter("source_offset < size").drop("size")
+    """Lines of files with the byte at which each begins; what is not UTF-8 is kept with U+FFFD in its place.
+
+    Files are read in splits of ``spark.sql.files.maxPartitionBytes``, compressed ones whole. A first look sums up the bytes of
+    each split's lines, a row a split, which gives where each split's first line begins; within a split offsets are running sums.
+    ``start`` gives a first offset by file name.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    split = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.sum(F.octet_length("line") + 1).alias("size"))
+    begins = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("size").over(split), F.lit(0)).alias("begin"))
+    rows = lines.mapInArrow(_places, "file string, block bigint, place bigint, line binary").join(begins, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    rows = rows.select(F.url_decode(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\+", "%2B")).alias("stream_id"), F.lit(0).alias("generation"), (F.col("begin") + F.col("place")).alias("source_offset"), F.regexp_replace(F.make_valid_utf8(F.col("line").cast("string")), r"\r\z", "").alias("raw"))
     if start:
         first = F.lit(0)
         for name, at in start.items():
@@ -37,6 +44,23 @@ def read_files(spark: SparkSession, path: str, *, start: dict[str, int] | None =
     return rows
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds where each line begins within its split; a split's lines come one after the other."""
+    now, at = None, 0
+    for batch in batches:
+        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_numpy()
+        sizes = pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        place = np.empty(len(sizes), dtype=np.int64)
+        edges = [0, *(k for k in range(1, len(files)) if blocks[k] != blocks[k - 1] or files[k] != files[k - 1]), len(files)] if len(files) else []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if (files[lo], blocks[lo]) != now:
+                now, at = (files[lo], blocks[lo]), 0
+            ends = at + np.cumsum(sizes[lo:hi])
+            place[lo:hi] = ends - sizes[lo:hi]
+            at = int(ends[-1])
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(place), batch.column("line")], names=["file", "block", "place", "line"])
+
+
 def read_stdin(spark: SparkSession, stream_id: str = "stdin", source=None) -> DataFrame:
     """Standard input to its end, as one batch."""
     rows, at = [], 0
@@ -69,8 +93,6 @@ def raw_events(lines: DataFrame) -> DataFrame:
 
 def generations(snapshots: DataFrame) -> DataFrame:
     """generation of each snapshot (stream_id, seen_at, identity, size): it grows when the file's identity changes or its size shrinks."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("stream_id").orderBy("seen_at")
     fresh = (F.lag("identity").over(order) != F.col("identity")) | (F.lag("size").over(order) > F.col("size"))
     rows = snapshots.withColumn("__fresh", F.coalesce(fresh, F.lit(False)).cast("int"))
@@ -106,16 +128,43 @@ def load_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, D
 
 
 class _Piece(InputPartition):
-    def __init__(self, path: str, generation: int, begin: int, end: int):
-        self.path, self.generation, self.begin, self.end = path, generation, begin, end
+    def __init__(self, folder: str, file: str, inode: int, stream: str, generation: int, begin: int, end: int, first: bool):
+        self.folder, self.file, self.inode, self.stream, self.generation, self.begin, self.end, self.first = folder, file, inode, stream, generation, begin, end, first
+
+
+def _line_end(path: str, at: int, size: int) -> int:
+    """The place behind the last line feed from ``at`` to ``size``, however long the last line is; ``at`` if there is none."""
+    with open(path, "rb") as f:
+        while size > at:
+            begin = max(at, size - (1 << 16))
+            f.seek(begin)
+            found = f.read(size - begin).rfind(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            size = begin
+    return at
+
+
+def _mark(path: str, at: int) -> int:
+    """A checksum of the bytes before a place: another one tells a file that was cut off and grew again."""
+    with open(path, "rb") as f:
+        f.seek(max(0, at - 64))
+        return zlib.crc32(f.read(min(at, 64)))
 
 
 class _TailReader(DataSourceStreamReader):
-    """Offsets are, by file, identity, generation and the byte behind the last whole line."""
+    """Offsets are, by inode: the file's name now, its stream (the name it was first seen by), generation, the byte behind its last whole
+    line, and a checksum of what stands before that byte.
+
+    A file that is renamed keeps its stream and generation until its last line, so a rotated one is drained under its old name; the new
+    file of that name is the stream's next generation, and so is a file that was cut off. A reader that starts anew does not know yet
+    what was read; it leaves stream and generation open until Spark names the start of the batch.
+    """
 
-    def __init__(self, folder: str, most: int):
-        self.folder, self.most = folder, most
-        self.state: dict[str, list] = {}
+    def __init__(self, folder: str, piece: int):
+        self.folder, self.piece = folder, piece
+        self.state: dict[str, dict] = {}
+        self.known = False
 
     def initialOffset(self) -> dict:
         return {}
@@ -127,40 +176,67 @@ class _TailReader(DataSourceStreamReader):
             if not os.path.isfile(path):
                 continue
             stat = os.stat(path)
-            ino, generation, at = self.state.get(name, [stat.st_ino, 0, 0])
-            if ino != stat.st_ino or stat.st_size < at:
-                ino, generation, at = stat.st_ino, generation + 1, 0
-            with open(path, "rb") as f:
-                f.seek(at)
-                block = f.read(self.most)
-            now[name] = [ino, generation, at + block.rfind(b"\n") + 1]
-        self.state = {**self.state, **now}
-        return dict(self.state)
+            key = str(stat.st_ino)
+            if self.known:
+                one = self._next(key, name, path, stat.st_size, {**self.state, **now})
+            else:
+                one = {"file": name, "stream": "", "generation": -1, "at": _line_end(path, 0, stat.st_size), "mark": 0}
+            now[key] = {**one, "mark": _mark(path, one["at"])}
+        # files that are gone stay until their stream's next batch, which may still read them
+        return {**{k: v for k, v in self.state.items() if os.path.exists(os.path.join(self.folder, v["file"]))}, **now}
+
+    def _next(self, key: str, name: str, path: str, size: int, held: dict[str, dict]) -> dict:
+        old = held.get(key)
+        if old is not None and size >= old["at"] and _mark(path, old["at"]) == old["mark"]:
+            return {**old, "file": name, "at": _line_end(path, old["at"], size)}
+        stream = name if old is None or old["file"] != name else old["stream"]
+        last = max((v["generation"] for v in held.values() if v["stream"] == stream), default=-1)
+        return {"file": name, "stream": stream, "generation": last + 1, "at": _line_end(path, 0, size), "mark": 0}
 
     def partitions(self, start: dict, end: dict) -> list[_Piece]:
-        out = []
-        for name, (_, generation, at) in end.items():
-            before = start.get(name, [None, generation, 0])
-            begin = before[2] if before[1] == generation else 0
-            if at > begin:
-                out.append(_Piece(os.path.join(self.folder, name), generation, begin, at))
-        self.state = {**end, **self.state}
+        out, told = [], {}
+        for key, e in end.items():
+            path, before = os.path.join(self.folder, e["file"]), start.get(key)
+            goes_on = before is not None and e["at"] >= before["at"] and os.path.exists(path) and _mark(path, before["at"]) == before["mark"]
+            if e["generation"] < 0:
+                same = goes_on and before["generation"] >= 0
+                stream = before["stream"] if same else e["file"]
+                last = max((v["generation"] for v in {**start, **told}.values() if v["stream"] == stream), default=-1)
+                e = {**e, "stream": stream, "generation": before["generation"] if same else last + 1}
+            told[key] = e
+            open_start = goes_on and before["generation"] < 0
+            begin = before["at"] if open_start or (before is not None and (before["generation"], before["stream"]) == (e["generation"], e["stream"])) else 0
+            for at in range(begin, e["at"], self.piece):
+                out.append(_Piece(self.folder, e["file"], int(key), e["stream"], e["generation"], at, min(at + self.piece, e["at"]), at == begin))
+        if not self.known:
+            self.state, self.known = {**start, **told}, True
         return out
 
     def read(self, piece: _Piece) -> Iterator[tuple]:
-        with open(piece.path, "rb") as f:
-            f.seek(piece.begin)
-            at, block = piece.begin, f.read(piece.end - piece.begin)
-        for line in block.split(b"\n")[:-1]:
-            yield os.path.basename(piece.path), piece.generation, at, line.decode("utf-8", "replace").removesuffix("\r")
-            at += len(line) + 1
+        path = os.path.join(piece.folder, piece.file)
+        if not os.path.exists(path) or os.stat(path).st_ino != piece.inode:
+            # renamed since the batch was planned
+            path = next(p for p in (os.path.join(piece.folder, n) for n in os.listdir(piece.folder)) if os.stat(p).st_ino == piece.inode)
+        with open(path, "rb") as f:
+            if piece.first:
+                f.seek(piece.begin)
+            else:
+                # the line that runs into this piece is that of the one before
+                f.seek(piece.begin - 1)
+                f.readline()
+            at = f.tell()
+            while at < piece.end:
+                line = f.readline()
+                yield piece.stream, piece.generation, at, line.removesuffix(b"\n").decode("utf-8", "replace").removesuffix("\r")
+                at += len(line)
 
     def commit(self, end: dict) -> None:
-        pass
+        self.state = {k: {**v, **({"stream": self.state[k]["stream"], "generation": self.state[k]["generation"]} if v["generation"] < 0 and k in self.state else {})} for k, v in end.items()}
 
 
 class TailSource(DataSource):
-    """``readStream.format("line_tail").option("path", folder)``: lines appended to files, with rotation and truncation. At most ``maxBytesPerTrigger`` of a file a batch; nothing is dropped. The folder must be one that all executors see."""
+    """``readStream.format("line_tail").option("path", folder)``: lines appended to files, with rotation and truncation. A batch takes
+    all whole lines that are there, in tasks of ``maxBytesPerTask``; a line may be longer. Nothing is dropped. The folder must be one that all executors see."""
 
     @classmethod
     def name(cls) -> str:
@@ -170,7 +246,7 @@ class TailSource(DataSource):
         return RAW
 
     def streamReader(self, schema) -> _TailReader:
-        return _TailReader(self.options["path"], int(self.options.get("maxBytesPerTrigger", 16 << 20)))
+        return _TailReader(self.options["path"], int(self.options.get("maxBytesPerTask", 16 << 20)))
 
 
 def register(spark: SparkSession) -> None:
