@@ -59,9 +59,13 @@ _SYLLABLES = {
 }
 _ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rik", ("latin", "n"): "ren", ("cyrillic", "f"): "на", ("cyrillic", "m"): "рик", ("cyrillic", "n"): "ей", ("greek", "f"): "να", ("greek", "m"): "ρος", ("greek", "n"): "ις"}
 
+# fixed values: calling codes of one and two digits; all others have three
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_LOCAL = "A-Za-z0-9À-ɏͰ-ϿЀ-ӿ"
+_EMAIL = re.compile(rf"(?<![{_LOCAL}._%+\-])[{_LOCAL}._%+\-]++@(?:[{_LOCAL}\-]++\.)+[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]{{2,24}}(?![{_LOCAL}])")
 _IS = r"(?:\\?[\"'])?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}"
 #: What stands after a password keyword, to the closing quote or the end of the word, whatever it is.
 _PASSWORD = re.compile(rf"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd){_IS}(?:\"([^\"\n]+)\"|'([^'\n]+)'|(?:\\?[\"'])?((?:(?!&\w+=)[^\s\"'<>])+))")
@@ -199,8 +203,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "card" and len(digits) != 16 and luhn(digits):
                 continue
             if kind == "phone" and m[0][0] == "+":
-                code = re.match(r"\+\d{1,3}(?=\D)|\+\d", m[0])[0]
-                got.append((m.start(), m.end(), kind, f"{code} {digits[len(code) - 1 :]}"))
+                digits = re.sub(r"\D", "", m[0].replace("(0)", ""))
+                code = next((digits[:k] for k in (1, 2) if digits[:k] in CALLING_CODES), digits[:3])
+                got.append((m.start(), m.end(), kind, f"+{code} {digits[len(code) :]}"))
             else:
                 got.append((m.start(), m.end(), kind, m[0] if kind == "ip" else digits))
     got += _names(text)
@@ -240,29 +245,33 @@ class Draw:
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
-    """The canonical surrogate of an entity at this attempt; more attempts widen what can be drawn."""
-    d = Draw(key, kind, canonical, attempt)
+    """The canonical surrogate of an entity at this attempt. More attempts widen what can be drawn: where the format's own
+    length leaves too few, surrogates grow by a digit an attempt, so that drawing ends however many entities there are."""
+    d, more = Draw(key, kind, canonical, attempt), max(0, attempt - 6)
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
-        return d.alike(local if len(local) + attempt > 7 else (local + "abcdefgh")[: 8 + attempt]) + "@" + d.alike("mail") + str(d.below(100)) + ".example." + labels[-1]
+        # other letters than those from a to z are drawn from these, too
+        local = "".join("z" if c.isalnum() and not c.isascii() else c for c in local)
+        return d.alike((local if len(local) + attempt > 7 else (local + "abcdefgh")[: 8 + attempt]) + "z" * more) + "@" + d.alike("mail") + str(d.below(100)) + ".example." + labels[-1]
     if kind == "ip":
-        return ".".join(str(1 + d.below(254)) for _ in range(4))
+        # beyond what addresses there are the first part grows
+        return ".".join(str(1 + d.below(254)) for _ in range(4)) if not more else f"{255 + d.below(100**more)}." + ".".join(str(1 + d.below(254)) for _ in range(3))
     if kind == "ipv6":
         # groups of zeros stay, unless too few others are left to draw from
         return IPv6Address(":".join(f"{1 + d.below(65535):x}" if g or attempt > 3 else "0" for g in _groups(canonical))).compressed
     if kind == "ssn":
-        return "9" + d.digits(8)
+        return "9" + d.digits(8 + more)
     if kind == "card":
-        body = canonical[0] + d.digits(len(canonical) - 2)
+        body = canonical[0] + d.digits(len(canonical) - 2 + more)
         want = luhn(canonical) == 0
         last = [c for c in "0123456789" if (luhn(body + c) == 0) == want]
         return body + last[d.below(len(last))]
     if kind == "phone":
         code, gap, rest = canonical.rpartition(" ")
-        return code + gap + (str(1 + d.below(9)) if rest[0] != "0" else "0") + d.digits(len(rest) - 1)
+        return code + gap + (str(1 + d.below(9)) if rest[0] != "0" else "0") + d.digits(len(rest) - 1 + more)
     if kind == "iban":
-        body = d.alike(canonical[4:])
+        body = d.alike(canonical[4:] + "9" * more)
         return canonical[:2] + f"{98 - _iban_left(canonical[:2] + '00' + body):02d}" + body
     if kind == "secret":
         head = re.match(r"AKIA|sk-|gh[pousr]_|github_pat_|eyJ", canonical)
@@ -281,9 +290,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 def render(surface: str, kind: str, new: str) -> str:
     """The canonical surrogate in the form of the surface."""
     if kind in ("ssn", "card", "phone", "iban"):
-        chars = iter(new.partition(" ")[2] or new) if kind == "phone" else iter(new)
-        keep = len(new.partition(" ")[0]) if kind == "phone" and " " in new else 0
-        return surface[:keep] + "".join(next(chars) if c.isalnum() else c for c in surface[keep:])
+        code, _, rest = new.partition(" ") if kind == "phone" and " " in new else ("", "", new)
+        chars = iter(rest)
+        # the zero in brackets is no digit of the number; what is longer than the surface follows on it
+        parts = re.split(r"(\(0\))", surface[len(code) :]) if code else [surface]
+        return code + "".join(x if x == "(0)" and code else "".join(next(chars) if c.isalnum() else c for c in x) for x in parts) + "".join(chars)
     if kind == "ipv6":
         groups = _groups(new)
         if "." in surface:
