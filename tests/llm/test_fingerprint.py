@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -6,19 +7,27 @@ from pyspark.sql import functions as F
 from timberline.llm import fingerprint as fp
 
 
+def pieces(text):
+    return re.findall(r"[^\n]{48,160}?(?:[.!?] |[。！？])|[^\n]{160}[^\n ]{0,96} ?|[^\n]+", text or "")
+
+
 def brute(text):
-    v = [0] * 48
+    v = [0] * 16
     for p in (text or "").split("\n"):
         if p:
             h = hashlib.sha256(b"0:" + p.encode()).hexdigest() + hashlib.sha256(b"1:" + p.encode()).hexdigest()
-            x = [int(h[8 * j : 8 * j + 8], 16) for j in range(16)]
-            for j in range(16):
-                v[j] = (v[j] + x[j]) % 2**32
-            v[16 + x[8] % 32] = (v[16 + x[8] % 32] + x[9] % 2**16) % 2**16
-    return "".join(f"{x:08x}" for x in v[:16]) + "".join(f"{x:04x}" for x in v[16:])
+            v = [(v[j] + int(h[8 * j : 8 * j + 8], 16)) % 2**32 for j in range(16)]
+    counts, packed = Counter(pieces(text)), [0] * 40
+    for p, n in counts.items():
+        h = hashlib.sha256(b"2:" + p.encode()).hexdigest()
+        for w in range(2):
+            for k in range(20):
+                for i in range(3):
+                    packed[20 * w + k] += n * ((int(h[15 * w : 15 * w + 15], 16) >> k + 20 * i & 1) << 20 * i)
+    return "".join(f"{x:08x}" for x in [*v, counts.total()]) + "".join(f"{x:016x}" for x in packed)
 
 
-TEXTS = [None, "", "\n\n", "a\nb\nc", "c\na\nb", "a\nb\nc\nc", "é\n😀", "line\n" * 70_000, "a\nb\nd"]
+TEXTS = [None, "", "\n\n", "a\nb\nc", "c\na\nb", "a\nb\nc\nc", "é\n😀", "line\n" * 70_000, "a\nb\nd", "One. Two! Three? " * 9 + "word " * 90, "一。二！" * 3]
 
 
 def test_equals_brute_force(spark):
@@ -35,6 +44,24 @@ def test_insert_delete_and_likeness(spark):
     assert r.plus and r.minus and r.near > 0.5 and r.far < 0.5
 
 
+def test_likeness_holds_at_any_length_and_within_paragraphs(spark):
+    """Against the Tanimoto coefficient of the pieces, counted."""
+    pairs = [("a", "a"), ("a", "b"), (None, "\n"), ("", "a"), ("a\nb\nc", "c\na\nb"), ("line\n" * 3000, "line\n" * 1500)]
+    for n, changed in [(8, 4), (100, 3), (100, 50), (5000, 150), (5000, 2500), (5000, 5000)]:
+        for gap in ("\n", ". "):
+            pairs.append((gap.join(f"{n} p{i}" for i in range(n)), gap.join(f"{n} {'q' if i < changed else 'p'}{i}" for i in range(n))))
+    v = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    v = v.select("i", fp.lanes(F.col("a")).alias("a"), fp.lanes(F.col("b")).alias("b"))
+    got = {r.i: r.near for r in v.select("i", fp.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    for i, pair in enumerate(pairs):
+        a, b = (Counter(pieces(t)) for t in pair)
+        both = sum(n * b[p] for p, n in a.items())
+        every = sum(n * n for n in a.values()) + sum(n * n for n in b.values()) - both
+        true = both / every if every else 1.0
+        assert abs(got[i] - true) <= (0.2 if 0 < true < 1 or len(a) > 1 else 0.25 if true == 0 else 0), (i, got[i], true)
+        assert true < 0.9 or abs(got[i] - true) < 0.03, (i, got[i], true)
+
+
 def test_next_goes_down_and_round(spark):
     for n in (1, 2, 7, 300):
         ids = [3 * i for i in range(n)]
