@@ -15,19 +15,21 @@ from timberline.llm.queries import DEMO_KEY, tokenizer_path
 
 #: A document without a letter goes, and one of whose language the model is less sure than this.
 LEAST_SCORE = 0.5
+#: And one that fits its language worse than this: texts of the languages have 0.7 and more, one in a script that no language has next to 0.
+LEAST_FIT = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled ones have."""
+    """Keeps documents in a language that the labelled ones have; with no labelled one nothing stays."""
     prepare(spark)
     model = language.train(docs, key=F.col("doc_id"))
-    names = ("__language", "__score")
-    found = language.identify(docs, model, keep=docs.columns, lang_out=names[0], score_out=names[1])
-    return found.filter((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
+    names = ("__language", "__score", "__fits")
+    found = language.identify(docs, model, keep=docs.columns, lang_out=names[0], score_out=names[1], fit_out=names[2])
+    return found.filter((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE) & (F.col(names[2]) >= LEAST_FIT)).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each class of near copies."""
+    """Keeps one document of each class of near copies: that of the least doc_id."""
     prepare(spark)
     return jaccard.keep_one(docs)
 
