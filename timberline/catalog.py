@@ -114,10 +114,26 @@ def captures_nginx(spark, sf_dir):
     return _captures(event_lines(table(spark, sf_dir, "events"), "nginx"))
 
 
-@query("rich_masks_documents")
+@query("rich_masks_documents", f"SELECT stream_id, source_offset, array_to_string(list_transform(tokens, lambda t: {masking.sql_rich_mask('t')}), ' ') AS pattern FROM (SELECT stream_id, source_offset, {masking.sql_tokens('raw', urls=True)} AS tokens FROM ({SQL_TEXT_LINES}))")
 def rich_masks_documents(spark, sf_dir):
     """With URLs, addresses and quoted text masked too."""
-    t = masking.masked(masking.tokens(F.col("raw")), masking.rich_dictionary())
+    t = masking.masked(masking.tokens(F.col("raw"), urls=True), masking.rich_dictionary())
+    return lines(spark, sf_dir).select("stream_id", "source_offset", masking.pattern(t).alias("pattern"))
+
+
+@query("rich_masks_urls", f"SELECT page_id, array_to_string(list_transform(tokens, lambda t: {masking.sql_rich_mask('t')}), ' ') AS pattern FROM (SELECT page_id, {masking.sql_tokens('raw', urls=True)} AS tokens FROM (SELECT page_id, 'fetched ' || url || ' by bot@crawl.example.org as \"text html\"' AS raw FROM pages))")
+def rich_masks_urls(spark, sf_dir):
+    """Lines with a URL, an address and quoted text."""
+    raw = F.concat(F.lit("fetched "), "url", F.lit(' by bot@crawl.example.org as "text html"'))
+    t = masking.masked(masking.tokens(raw, urls=True), masking.rich_dictionary())
+    return table(spark, sf_dir, "pages").select("page_id", masking.pattern(t).alias("pattern"))
+
+
+@query("own_mask_documents", f"SELECT stream_id, source_offset, array_to_string(list_transform(masked, lambda t: CASE WHEN regexp_matches(t, '\\A[a-z]+\\z') THEN '<WORD>' ELSE t END), ' ') AS pattern FROM ({_MASKED})")
+def own_mask_documents(spark, sf_dir):
+    """With a mask of the user's behind the built-in ones."""
+    words = masking.Mask("<WORD>", lambda t: t.rlike(r"\A[a-z]+\z"))
+    t = masking.masked(masking.tokens(F.col("raw")), masking.dictionary(extra=[words]))
     return lines(spark, sf_dir).select("stream_id", "source_offset", masking.pattern(t).alias("pattern"))
 
 
@@ -360,6 +376,36 @@ def timestamps_stream_default(spark, sf_dir):
     return rows.withColumns(enrich.event_time(F.col("raw"), default_zone="+03:00")).select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "tz_source", "resolution")
 
 
+_FORMS = {  # what each fifth of the events writes, and how it is read
+    "iso_us": ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'", "%Y-%m-%dT%H:%M:%S.%f+02:00", "date_trunc('microsecond', ts) - INTERVAL 2 HOUR", "explicit", "us"),
+    "iso_z": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", "date_trunc('second', ts)", "explicit", "s"),
+    "bsd": ("MMM d HH:mm:ss", "%b %-d %H:%M:%S", "date_trunc('second', ts)", "ingestion_fallback", "s"),
+    "local_ms": ("yyyy-MM-dd HH:mm:ss,SSS", "%Y-%m-%d %H:%M:%S,%g", "date_trunc('millisecond', ts)", "ingestion_fallback", "ms"),
+}
+
+
+def _forms_sql(column: int) -> str:
+    return "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN " + (f[2] if column == 2 else f"'{f[column]}'") for k, f in enumerate(_FORMS.values())) + (" ELSE date_trunc('second', ts) END" if column == 2 else " ELSE '" + ("explicit" if column == 3 else "s") + "' END")
+
+
+@query("timestamps_forms", f"SELECT event_id, {_forms_sql(2)} AS event_time, {_forms_sql(3)} AS tz_source, {_forms_sql(4)} AS resolution FROM events")
+def timestamps_forms(spark, sf_dir):
+    """RFC 3339 with microseconds and an offset and without a fraction, RFC 3164, a local time with milliseconds, and seconds of the epoch."""
+    raw = F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(" up"))
+    for k, (form, *_rest) in enumerate(_FORMS.values()):
+        raw = F.when(F.col("event_id") % 5 == k, F.concat(F.lit("" if k == 2 else "at "), F.date_format("ts", form), F.lit(" up"))).otherwise(raw)
+    rows = table(spark, sf_dir, "events").withColumn("raw", raw)
+    return rows.withColumns(enrich.event_time(F.col("raw"), year=F.year("ts"))).select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "tz_source", "resolution")
+
+
+@query("timestamps_by_stream", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN date_trunc('second', ts) END AS event_time FROM events")
+def timestamps_by_stream(spark, sf_dir):
+    """Streams that are known to write access-log times are looked at for these alone."""
+    raw = F.concat(F.lit("["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] x"))
+    rows = table(spark, sf_dir, "events").withColumns({"raw": raw, "stream": F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string"))})
+    return rows.withColumns(enrich.event_time(F.col("raw"), by_stream={"s0": ["access_log"], "s1": ["rfc3339"]}, stream=F.col("stream"))).select("event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
 @query("attributes_json", f"SELECT source_offset, 'level=' || json_extract_string(raw, '$.level') || chr(31) || 'msg=' || json_extract_string(raw, '$.msg') || chr(31) || 'user_id=' || json_extract_string(raw, '$.user_id') || chr(31) || 'id=' || json_extract_string(raw, '$.id') AS attributes FROM ({sql_event_lines('json')})")
 def attributes_json(spark, sf_dir):
     a = enrich.json_attributes(F.col("raw"))
@@ -467,6 +513,18 @@ def lql_correlate(spark, sf_dir):
     return lql.run(_click_events(spark, sf_dir), "correlate by stream (attr.type = error, attr.type = purchase) within 1h").select("source_offset", "correlation_key", "correlation_group")
 
 
+@query(
+    "lql_sequence_across",
+    f"""SELECT source_offset, time, previous_offset, previous_time FROM (
+SELECT source_offset, time, event_type, last_value(CASE WHEN event_type = 'error' THEN source_offset END IGNORE NULLS) OVER w AS previous_offset,
+       last_value(CASE WHEN event_type = 'error' THEN time END IGNORE NULLS) OVER w AS previous_time
+FROM ({_TYPES}) WINDOW w AS (ORDER BY time, stream_id, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE event_type = 'purchase' AND previous_time IS NOT NULL AND epoch_us(time) - epoch_us(previous_time) <= 600000000""",
+)
+def lql_sequence_across(spark, sf_dir):
+    return lql.run(_click_events(spark, sf_dir), "attr.type = error then attr.type = purchase within 10m across").select("source_offset", "time", "previous_offset", "previous_time")
+
+
 @query("viewport_page", f"SELECT stream_id, source_offset, event_type FROM ({_EVENTS}) WHERE (stream_id, source_offset) >= ('u5', 0) ORDER BY stream_id, source_offset LIMIT 50")
 def viewport_page(spark, sf_dir):
     return lql.viewport(_events(spark, sf_dir), anchor=("u5", 0), size=50).select("stream_id", "source_offset", "event_type")
@@ -563,9 +621,15 @@ def rare_return(spark, sf_dir):
     return found.join(base.select("template_id", "win_start"), ["template_id", "win_start"], "left_semi").select("template_id", "win_start", "cnt")
 
 
-@query("rare")
+_RARE = f"""
+SELECT *, CAST(round(least(CAST(0.99 AS DOUBLE), least(CAST(1 AS DOUBLE), CASE WHEN rn - last > 2 THEN CAST(1 AS DOUBLE) ELSE level / greatest(spread, CAST(1 AS DOUBLE)) / 6 END) * least(CAST(1 AS DOUBLE), windows_seen / CAST(10 AS DOUBLE)) * (total / CAST(total + 5 AS DOUBLE))), 6) AS DOUBLE) AS confidence
+FROM (SELECT *, sum(cnt) OVER b AS total, quantile_disc(cnt, 0.05) OVER b AS low, max(CASE WHEN cnt > 0 THEN rn END) OVER b AS last FROM ({_DAY_BASE}) WINDOW b AS (PARTITION BY template_id ORDER BY win_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE total >= 5 AND windows_seen >= 5 AND cnt > 0 AND ((cnt < level AND cnt <= low AND low > 0) OR rn - last > 2)"""
+
+
+@query("rare", f"SELECT template_id, win_start, cnt, confidence FROM ({_RARE})")
 def rare(spark, sf_dir):
-    return insights.rare(_daily(spark, sf_dir), insights.Settings(window="1 day", gap=2))
+    return insights.rare(_daily(spark, sf_dir), insights.Settings(window="1 day", gap=2)).select("template_id", "win_start", "cnt", "confidence")
 
 
 _REGRESSION = f"""
@@ -612,12 +676,37 @@ def insight_precision(spark, sf_dir):
     return insights.precision(insights.spikes(_base(spark, sf_dir), _SETTINGS), labels)
 
 
-@query("insight_related")
-def insight_related(spark, sf_dir):
-    """Pushed insights with descriptions and anchors."""
+def _pushed(spark, sf_dir) -> DataFrame:
     s = insights.Settings(window="1 hour", floor=0.1)
-    pushed = insights.refine(insights.spikes(_base(spark, sf_dir), s), s).filter("status = 'pushed'")
-    return insights.related(pushed, _subjects(spark, sf_dir), window="1 hour")
+    return insights.refine(insights.spikes(_base(spark, sf_dir), s), s).filter("status = 'pushed'")
+
+
+@query(
+    "insight_related",
+    f"""WITH p AS MATERIALIZED (SELECT * FROM ({_PIPE}) WHERE status = 'pushed')
+SELECT template_id, win_start, source_offset FROM (SELECT p.template_id, p.win_start, e.event_id AS source_offset, row_number() OVER (PARTITION BY p.template_id, p.win_start ORDER BY e.event_id) AS rn
+FROM p JOIN events AS e ON e.event_type = p.template_id AND e.ts >= p.win_start AND e.ts < p.win_end + INTERVAL 1 HOUR) WHERE rn <= 10""",
+)
+def insight_related(spark, sf_dir):
+    """The anchors of pushed insights, a row each."""
+    found = insights.related(_pushed(spark, sf_dir), _subjects(spark, sf_dir), window="1 hour")
+    return found.select("template_id", "win_start", F.explode("related.source_offset").alias("source_offset"))
+
+
+_DESCRIBED = f"""SELECT template_id, win_start, printf('%s of template %s in %s: %d in the window, baseline %.2f +- %.2f over %d windows', kind, template_id, stream_id, CAST(cnt AS BIGINT), level, spread, CAST(windows_seen AS BIGINT)) AS description
+FROM (SELECT * FROM ({_SPIKE}) WHERE windows_seen >= 5) WHERE confidence < 0.9"""
+
+
+@query("insight_descriptions", _DESCRIBED)
+def insight_descriptions(spark, sf_dir):
+    """Of the insights that are told on demand only, none of which is merged."""
+    s = insights.Settings(window="1 hour", floor=0.9)
+    return insights.refine(insights.spikes(_base(spark, sf_dir), s), s).filter("status = 'on_demand'").select("template_id", "win_start", "description")
+
+
+@query("confidence_clamp", "SELECT event_id, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), value / 100 - CAST(0.5 AS DOUBLE))) AS c FROM events")
+def confidence_clamp(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", insights.clamp(F.col("value") / 100 - 0.5).alias("c"))
 
 
 # ---- corpus

@@ -29,6 +29,8 @@ VERSION = r"^[0-9]+([.][0-9]+|[^.0-9]|$)"
 BRACKET_TIME = r"(?s)\[[^:]*:[^:]*:.*\]"
 NUMBER = r"-*[0-9.]+"
 URL = r"(?i)(?:https?|ftp)://[^ ]+"
+#: A URL up to white space, a quote or what closes it; before the other tokens.
+WHOLE_URL = r'(?:[hH][tT][tT][pP][sS]?|[fF][tT][pP])://[^ \t\n\f\r\[\]"{}<>,]+'
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Tokens without any of this stay as they are: no mask can match.
 MAYBE = rf'[0-9/"\[@]|^{HEX}{{8}}'
@@ -44,9 +46,9 @@ def parse_status(raw: Column) -> Column:
     return F.when(raw.isNull() | raw.rlike(BLANK), "empty").when(F.octet_length(raw) > MOST_BYTES, "too_long").otherwise("ok")
 
 
-def tokens(raw: Column) -> Column:
-    """The tokens of a line that parses, else an empty array."""
-    every = F.when(raw.rlike(JSON_START), F.regexp_extract_all(raw, F.lit(JSON), F.lit(0))).otherwise(F.regexp_extract_all(raw, F.lit(GENERIC), F.lit(0)))
+def tokens(raw: Column, *, urls: bool = False) -> Column:
+    """The tokens of a line that parses, else an empty array; ``urls`` keeps a URL in one token, as its mask needs."""
+    every = F.when(raw.rlike(JSON_START), F.regexp_extract_all(raw, F.lit(JSON), F.lit(0))).otherwise(F.regexp_extract_all(raw, F.lit(f"{WHOLE_URL}|{GENERIC}" if urls else GENERIC), F.lit(0)))
     return F.when(parse_status(raw) == "ok", every).otherwise(F.array().cast("array<string>"))
 
 
@@ -155,8 +157,9 @@ def sql_status(raw: str) -> str:
     return f"CASE WHEN {raw} IS NULL OR regexp_matches({raw}, {_q(BLANK)}) THEN 'empty' WHEN octet_length(encode({raw})) > {MOST_BYTES} THEN 'too_long' ELSE 'ok' END"
 
 
-def sql_tokens(raw: str) -> str:
-    return f"CASE WHEN ({sql_status(raw)}) <> 'ok' THEN CAST([] AS VARCHAR[]) WHEN regexp_matches({raw}, {_q(JSON_START)}) THEN regexp_extract_all({raw}, {_q(JSON)}) ELSE regexp_extract_all({raw}, {_q(GENERIC)}) END"
+def sql_tokens(raw: str, urls: bool = False) -> str:
+    generic = f"{WHOLE_URL}|{GENERIC}" if urls else GENERIC
+    return f"CASE WHEN ({sql_status(raw)}) <> 'ok' THEN CAST([] AS VARCHAR[]) WHEN regexp_matches({raw}, {_q(JSON_START)}) THEN regexp_extract_all({raw}, {_q(JSON)}) ELSE regexp_extract_all({raw}, {_q(generic)}) END"
 
 
 def sql_mask(t: str) -> str:
@@ -173,5 +176,13 @@ def sql_mask(t: str) -> str:
     )
 
 
+def sql_rich_mask(t: str) -> str:
+    """Of ``rich_dictionary``: composites, times, ids and addresses, then URLs and e-mail, then the rest, and quoted text last."""
+    m = lambda p: f"regexp_matches({t}, {_q(p)})"
+    early = f"{m(_full(PRI))} OR {m(_full(IP + ':[0-9]+'))} OR {sql_mask(t)} IN ('<TS>', '<UUID>', '<IP>') OR (starts_with({t}, '\"') AND {sql_mask(t)} NOT IN ({t}, '<PATH>'))"
+    quoted = f"(starts_with({t}, '\"') AND ends_with({t}, '\"') AND length({t}) >= 2)"
+    return f"CASE WHEN {early} THEN {sql_mask(t)} WHEN {m(_full(URL))} THEN '<URL>' WHEN {m(_full(EMAIL))} THEN '<EMAIL>' WHEN {sql_mask(t)} <> {t} THEN {sql_mask(t)} WHEN {quoted} THEN '<QUOTED>' ELSE {t} END"
+
+
 def sql_masked(tokens: str) -> str:
     return f"list_transform({tokens}, lambda t: {sql_mask('t')})"

@@ -108,7 +108,7 @@ FORMATS = {
     "access_log": (r"[0-9]{2}/" + _MONTH + r"/[0-9]{4}:" + _CLOCK + r" [+-][0-9]{4}", "dd/MMM/yyyy:HH:mm:ss Z", True, "s"),
     "iso_local_ms": (_DATE + "[T ]" + _CLOCK + r"[.,][0-9]{1,9}", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", False, "ms"),
     "iso_local": (_DATE + "[T ]" + _CLOCK, "yyyy-MM-dd'T'HH:mm:ss", False, "s"),
-    "rfc3164": (_MONTH + r" [ 0-9][0-9] " + _CLOCK, "yyyy MMM d HH:mm:ss", False, "s"),
+    "rfc3164": (_MONTH + r" {1,2}[0-9]{1,2} " + _CLOCK, "yyyy MMM d HH:mm:ss", False, "s"),
     "epoch_ms": (r"^[\[(]?1[0-9]{12}(?![0-9])", "epoch", True, "ms"),
     "epoch": (r"^[\[(]?1[0-9]{9}(?:\.[0-9]{1,9})?(?![0-9])", "epoch", True, "s"),
 }
@@ -137,25 +137,37 @@ def event_time(raw: Column, *, default_zone: str | None = None, ingestion_zone:
     column ``stream``; ``year`` is that of times that tell none (this year by default). The session's zone must be UTC."""
     lists = {None: formats or list(FORMATS)} | (by_stream or {})
     year = year if year is not None else F.year(F.current_timestamp())
-    time = source = resolution = F.lit(None)
-    for name, (pattern, form, zoned, unit) in reversed(FORMATS.items()):
+    found = []
+    for name, (pattern, form, zoned, unit) in FORMATS.items():
         # none of the streams reads it: no expression
         named = [s for s, wanted in lists.items() if s is not None and name in wanted]
         if name not in lists[None] and not named:
             continue
-        found = F.nullif(F.regexp_extract(raw, pattern, 0), F.lit(""))
+        text = F.nullif(F.regexp_extract(raw, pattern, 0), F.lit(""))
         if by_stream:
             others = stream.isin(*(s for s in lists if s is not None))
-            allowed = (stream.isin(*named) if named else F.lit(False)) | (~others if name in lists[None] else F.lit(False))
-            found = F.when(allowed, found)
-        at = _read_time(name, found, form, year)
-        if not zoned:
-            at = F.to_utc_timestamp(at, default_zone or ingestion_zone)
-        time = F.when(at.isNotNull(), at).otherwise(time)
+            text = F.when((stream.isin(*named) if named else F.lit(False)) | (~others if name in lists[None] else F.lit(False)), text)
         told = "explicit" if zoned else "stream_default" if default_zone else "ingestion_fallback"
-        source = F.when(at.isNotNull(), told).otherwise(source)
-        resolution = F.when(at.isNotNull(), unit).otherwise(resolution)
-    return {"event_time": time.cast("timestamp"), "tz_source": source.cast("string"), "resolution": resolution.cast("string")}
+        found.append(_told(text, name, form, year, None if zoned else default_zone or ingestion_zone, told, unit))
+    # the first that reads a time is the last that is tried
+    one = F.coalesce(*found, F.lit(None).cast("struct<at:timestamp,source:string,resolution:string>"))
+    return {"event_time": one["at"], "tz_source": one["source"], "resolution": one["resolution"]}
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _told(text: Column, name: str, form: str, year: Column, zone: str | None, source: str, unit: str) -> Column:
+    def held(at: Column) -> Column:
+        return F.when(at.isNotNull(), F.struct(at.cast("timestamp").alias("at"), F.lit(source).alias("source"), F.lit(unit).alias("resolution")))
+
+    def read(t: Column) -> Column:
+        at = _read_time(name, t, form, year)
+        return _let(at if zone is None else F.to_utc_timestamp(at, zone), held)
+
+    return F.when(text.isNotNull(), _let(text, read))
 
 
 def order_time(event: str = "event_time", ingestion: str = "ingestion_time") -> Column:

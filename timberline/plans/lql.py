@@ -1,14 +1,14 @@
 """LQL: filters, time windows, sequences and correlations over events, compiled to DataFrames.
 
     query := seq [ 'during' '[' time ',' time ']' ]
-    seq   := or ( 'then' or )* [ 'within' duration ]
+    seq   := or ( 'then' or )* [ 'within' duration [ 'across' ] ]
     or    := and ( 'or' and )*      and := not ( 'and' not )*
     not   := 'not' not | '(' seq ')' | 'correlate' 'by' field '(' or ( ',' or )+ ')' 'within' duration | predicate
     predicate := field op value     op := = != < <= > >= contains matches | in '(' value, ... ')'
     field := template_id severity text time stream fingerprint attr.<key>
 
 An unknown severity fails every ordered comparison, and ``not`` is two-valued. ``then``
-gives the last step's event with its nearest earlier match of the step before in the same stream.
+gives the last step's event with its nearest earlier match of the step before in the same stream, or with ``across`` in any.
 Window ends are inclusive. ParseError and ValidationError come before any plan.
 """
 
@@ -58,6 +58,7 @@ class Bool:
 class Sequence:
     steps: tuple
     micros: int | None
+    across: bool = False
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ _UNITS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d":
 _ORDERED, _EQUAL, _TEXT = {"<", "<=", ">", ">="}, {"=", "!=", "in"}, {"contains", "matches"}
 #: Which operators a field takes.
 FIELDS = {"template_id": _EQUAL | _ORDERED, "severity": _EQUAL | _ORDERED, "text": _EQUAL | _TEXT, "time": _EQUAL | _ORDERED, "stream": _EQUAL | _TEXT, "fingerprint": _EQUAL, "attr": _EQUAL | _TEXT | _ORDERED}
-_KEYWORDS = {"and", "or", "not", "then", "within", "during", "correlate", "by", "in", "contains", "matches"}
+_KEYWORDS = {"and", "or", "not", "then", "within", "across", "during", "correlate", "by", "in", "contains", "matches"}
 
 
 class _Parser:
@@ -127,13 +128,16 @@ class _Parser:
         while self.peek("then"):
             self.next()
             steps.append(self.any_of())
-        micros = None
+        micros, across = None, False
         if self.peek("within"):
             self.next()
             micros = _duration(self.next("a duration")[1])
             if len(steps) == 1:
                 raise ParseError("within needs then")
-        return steps[0] if len(steps) == 1 else Sequence(tuple(steps), micros)
+            if self.peek("across"):
+                self.next()
+                across = True
+        return steps[0] if len(steps) == 1 else Sequence(tuple(steps), micros, across)
 
     def _chain(self, word: str, part):
         terms = [part()]
@@ -331,6 +335,25 @@ def _sequence(events: DataFrame, node: Sequence) -> DataFrame:
     return rows.select(*events.columns, F.col(f"__b{k}.source_offset").alias("previous_offset"), F.col(f"__b{k}.time").alias("previous_time"))
 
 
+def _sequence_across(events: DataFrame, node: Sequence) -> DataFrame:
+    """The same over all streams together, in order of time, stream and offset. Pieces of time as long as the window hold each
+    match twice, in their own piece and the next, so that no task sees more than two windows."""
+    order = ["time", "stream_id", "source_offset"]
+    piece = F.floor(_micros("time") / node.micros)
+    found = events.filter(F.coalesce(column(node.steps[0]), F.lit(False))).select(*order)
+    for k, step in enumerate(node.steps[1:], 1):
+        last = k == len(node.steps) - 1
+        rows = events.filter(F.coalesce(column(step), F.lit(False)))
+        rows = rows.select(*order, piece.alias("__piece"), F.struct(*events.columns).alias("__row"), F.lit(None).cast(found.select(F.struct("time", "source_offset").alias("x")).schema["x"].dataType).alias("__hit"))
+        hits = found.select(*order, F.explode(F.array(piece, piece + 1)).alias("__piece"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("time", "source_offset").alias("__hit"))
+        before = Window.partitionBy("__piece").orderBy(*order, F.col("__row").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+        both = rows.unionByName(hits).withColumn("__before", F.last("__hit", ignorenulls=True).over(before)).filter("__row is not null and __before is not null")
+        both = both.filter(_micros("time") - F.unix_micros(F.col("__before.time").cast("timestamp")) <= node.micros)
+        if last:
+            return both.select("__row.*", F.col("__before.source_offset").alias("previous_offset"), F.col("__before.time").alias("previous_time"))
+        found = both.select(*order)
+
+
 def _correlate(events: DataFrame, node: Correlate) -> DataFrame:
     """Events of one key with gaps of at most W make a group; groups that hold every term stay."""
     flags = {f"__t{k}": F.coalesce(column(t), F.lit(False)) for k, t in enumerate(node.terms)}
@@ -352,7 +375,7 @@ def _apply(events: DataFrame, node) -> DataFrame:
         lit = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
         return _apply(events.filter(F.col("time").between(lit(node.begin), lit(node.end))), node.of)
     if isinstance(node, Sequence):
-        return _sequence(events, node)
+        return _sequence_across(events, node) if node.across else _sequence(events, node)
     if isinstance(node, Correlate):
         return _correlate(events, node)
     if isinstance(node, Bool) and _temporal(node):
