@@ -87,3 +87,15 @@ def test_workspace(events, tmp_path):
     assert Workspace.restore(str(tmp_path / "w.json")) == w
     w.submit("severity = info")
     assert w.recall(0) == 'text contains "full"' and w.history == ['text contains "full"', "severity = info"]
+
+
+def test_sequence_across_streams(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [("a", 1, at(0), "x"), ("b", 1, at(4), "y"), ("b", 2, at(20), "y"), ("c", 1, at(20), "x"), ("c", 2, at(29), "z"), ("a", 2, at(29), "y"), ("a", 3, at(30), "y")]
+    df = spark.createDataFrame(rows, "stream_id string, source_offset long, time timestamp_ntz, raw string")
+    got = lql.run(df, 'text = "x" then text = "y" within 10m across').collect()
+    assert sorted((r.stream_id, r.source_offset, r.previous_time) for r in got) == [("a", 2, at(20)), ("a", 3, at(20)), ("b", 1, at(0))]
+    three = lql.run(df, 'text = "x" then text = "z" then text = "y" within 10m across').collect()
+    assert sorted((r.stream_id, r.source_offset) for r in three) == [("a", 3)]
+    with pytest.raises(lql.ParseError):
+        lql.parse('text = "x" then text = "y" across')

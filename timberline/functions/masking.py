@@ -67,31 +67,43 @@ def _quoted(t: Column) -> Column:
     return t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
 
 
+# Cheap looks at bytes stand before each regular expression, which most tokens then never reach.
+
+
 def _hex(t: Column) -> Column:
-    return t.rlike(_full(HEX + "{8,}")) & t.rlike("[a-fA-F]")
+    return (F.octet_length(t) >= 8) & t.rlike(_full("[0-9]*[a-fA-F]" + HEX + "*"))
+
+
+def _uuid(t: Column) -> Column:
+    return (F.octet_length(t) == 36) & t.rlike(_full(UUID))
+
+
+def _number(t: Column) -> Column:
+    """Dashes, then digits and dots, with at least one digit."""
+    return t.rlike(_full(r"-*[.]*[0-9][0-9.]*"))
 
 
 COMPOSITES = [
-    Mask("pri", lambda t: t.rlike(_full(PRI)), lambda t: F.regexp_replace(t, "^<[0-9]*>", "<NUM>")),
-    Mask("host_port", lambda t: t.rlike(_full(IP + ":[0-9]+")), lambda t: F.lit("<IP>:<NUM>")),
+    Mask("pri", lambda t: t.startswith("<") & t.rlike(_full(PRI)), lambda t: F.regexp_replace(t, "^<[0-9]*>", "<NUM>")),
+    Mask("host_port", lambda t: t.contains(":") & t.contains(".") & t.rlike(_full(IP + ":[0-9]+")), lambda t: F.lit("<IP>:<NUM>")),
     Mask(
         "http",
-        lambda t: _quoted(t) & _inner(t).rlike(_full(HTTP)) & F.substring_index(_inner(t), " HTTP/", -1).rlike(VERSION),
+        lambda t: _quoted(t) & t.contains(" HTTP/") & _inner(t).rlike(_full(HTTP)) & F.substring_index(_inner(t), " HTTP/", -1).rlike(VERSION),
         lambda t: F.concat(F.lit('"'), F.substring_index(_inner(t), " ", 1), F.lit(" <PATH> HTTP/"), F.substring_index(_inner(t), " HTTP/", -1), F.lit('"')),
     ),
-    Mask("quoted_uuid", lambda t: _quoted(t) & _inner(t).rlike(_full(UUID)), lambda t: F.lit('"<UUID>"')),
+    Mask("quoted_uuid", lambda t: _quoted(t) & _uuid(_inner(t)), lambda t: F.lit('"<UUID>"')),
     Mask("quoted_hex", lambda t: _quoted(t) & _hex(_inner(t)), lambda t: F.lit('"<HEX>"')),
 ]
 PLAIN = {
-    "<TS>": Mask("<TS>", lambda t: (t.rlike(_full(BRACKET_TIME)) & t.rlike("[0-9]")) | t.rlike(_full(ISO))),
-    "<UUID>": Mask("<UUID>", lambda t: t.rlike(_full(UUID))),
-    "<IP>": Mask("<IP>", lambda t: t.rlike(_full(IP))),
+    "<TS>": Mask("<TS>", lambda t: (t.startswith("[") & t.rlike(_full(BRACKET_TIME)) & t.rlike("[0-9]")) | ((F.octet_length(t) == 24) & t.rlike(_full(ISO)))),
+    "<UUID>": Mask("<UUID>", _uuid),
+    "<IP>": Mask("<IP>", lambda t: t.contains(".") & t.rlike(_full(IP))),
     "<PATH>": Mask("<PATH>", lambda t: t.contains("/") & (F.octet_length(t) > 1)),
     "<HEX>": Mask("<HEX>", _hex),
-    "<NUM>": Mask("<NUM>", lambda t: t.rlike(_full(NUMBER)) & t.rlike("[0-9]")),
+    "<NUM>": Mask("<NUM>", _number),
     # off by default
-    "<URL>": Mask("<URL>", lambda t: t.rlike(_full(URL))),
-    "<EMAIL>": Mask("<EMAIL>", lambda t: t.rlike(_full(EMAIL))),
+    "<URL>": Mask("<URL>", lambda t: t.contains("://") & t.rlike(_full(URL))),
+    "<EMAIL>": Mask("<EMAIL>", lambda t: t.contains("@") & t.rlike(_full(EMAIL))),
     "<QUOTED>": Mask("<QUOTED>", _quoted),
 }
 
