@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from timberline.functions import fnv
@@ -114,7 +115,7 @@ class Detector:
     """Continuous detection: each micro-batch adds its counts by window to a table, and the detectors run over the windows of the horizon.
 
     Counts are kept by batch, so a batch that runs again counts once; late events count in their own window. Insights of closed windows
-    (all but the stream's last) that this batch changed go to ``sink``; a window that late events change is told again.
+    (all but the stream's last) that this batch changed or closed go to ``sink``; a window that late events change is told again.
     """
 
     def __init__(self, spark: SparkSession, path: str, settings: insights.Settings, sink: Callable[[DataFrame, int], None], *, time: str = "time", horizon: str = "30 days", detectors: tuple[Callable, ...] = (insights.spikes,)):
@@ -123,11 +124,14 @@ class Detector:
     def batch(self, events: DataFrame, number: int) -> None:
         rows = events.filter(F.col(self.time).isNotNull()).groupBy(*insights.SUBJECT, F.window(self.time, self.settings.window)["start"].alias("win_start")).agg(F.count("*").alias("cnt"))
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        held = self.spark.read.schema(rows.schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        kind = T.StructType([*rows.schema, T.StructField("batch", T.LongType())])
+        held = self.spark.read.schema(kind).option("basePath", self.path).parquet(f"{self.path}/batch=*").filter(F.col("batch") <= number)
         last = held.groupBy("stream_id").agg(F.max("win_start").alias("__last"))
         near = held.join(last, "stream_id").filter(F.col("win_start") > F.col("__last") - F.expr(f"interval {self.horizon}"))
         base = insights.baselines(insights.dense(near.groupBy(*insights.SUBJECT, "win_start").agg(F.sum("cnt").alias("cnt"), F.lit(0).alias("errors")), self.settings).drop("errors"), self.settings)
-        changed = self.spark.read.schema(rows.schema).parquet(f"{self.path}/batch={number}").groupBy("stream_id").agg(F.min("win_start").alias("__from"))
+        # windows that the batch counts in, and the one that was open before it
+        own = F.col("batch") == number
+        changed = held.groupBy("stream_id").agg(F.least(F.min(F.when(own, F.col("win_start"))), F.max(F.when(~own, F.col("win_start")))).alias("__from"))
         found = None
         for detect in self.detectors:
             one = detect(base, self.settings)
