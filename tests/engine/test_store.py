@@ -268,7 +268,9 @@ def test_settings(tmp_path):
     got = settings.load(str(tmp_path / "c.toml"), env={"TIMBERLINE_MINING__DEPTH": "7", "OTHER": "1"}, flags={"mining": {"threshold": 0.6}})
     assert got["mining"] == {"depth": 7, "threshold": 0.6, "most_templates": 10_000, "stable_at": 5} and got["state_dir"] == "/x"
     assert settings.streams(got)[0].floor == "error"
-    for bad in ({"nosuch": 1}, {"mining": {"depth": 0}}, {"streams": [{"id": "a"}, {"id": "a"}]}, {"streams": [{"id": "a", "mode": "odd"}]}, {"redaction": [{"class": "x", "pattern": "("}]}, {"streams": [{"id": "a", "api_key": "x"}]}):
+    told = settings.load(env={}, flags={"streams": [{"id": "a.log", "format": "nginx-access", "time_formats": ["access_log"]}, {"id": "b.log", "mining": {"depth": 2}}, {"id": "c.log"}]})
+    assert settings.mining_params(told).depths == {"a.log": 5, "b.log": 2} and settings.times_by_stream(told) == {"a.log": ["access_log"]}
+    for bad in ({"nosuch": 1}, {"mining": {"depth": 0}}, {"streams": [{"id": "a"}, {"id": "a"}]}, {"streams": [{"id": "a", "mode": "odd"}]}, {"streams": [{"id": "a", "time_formats": ["nosuch"]}]}, {"redaction": [{"class": "x", "pattern": "("}]}, {"streams": [{"id": "a", "api_key": "x"}]}):
         with pytest.raises(settings.ConfigError):
             settings.load(env={}, flags=bad)
 

@@ -38,7 +38,7 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from timberline.operators import enrich, mining
+    from timberline.operators import enrich
     from timberline.plans import ingest
     from timberline.shipping import ship
     from timberline.sources import files, segments
@@ -47,8 +47,9 @@ def main(args: list[str] | None = None) -> int:
     ship(spark)
     store = segments.Store(spark, given.store)
     if given.verb == "ingest":
-        m = config["mining"]
-        rows = ingest.ingest(files.read_files(spark, given.path).withColumn("ingestion_time", F.current_timestamp()), classes=[(r["class"], r["pattern"]) for r in config["redaction"]] or None, params=mining.Params(m["depth"], m["threshold"], m["most_templates"], m["stable_at"]))
+        lines = files.read_files(spark, given.path).withColumn("ingestion_time", F.current_timestamp())
+        classes = [(r["class"], r["pattern"]) for r in config["redaction"]] or None
+        rows = ingest.ingest(lines, classes=classes, params=settings.mining_params(config), default_zone=config["default_timezone"], times_by_stream=settings.times_by_stream(config) or None)
         print(store.seal(rows.withColumn("time", enrich.order_time().cast("timestamp_ntz"))))
     elif given.verb == "query":
         begin, end = lql.bounds(lql.parse(given.query))

@@ -7,7 +7,7 @@ import re
 import tomllib
 from dataclasses import dataclass, field
 
-from timberline.operators import enrich
+from timberline.operators import enrich, mining
 
 DEFAULTS: dict = {"default_timezone": None, "state_dir": "./state", "streams": [], "redaction": [], "budgets": {}, "retention_days": None, "mining": {"depth": 4, "threshold": 0.5, "most_templates": 10_000, "stable_at": 5}}
 PREFIX = "TIMBERLINE_"
@@ -25,6 +25,8 @@ class Stream:
     path: str | None = None
     timezone: str | None = None
     floor: str = "warn"
+    format: str | None = None
+    time_formats: list = field(default_factory=list)
     mining: dict = field(default_factory=dict)
 
 
@@ -74,6 +76,7 @@ def validate(config: dict) -> None:
             wrong.append(f"{s.get('id')}: mode {s['mode']!r}")
         if s.get("floor", "warn") not in enrich.LEVELS:
             wrong.append(f"{s.get('id')}: floor {s['floor']!r}")
+        wrong += [f"{s.get('id')}: time format {name!r}" for name in s.get("time_formats", []) if name not in enrich.FORMATS]
     for r in config["redaction"]:
         try:
             re.compile(r["pattern"])
@@ -98,3 +101,14 @@ def validate(config: dict) -> None:
 def streams(config: dict) -> list[Stream]:
     known = Stream.__dataclass_fields__
     return [Stream(**{k: v for k, v in s.items() if k in known}) for s in config["streams"]]
+
+
+def mining_params(config: dict) -> mining.Params:
+    """The mining parameters, with the depths of streams that name one, or a format that has one."""
+    m = config["mining"]
+    depths = {s.id: s.mining.get("depth") or mining.FORMAT_DEPTH.get(s.format) for s in streams(config)}
+    return mining.Params(m["depth"], m["threshold"], m["most_templates"], m["stable_at"], {k: v for k, v in depths.items() if v})
+
+
+def times_by_stream(config: dict) -> dict[str, list[str]]:
+    return {s.id: s.time_formats for s in streams(config) if s.time_formats}
