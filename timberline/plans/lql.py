@@ -415,7 +415,13 @@ def viewport(events: DataFrame, *, anchor: tuple[str, int] | None = None, size:
 
 def fuzzy_rank(rows: DataFrame, needle: str, *, column: str, size: int = 20) -> DataFrame:
     """Rows whose text holds the needle's characters in order, by the span of the first such match, then length, then text."""
-    inner = ".*?".join(re.escape(c) for c in needle.lower())
-    low = F.lower(F.col(column))
-    span = F.length(F.regexp_extract(low, f"(?s){inner}", 0))
-    return rows.filter(low.rlike(f"(?s){inner}")).withColumn("score", span.cast("bigint")).orderBy("score", F.length(column), column).limit(size)
+    # the first of each character behind the one before: a text is made once and gone through once, whatever it holds
+    def step(text: Column, held: Column, c: Column) -> Column:
+        at = F.position(c, text, held["at"] + 1)
+        return F.when(held["at"] < 0, held).otherwise(F.struct(F.when(held["begin"] == 0, at).otherwise(held["begin"]).alias("begin"), F.when(at == 0, -1).otherwise(at).alias("at")))
+
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("at"))
+    find = lambda text: F.aggregate(F.array(*map(F.lit, needle.lower())), start, lambda held, c: step(text, held, c), lambda held: F.when(held["at"] > 0, held["at"] - held["begin"] + 1))
+    span = F.element_at(F.transform(F.array(F.lower(F.col(column))), find), 1) if needle else F.length(F.substring(column, 1, 0))
+    # a filter before the limit would go below what makes the text, and make it twice
+    return rows.withColumn("score", span.cast("bigint")).orderBy(F.asc_nulls_last("score"), F.length(column), column).limit(size).filter("score is not null")
