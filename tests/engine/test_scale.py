@@ -26,3 +26,25 @@ def test_fuzzy_spans_equal_the_lazy_expression_and_long_misses_end(spark):
     # cubic by backtracking
     assert lql.fuzzy_rank(spark.createDataFrame([("nu" * 20_000,)], "t string"), "num", column="t").collect() == []
     assert {r.score for r in lql.fuzzy_rank(rows, "", column="t").collect()} == {0}
+
+
+def test_a_file_is_written_in_pieces_and_put_together_in_order(spark, tmp_path):
+    rows = spark.range(0, 5_000, 1, 6).select((5_000 - F.col("id")).alias("at"), F.concat(F.lit("line "), 5_000 - F.col("id")).alias("raw"))
+    files.write_file(rows, f"file://{tmp_path}/x/access.log", order="at", line="raw")
+    with open(tmp_path / "x" / "access.log") as f:
+        assert f.read() == "".join(f"line {k}\n" for k in range(1, 5_001))
+    assert files.local_path("file:///a/b") == "/a/b" and files.local_path("file:/a/b") == "/a/b" and files.local_path("/a/b:c") == "/a/b:c"
+    with pytest.raises(ValueError, match="mounts"):
+        files.local_path("viewfs://in/a")
+
+
+def test_tail_lines_reads_below_the_shared_folder(spark, tmp_path, monkeypatch):
+    """Executors need not see the driver's temporary folder."""
+    made = []
+    monkeypatch.setattr(scratch, "folder", lambda s, tag: made.append(f"file://{tmp_path}/{tag}-{len(made)}") or made[-1])
+    events = spark.range(300).select(F.col("id").alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("id") % 5).alias("user_id"), F.lit("click").alias("event_type"))
+    os.makedirs(tmp_path / "in")
+    events.write.parquet(f"{tmp_path}/in/events.parquet")
+    got = sorted((r.source_offset, r.raw) for r in catalog_io.catalog.QUERIES["tail_lines"](spark, f"{tmp_path}/in").collect())
+    assert len(got) == 300 and got[0][0] == 0 and all(b == a + len(x) + 1 for (a, x), (b, _) in zip(got, got[1:], strict=False))
+    assert any(os.path.exists(f"{p.removeprefix('file://')}/access.log") for p in made)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from timberline.streaming import mine as streaming
 def _files(spark, sf_dir) -> str:
     """The rendered access log as one file of text."""
     path = scratch.folder(spark, "files")
-    event_lines(table(spark, sf_dir, "events"), "nginx").orderBy("source_offset").select("raw").coalesce(1).write.text(path)
+    files.write_file(event_lines(table(spark, sf_dir, "events"), "nginx"), f"{path}/access.log", order="source_offset", line="raw")
     return path
 
 
@@ -52,12 +54,11 @@ def raw_event_fields(spark, sf_dir):
 @query("tail_lines", _FILE_LINES)
 def tail_lines(spark, sf_dir):
     """The same file read as a stream, in tasks of 64 KB; backlog and tail have the same offsets as files."""
-    # a tail reads files of a folder that every executor mounts
-    folder = tempfile.mkdtemp(prefix="timberline-tail-") if spark.sparkContext.master.startswith("local") else scratch.folder(spark, "tail").removeprefix("file://")
-    rows = event_lines(table(spark, sf_dir, "events"), "nginx").orderBy("source_offset").select("raw")
-    with open(f"{folder}/access.log", "w", encoding="utf-8") as f:
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            f.write(row["raw"] + "\n")
+    # a tail reads files of a folder that every executor mounts, which a temporary folder of the driver's need not be
+    folder = files.local_path(scratch.folder(spark, "tail"))
+    os.makedirs(folder)
+    # by hand: Hadoop's file systems leave checksum files beside theirs
+    shutil.copyfile(f"{files.local_path(_files(spark, sf_dir))}/access.log", f"{folder}/access.log")
     files.register(spark)
     target, marks = scratch.folder(spark, "tail-out"), scratch.folder(spark, "tail-marks")
     live = spark.readStream.format("line_tail").option("path", folder).option("maxBytesPerTask", 1 << 16).load()

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from timberline.functions import scratch
+
 RAW = "stream_id string, generation int, source_offset bigint, raw string"
 _EVENT = {
     "event_id": "bigint", "ingestion_time": "timestamp", "event_time": "timestamp", "tz_source": "string", "resolution": "string", "lateness": "string", "index_time": "bigint", "severity": "string",
@@ -61,6 +63,38 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(place), batch.column("line")], names=["file", "block", "place", "line"])
 
 
+def write_file(rows: DataFrame, path: str, *, order: str, line: str) -> None:
+    """One text file of the lines in order. Tasks write pieces of it; the driver puts their bytes one behind the other by the file system's
+    own streams, a buffer at a time, so no task reads all rows."""
+    spark = rows.sparkSession
+    pieces = scratch.folder(spark, "pieces")
+    rows.orderBy(order).select(line).write.text(pieces)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(pieces), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        # pieces are named by their task's number, which has five digits or more
+        for piece in sorted((s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1])):
+            part = fs.open(piece)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
+def local_path(path: str) -> str:
+    """The plain path of a folder in a mounted file system."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"a tail needs a folder that every executor mounts, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def read_stdin(spark: SparkSession, stream_id: str = "stdin", source=None) -> DataFrame:
     """Standard input to its end, as one batch."""
     rows, at = [], 0
