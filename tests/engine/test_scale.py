@@ -48,3 +48,40 @@ def test_tail_lines_reads_below_the_shared_folder(spark, tmp_path, monkeypatch):
     got = sorted((r.source_offset, r.raw) for r in catalog_io.catalog.QUERIES["tail_lines"](spark, f"{tmp_path}/in").collect())
     assert len(got) == 300 and got[0][0] == 0 and all(b == a + len(x) + 1 for (a, x), (b, _) in zip(got, got[1:], strict=False))
     assert any(os.path.exists(f"{p.removeprefix('file://')}/access.log") for p in made)
+
+
+@pytest.mark.parametrize("run", [7, 50, 10_000])
+def test_rows_of_a_key_come_in_order_in_bounded_frames(run):
+    import random
+
+    rng = random.Random(run)
+    rows = [(rng.randrange(60), k) for k in range(1_000)]
+    batches = [pd.DataFrame(rows[at : at + 90], columns=["source_offset", "k"]) for at in range(0, 1_000, 90)]
+    got = list(streaming.in_order(iter(batches), run=run, piece=5))
+    assert [tuple(r) for f in got for r in f.itertuples(index=False)] == sorted(rows, key=lambda r: r[0])
+    assert list(streaming.in_order(iter([]), run=run)) == []
+
+
+def test_two_runs_are_compared_with_all_tasks(spark):
+    seen = []
+
+    def miner(lines):
+        seen.append(lines.rdd.getNumPartitions())
+        return lines.select("format_id", "line", F.col("raw").alias("pattern"), F.lit("g").alias("group"))
+
+    lines = spark.range(50).select(F.lit("f").alias("format_id"), F.col("id").alias("line"), F.lit("x").alias("raw"))
+    assert corpus.deterministic(lines, miner)
+    assert len(set(seen)) == 2 and min(seen) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = iter("ab")
+    assert not corpus.deterministic(lines, lambda x: miner(x).withColumn("pattern", F.lit(next(turns))))
+
+
+def test_accuracy_of_unparsed_lines_and_of_none(spark):
+    kind = "format_id string, line long, template_gid string, expected string, mined string, group string, match boolean"
+    rows = [("f", 1, "a", "A", "A", "1", True), ("f", 2, "a", "A", None, None, False), ("f", 3, "b", "B", "B", "2", True), ("g", 1, "c", "C", "D", "1", False)]
+    got = {r.format_id: (r.lines, r.pa_exact, r.pa_grouping) for r in corpus.accuracy(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"f": (3, 0.666667, 0.333333), "g": (1, 0.0, 1.0)}
+    none = corpus.accuracy(spark.createDataFrame([], kind), by_format=False).first()
+    assert (none.lines, none.pa_exact, none.pa_grouping) == (0, 1.0, 1.0)
+    delta = {r.format_id: r.delta for r in corpus.template_delta(spark.createDataFrame(rows, kind)).collect()}
+    assert delta == {"f": 0, "g": 0}

@@ -7,9 +7,12 @@ ids come from the batch miner.
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,8 @@ from timberline.operators import insights
 from timberline.operators.mining import Bucket, Params
 
 MINED = "stream_id string, source_offset bigint, template_key bigint, pattern string, version int, seen bigint, fingerprint bigint"
+#: Distinct lines of a bucket whose template is remembered within a batch.
+MOST_KNOWN = 200_000
 LATE = "stream_id string, source_offset bigint, event_time timestamp, watermark timestamp, lateness string"
 
 
@@ -53,6 +58,64 @@ class LiveBucket(Bucket):
         return t
 
 
+def in_order(batches: Iterator[pd.DataFrame], *, order: str = "source_offset", run: int = 100_000, piece: int = 8_192) -> Iterator[pd.DataFrame]:
+    """The rows of a key in order, equal ones as they came, in frames of bounded size. More than ``run`` rows go to files
+    in sorted runs, of which a piece each is held while they are merged."""
+    held, n, runs = [], 0, []
+    with tempfile.TemporaryDirectory(prefix="timberline-runs-") as folder:
+
+        def put() -> None:
+            path = os.path.join(folder, str(len(runs)))
+            table = pa.Table.from_pandas(pd.concat(held).sort_values(order, kind="stable"), preserve_index=False)
+            with pa.OSFile(path, "wb") as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+                w.write_table(table, max_chunksize=piece)
+            runs.append(path)
+            held.clear()
+
+        for rows in batches:
+            for at in range(0, len(rows), run):
+                held.append(rows.iloc[at : at + run])
+                n += len(held[-1])
+                if n >= run:
+                    put()
+                    n = 0
+        if not runs:
+            rows = pd.concat(held).sort_values(order, kind="stable") if held else None
+            for at in range(0, n, piece):
+                yield rows.iloc[at : at + piece]
+            return
+        if held:
+            put()
+        yield from _merged(runs, order)
+
+
+def _merged(runs: list[str], order: str) -> Iterator[pd.DataFrame]:
+    """Rows of sorted runs up to the least of the runs' last rows in hand come next: no row that is still to be read is before them."""
+    readers = [pa.ipc.open_stream(pa.OSFile(path, "rb")) for path in runs]
+    hand: list[pd.DataFrame | None] = [None] * len(runs)
+    left = set(range(len(runs)))
+    while True:
+        for k in sorted(left):
+            while hand[k] is None or not len(hand[k]):
+                try:
+                    hand[k] = readers[k].read_next_batch().to_pandas()
+                except StopIteration:
+                    hand[k] = None
+                    left.discard(k)
+                    break
+        have = [k for k in range(len(runs)) if hand[k] is not None and len(hand[k])]
+        if not have:
+            return
+        # a run that goes on may have more rows equal to its last one: those of later runs wait for them
+        bound = min((hand[k][order].iloc[-1], k) for k in have)
+        out = []
+        for k in have:
+            at = int(hand[k][order].searchsorted(bound[0], side="right" if k <= bound[1] else "left"))
+            out.append(hand[k].iloc[:at])
+            hand[k] = hand[k].iloc[at:]
+        yield pd.concat(out).sort_values(order, kind="stable")
+
+
 def mine_stream(events: DataFrame, params: Params | None = None) -> DataFrame:
     """A streaming frame of stream_id, source_offset and masked, mined by bucket; the rows of a batch are taken in order of their offsets.
     State holds at most ``most_templates`` templates a bucket."""
@@ -60,21 +123,25 @@ def mine_stream(events: DataFrame, params: Params | None = None) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         bucket = LiveBucket(key[1], p.threshold, p.most_templates, json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values("source_offset", kind="stable")
-        made, patterns, versions, seen = [], [], [], []
         spelt: dict[tuple[int, int], str] = {}
-        for offset, line, print_of in zip(rows.source_offset, rows.line, rows.fingerprint, strict=True):
-            t = bucket.add(tuple(line.split(fnv.SEPARATOR)), int(print_of))
-            t[4:] = [int(offset)]
-            at = (id(t), t[2])
-            if at not in spelt:
-                spelt[at] = " ".join(t[0])
-            made.append(t[1])
-            patterns.append(spelt[at])
-            versions.append(t[2])
-            seen.append(t[3])
+        for rows in in_order(batches):
+            made, patterns, versions, seen = [], [], [], []
+            for offset, line, print_of in zip(rows.source_offset, rows.line, rows.fingerprint, strict=True):
+                t = bucket.add(tuple(line.split(fnv.SEPARATOR)), int(print_of))
+                t[4:] = [int(offset)]
+                at = (id(t), t[2])
+                if at not in spelt:
+                    spelt[at] = " ".join(t[0])
+                made.append(t[1])
+                patterns.append(spelt[at])
+                versions.append(t[2])
+                seen.append(t[3])
+            yield pd.DataFrame({"stream_id": rows.stream_id.to_numpy(), "source_offset": rows.source_offset.to_numpy(), "template_key": made, "pattern": patterns, "version": versions, "seen": seen, "fingerprint": rows.fingerprint.to_numpy()})
+            # what is remembered of lines and patterns only saves time
+            spelt.clear()
+            if len(bucket.known) > MOST_KNOWN:
+                bucket.known.clear()
         state.update((json.dumps(bucket.templates),))
-        yield pd.DataFrame({"stream_id": rows.stream_id.to_numpy(), "source_offset": rows.source_offset.to_numpy(), "template_key": made, "pattern": patterns, "version": versions, "seen": seen, "fingerprint": rows.fingerprint.to_numpy()})
 
     depth = p.depth_of(F.col("stream_id"))
     rows = events.filter(F.size("masked") > 0).withColumns({"depth": depth, "n": F.size("masked"), "prefix": F.array_join(F.slice("masked", F.lit(1), F.least(depth, F.size("masked"))), fnv.SEPARATOR)})
