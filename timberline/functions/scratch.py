@@ -24,10 +24,10 @@ def folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it; ``options`` are the writer's."""
     path = folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

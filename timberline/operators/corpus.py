@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions import fnv, masking
+from timberline.functions import fnv, masking, scratch
 from timberline.operators import mining
 
 
@@ -50,17 +50,23 @@ def assignments(lines: DataFrame, labels: DataFrame, templates: DataFrame, miner
 
 def accuracy(assigned: DataFrame, by_format: bool = True) -> DataFrame:
     """pa_exact (equal patterns) and pa_grouping (lines whose mined group is the label group); 1 for no lines."""
-    groups = assigned.groupBy("format_id", "group").agg(F.count("*").alias("n_mined"), F.count_distinct("expected").alias("n_expected"))
-    labels = assigned.groupBy("format_id", "expected").agg(F.count("*").alias("n_label"))
-    rows = assigned.join(groups, ["format_id", "group"], "left").join(labels, ["format_id", "expected"], "left")
+    # one pass over the lines; all else is counted from the groups
+    cells = assigned.groupBy("format_id", "group", "expected").agg(F.count("*").alias("n"), F.count_if("match").alias("equal"))
+    cells = scratch.materialize(cells, "cells")
+    groups = cells.groupBy("format_id", "group").agg(F.sum("n").alias("n_mined"), F.count("expected").alias("n_expected"))
+    labels = cells.groupBy("format_id", "expected").agg(F.sum("n").alias("n_label"))
+    rows = cells.join(groups, ["format_id", "group"], "left").join(labels, ["format_id", "expected"], "left")
     same = F.coalesce((F.col("n_expected") == 1) & (F.col("n_mined") == F.col("n_label")), F.lit(False))
     keys = ["format_id"] if by_format else []
-    return rows.groupBy(*keys).agg(F.count("*").alias("lines"), F.round(F.coalesce(F.avg(F.col("match").cast("double")), F.lit(1.0)), 6).alias("pa_exact"), F.round(F.coalesce(F.avg(same.cast("double")), F.lit(1.0)), 6).alias("pa_grouping"))
+    share = lambda of: F.round(F.coalesce(F.sum(of).cast("double") / F.sum("n"), F.lit(1.0)), 6)
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), share("equal").alias("pa_exact"), share(F.when(same, F.col("n")).otherwise(0)).alias("pa_grouping"))
 
 
 def template_delta(assigned: DataFrame) -> DataFrame:
     """Distinct mined less distinct expected patterns by format; the total is their sum."""
-    return assigned.groupBy("format_id").agg((F.count_distinct("mined") - F.count_distinct("expected")).alias("delta"))
+    # pairs are few: they are made distinct before anything is shuffled
+    pairs = assigned.groupBy("format_id", "mined", "expected").agg(F.count("*").alias("n"))
+    return pairs.groupBy("format_id").agg((F.count_distinct("mined") - F.count_distinct("expected")).alias("delta"))
 
 
 def set_hash(patterns: DataFrame, column: str = "pattern") -> int:
