@@ -18,6 +18,50 @@ LINES = "stream_id string, source_offset long, masked array<string>"
 TEMPLATES = "stream_id string, template_id long, occurrence_count long, version int, pattern string"
 
 
+def test_only_templates_that_share_a_half_are_spread(spark):
+    long = [f"w{i}" for i in range(3_000)]
+    other = [*long[:2_999], "end"]
+    alone = [" ".join(f"{k}x{i}" for i in range(3_000)) for k in range(5)]
+    rows = [("s", k, 5, 1, p) for k, p in enumerate([" ".join(long), " ".join(other), *alone])]
+    templates = spark.createDataFrame(rows, TEMPLATES)
+    assert sorted((r.template_id, r.side) for r in mining.halves(templates).collect()) == [(0, 0), (1, 0)]
+    assert [(r.template_id, r.survivor, r.position, r.version) for r in mining.merge_candidates(templates).collect()] == [(1, 0, 2_999, 2)]
+
+
+def test_merging_finds_every_pair_at_every_position(spark):
+    import itertools
+
+    patterns = [" ".join(p) for n in (1, 2, 3, 4) for p in itertools.product("ab", repeat=n)]
+    templates = spark.createDataFrame([("s", k, 1 + k % 3, 1, p) for k, p in enumerate(patterns)], TEMPLATES)
+    want = {}
+    for k, p in enumerate(patterns):
+        p = p.split()
+        for at in range(len(p)):
+            same = [j for j, q in enumerate(patterns) if len(q.split()) == len(p) and all(a == b for i, (a, b) in enumerate(zip(q.split(), p, strict=True)) if i != at)]
+            best = min(same, key=lambda j: (-(1 + j % 3), j))
+            if best != k:
+                want[k] = min(want.get(k, (best, at)), (best, at))
+    assert {r.template_id: (r.survivor, r.position) for r in mining.merge_candidates(templates).collect()} == want
+
+
+def test_text_of_lines_that_stand_alone_is_not_folded(spark):
+    rows = [("s", k, [f"a{k}", "b", "c", "d", "e"]) for k in range(50)] + [("s", 100 + k, ["m", "n", "o", "p", x]) for k, x in enumerate("xyx")]
+    mined = mining.Mined(spark.createDataFrame(rows, LINES))
+    # versions are kept of the one bucket with two lines
+    assert mined.patterns.select("created").distinct().count() == 1
+    assert {r.pattern for r in mined.registry().collect()} == {f"a{k} b c d e" for k in range(50)} | {"m n o p <*>"}
+    wide = {r.source_offset: (r.pattern, r.version, r.seen) for r in mined.events().filter("source_offset >= 100").collect()}
+    assert wide == {100: ("m n o p x", 1, 1), 101: ("m n o p <*>", 2, 2), 102: ("m n o p <*>", 2, 3)}
+
+
+def test_chosen_rows_are_the_same_with_and_without_a_broadcast(spark):
+    held = spark.range(0, 1_000, 1, 7).withColumnRenamed("id", "__id").withColumn("t", F.col("__id") * 2)
+    ids = held.filter("__id % 63 < 2 or __id = 999").select(F.col("__id").alias("k"))
+    want = sorted(r.k for r in ids.collect())
+    for most in (1 << 20, 0):
+        assert sorted(r["__id"] for r in mining.chosen(held, ids, most_bytes=most).collect()) == want
+
+
 def test_fuzzy_spans_equal_the_lazy_expression_and_long_misses_end(spark):
     texts = ["num", "n u n u m", "mun", "", "x\nnew\nsummer", "NUM", "nn uu mm", "n" * 9 + "um", "unm"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -134,9 +134,7 @@ FROM numbered AS n JOIN registry AS t ON n.stream_id = t.stream_id AND n.templat
 )
 def template_similarity(spark, sf_dir):
     """Of every line with its template as it is at the end: 1 wherever widening only ever widens."""
-    mined = catalog._mined(spark, sf_dir)
-    final = mining.registry(mined).select("stream_id", "template_id", F.split("pattern", " ").alias("final"))
-    return mined.filter("template_id is not null").join(final, ["stream_id", "template_id"]).select("stream_id", "source_offset", mining.similarity(F.col("masked"), F.col("final")).alias("similarity"))
+    return catalog._mined(spark, sf_dir).similarities()
 
 
 # ---- segments
