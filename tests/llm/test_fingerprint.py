@@ -85,3 +85,12 @@ def test_jaccard_holds_at_any_length(spark):
         true = (a & b).total() / (a | b).total() if a | b else 1.0
         assert r.adds and abs(r.near - true) <= (0.15 if max(a.total(), b.total()) > 1 and true < 1 else 0), (r.i, r.near, true)
         assert true < 0.9 or abs(r.near - true) < 0.03, (r.i, r.near, true)
+
+
+def test_sketch_values_do_not_go_by_decimal_text(spark):
+    """Decimal rounding took half of the time of paragraph_likeness; the values are what it gave."""
+    one = fp.sketch(F.lit("one"))
+    assert "round(" not in spark.range(1).select(one)._jdf.queryExecution().analyzed().toString()
+    value = (F.xxhash64("h", "id").bitwiseAND((1 << 24) - 1) + 0.5) * (3.141592653589793 / (1 << 24)) - 3.141592653589793 / 2
+    rows = spark.range(256).select(F.col("id").cast("int"), F.xxhash64(F.lit("one")).alias("h"))
+    assert spark.range(1).select(one).first()[0] == [1, *(r[0] for r in rows.orderBy("id").select(F.round(F.tan(value) * 1024).cast("bigint")).collect())]
