@@ -129,3 +129,14 @@ def test_accuracy_of_unparsed_lines_and_of_none(spark):
     assert (none.lines, none.pa_exact, none.pa_grouping) == (0, 1.0, 1.0)
     delta = {r.format_id: r.delta for r in corpus.template_delta(spark.createDataFrame(rows, kind)).collect()}
     assert delta == {"f": 0, "g": 0}
+
+
+def test_states_of_templates_move_no_text(spark, tmp_path):
+    """They follow from numbers: what is written of the events' text is not read again for them."""
+    from timberline import catalog
+
+    spark.createDataFrame([(k, f"a b c d {k} x{k % 3}", "s") for k in range(30)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("template_lifecycle",):
+        rows = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() > 0 and "masked" not in plan and "__of" not in plan and "tokens" not in plan, name

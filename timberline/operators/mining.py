@@ -288,11 +288,15 @@ class Mined:
         pattern = F.when(F.col("template_id").isNotNull(), F.coalesce("__pattern", "__own"))
         return both.select(*self.keep, "template_id", pattern.alias("pattern"), "version", "seen")
 
+    def counted(self) -> DataFrame:
+        """The registry without its patterns, from numbers alone; with created, and with __id, the last event's."""
+        rows = self.rows.groupBy("stream_id", "created", "template_id").agg(F.max_by("version", "__at").alias("version"), F.max_by("__id", "__at").alias("__id"), F.count("*").alias("occurrence_count"), F.min("__at").alias("first_seen"), F.max("__at").alias("last_seen"))
+        return rows.withColumn("state", _state(self.params))
+
     def registry(self) -> DataFrame:
         """What ``registry`` returns for the events."""
-        rows = self.rows.groupBy("stream_id", "created", "template_id").agg(F.max_by("version", "__at").alias("version"), F.max_by("__id", "__at").alias("__id"), F.count("*").alias("occurrence_count"), F.min("__at").alias("first_seen"), F.max("__at").alias("last_seen"))
-        both = self.with_text(self.with_pattern(rows), F.array_join("masked", " ").alias("__own"))
-        return both.select("stream_id", "template_id", F.coalesce("__pattern", "__own").alias("pattern"), "version", "occurrence_count", "first_seen", "last_seen", _state(self.params).alias("state"))
+        both = self.with_text(self.with_pattern(self.counted()), F.array_join("masked", " ").alias("__own"))
+        return both.select("stream_id", "template_id", F.coalesce("__pattern", "__own").alias("pattern"), "version", "occurrence_count", "first_seen", "last_seen", "state")
 
     def numbers(self) -> DataFrame:
         """stream_id, template_id, version and the order column of the events, without text."""
