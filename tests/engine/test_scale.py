@@ -140,3 +140,44 @@ def test_states_of_templates_move_no_text(spark, tmp_path):
         rows = catalog.QUERIES[name](spark, str(tmp_path))
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert rows.count() > 0 and "masked" not in plan and "__of" not in plan and "tokens" not in plan, name
+
+
+def _shuffled(spark):
+    """Bytes that the session's stages have shuffled so far, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_fingerprints_shuffle_less_than_the_text(spark, tmp_path):
+    """Fingerprint and pattern are made of tokens that move once, packed."""
+    import random
+
+    from timberline import catalog
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("ghijklmnopqrstuv", k=25)) for _ in range(40)) for _ in range(600)]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = _shuffled(spark)
+    rows = catalog.QUERIES["resolve_fingerprints"](spark, str(tmp_path)).collect()
+    moved = sum(n for k, n in _shuffled(spark).items() if k not in before)
+    assert sorted((r.pattern, r.fingerprint, r.events) for r in rows) == sorted((t, t.replace(" ", "\x1e"), 1) for t in texts)
+    assert 0 < moved < sum(map(len, texts))
+
+
+def test_tokens_come_to_their_events_over_pieces_and_blocks(spark):
+    """Blocks cut by batches, lines that do not parse, odd tokens, and blocks of which no row is asked for."""
+    texts = [None if k % 11 == 0 else [] if k % 13 == 0 else [f"a{k}", "\x1e", "", "é b", "c" * (k % 50)] for k in range(5_000)]
+    rows = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], LINES).repartition(3, "source_offset")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        mined = mining.Mined(rows)
+        some = mined.rows.filter("__at % 3 = 0 and (__id % 4096) >= 1024").select("__id", "__at", "stream_id")
+        want = sorted(r["__at"] for r in some.collect())
+        got = {r["__at"]: (r.stream_id, r.masked) for r in mined.with_masked(some).collect()}
+        assert len(want) > 500 and sorted(got) == want and all(v == ("s", texts[k]) for k, v in got.items())
+        assert mined.with_masked(some.filter("__at < 0")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

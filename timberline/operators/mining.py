@@ -24,7 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,6 +255,33 @@ def chosen(held: DataFrame, ids: DataFrame, *, most_bytes: int = 32 << 20) -> Da
     return rows.filter("getbit(__bits, CAST(__id & 63 AS INT)) = 1").drop("__word", "__bits")
 
 
+#: An event's number without so many bits names its block: consecutive rows, whose text is moved as one compressed value.
+BLOCK_BITS = 10
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (__id, ...) to a piece (block, piece) in Parquet's form for each block that a batch has rows of."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy() >> BLOCK_BITS
+        ends = [*(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
+        pieces = []
+        for start, end in zip([0, *ends], ends, strict=False):
+            to = pa.BufferOutputStream()
+            rows = pa.Table.from_batches([batch.slice(start, end - start)])
+            pq.write_table(rows, to, compression="zstd", use_dictionary=False, write_statistics=False)
+            pieces.append(to.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[[e - 1 for e in ends]], pa.int64()), pa.array(pieces, pa.binary())], ["block", "piece"])
+
+
+def _unpacked(rows: pa.Table, pieces: pa.Table) -> pa.Table:
+    """A block's rows (block, __id, ...) with the masked tokens of their events."""
+    if not rows.num_rows:
+        return rows.slice(0, 0).drop_columns(["block"]).append_column("masked", pa.array([], pa.list_(pa.string())))
+    held = pa.concat_tables([pq.read_table(pa.BufferReader(p.as_buffer()), use_threads=False) for p in pieces["piece"]]).combine_chunks()
+    at = pc.index_in(rows["__id"], value_set=held["__id"])
+    return rows.drop_columns(["block"]).append_column("masked", held["masked"].take(at))
+
+
 class Mined:
     """Mined events: numbers by event, and the text they are numbers of, written once. What comes out moves the text once at most."""
 
@@ -276,6 +306,12 @@ class Mined:
         held = self.held.select(*columns, F.col("__id").alias("__of"))
         return held.join(rows.hint("shuffle_hash"), F.col("__of") == F.col("__id"), how).drop("__of")
 
+    def with_masked(self, rows: DataFrame) -> DataFrame:
+        """Rows with an __id of an event that parses, and its masked tokens. What is shuffled of the text are compressed blocks."""
+        text = self.held.filter("__f1 is not null").select("__id", "masked").mapInArrow(_packed, "block bigint, piece binary")
+        kind = T.StructType([*rows.schema, T.StructField("masked", T.ArrayType(T.StringType()))])
+        return rows.select(F.shiftright("__id", BLOCK_BITS).alias("block"), "*").groupBy("block").cogroup(text.groupBy("block")).applyInArrow(_unpacked, kind)
+
     def with_pattern(self, rows: DataFrame) -> DataFrame:
         """Adds __pattern, the text of the version if the template ever had another line than its first; else null: it is the event's own."""
         return rows.join(self.patterns.withColumnRenamed("pattern", "__pattern"), ["stream_id", "created", "version"], "left")
@@ -318,13 +354,13 @@ class Mined:
         return alone.select("stream_id", self.order, "similarity").union(some)
 
     def resolve_fingerprints(self, fingerprint: Column) -> DataFrame:
-        """What ``resolve_fingerprints`` returns, for a text made of each event."""
+        """What ``resolve_fingerprints`` returns, for a text made of each event's masked tokens."""
         a, b = _hashes(fingerprint, fingerprint)
         keys = self.held.filter("__f1 is not null").select(F.col("__id").alias("__k"), a.alias("a"), b.alias("b"))
         rows = self.rows.join(keys, F.col("__id") == F.col("__k")).groupBy("stream_id", "a", "b")
         rows = rows.agg(F.max_by("template_id", "__at").alias("template_id"), F.max_by("created", "__at").alias("created"), F.max_by("__id", "__at").alias("__id"), F.count("*").alias("events"))
-        both = self.with_text(rows.join(self.final(), ["stream_id", "created"], "left"), fingerprint.alias("fingerprint"), F.array_join("masked", " ").alias("__own"))
-        return both.select("stream_id", "template_id", "fingerprint", "events", F.coalesce("__final", "__own").alias("pattern"))
+        both = self.with_masked(rows.join(self.final(), ["stream_id", "created"], "left").select("__id", "stream_id", "template_id", "events", "__final"))
+        return both.select("stream_id", "template_id", fingerprint.alias("fingerprint"), "events", F.coalesce("__final", F.array_join("masked", " ")).alias("pattern"))
 
     def split_candidates(self, **bounds) -> DataFrame:
         """What ``split_candidates`` returns: only templates with a wild position and events enough are looked at."""
