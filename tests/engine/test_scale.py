@@ -1,9 +1,12 @@
 """What queries move and hold as tables grow."""
 
 import os
+import random
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +109,94 @@ def test_rows_of_a_key_come_in_order_in_bounded_frames(run):
     assert list(streaming.in_order(iter([]), run=run)) == []
 
 
+def _packed_rows(events):
+    """Pieces (line, fingerprint, offsets) of events (offset, line), some lines in several."""
+    of = {}
+    for at, (offset, line) in enumerate(events):
+        of.setdefault((line, at // 70), []).append(offset)
+    return [(line, int(line[1:]), np.array(offsets, np.int64).tobytes()) for (line, _), offsets in of.items()]
+
+
+@pytest.mark.parametrize(("run", "most_bytes"), [(7, 1 << 20), (90, 1 << 20), (10_000, 40), (10_000, 1 << 20)])
+def test_packed_offsets_come_in_order_in_bounded_frames(run, most_bytes):
+    rng = random.Random(run)
+    events = [(rng.randrange(600), f"l{rng.randrange(30)}") for _ in range(1_000)]
+    rows = _packed_rows(events)
+    batches = [pd.DataFrame(rows[at : at + 13], columns=["line", "fingerprint", "offsets"]) for at in range(0, len(rows), 13)]
+    frames = list(streaming.turns(iter(batches), run=run, most_bytes=most_bytes, piece=5, frame=20))
+    got = [(int(o), lines[c]) for offsets, codes, lines, _ in frames for o, c in zip(offsets, codes, strict=True)]
+    assert [o for o, _ in got] == sorted(o for o, _ in events) and sorted(got) == sorted(events)
+    assert all(sorted(set(codes.tolist())) == list(range(len(lines))) and [int(x[1:]) for x in lines] == prints for _, codes, lines, prints in frames)
+    assert list(streaming.turns(iter([]), run=run)) == []
+
+
+@pytest.mark.parametrize(("seed", "most", "values", "threshold"), [(1, 10_000, 3, 0.8), (1, 10_000, 30, 0.4), (1, 6, 5, 0.8), (1, 2, 3, 0.6), (1, 2, 30, 0.99)])
+def test_events_counted_at_once_equal_events_in_turn(seed, most, values, threshold):
+    """Templates that widen over others' lines, that turn cold, and long runs of known lines."""
+    import json
+
+    rng = random.Random(seed)
+    events = []
+    while len(events) < 6_000:
+        words = [tuple(["a", *(f"{rng.randrange(values)}" for _ in range(5))]) for _ in range(rng.randrange(1, 9))]
+        events += [words[rng.randrange(len(words))] for _ in range(rng.choice([1, 5, 200]))]
+    prints = {x: k for k, x in enumerate(dict.fromkeys(events))}
+    plain, bulk = streaming.LiveBucket(1, threshold, most), streaming.LiveBucket(1, threshold, most)
+    clears = colds = 0
+    for start in range(0, len(events), 500):
+        part = events[start : start + 500]
+        want = []
+        for k, x in enumerate(part):
+            t = plain.add(x, prints[x])
+            t[4:] = [start + k]
+            want.append((t[1], " ".join(t[0]), t[2], t[3]))
+            clears, colds = clears + (plain.lost is plain), colds + isinstance(plain.lost, list)
+        lines = list(dict.fromkeys(part))
+        codes = np.array([lines.index(x) for x in part], np.int32)
+        which, seen, spelt = bulk.add_all(np.arange(start, start + len(part)), codes, lines, [prints[x] for x in lines])
+        assert [(*spelt[w][1:], s) for w, s in zip(which.tolist(), seen.tolist(), strict=True)] == want
+        assert json.dumps(plain.templates) == json.dumps(bulk.templates)
+        if start % 1_500 == 0:
+            plain.known.clear()
+            bulk = streaming.LiveBucket(1, threshold, most, json.loads(json.dumps(bulk.templates)))
+    assert clears + colds > 0
+
+
+def test_packing_keeps_every_event():
+    rows = [("s" if k % 3 else None, 4, 2, "x", f"x\x1e{k % 5}", 10_000 - k) for k in range(9_000)]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    names = [*streaming.KEYS, "line", "source_offset"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 400], strict=True), types, strict=True)], names) for at in range(0, 9_000, 400)]
+    got = [r for b in streaming.packed(iter(batches), most=6_000) for r in b.to_pylist()]
+    assert all(0 < len(r["offsets"]) <= 8 * streaming.PIECE for r in got) and len(got) < 80
+    assert {r["line"]: r["fingerprint"] % 2**64 for r in got} == {f"x\x1e{k}": streaming.fnv.fnv1a(f"x\x1e{k}".encode()) for k in range(5)}
+    each = [(r["stream_id"], r["depth"], r["n"], r["prefix"], r["line"], int(o)) for r in got for o in np.frombuffer(r["offsets"], np.int64)]
+    assert sorted(each, key=lambda r: r[-1]) == rows[::-1]
+    assert list(streaming.packed(iter([]))) == []
+
+
+def _shuffled_rows(spark):
+    """Rows that the session's stages have shuffled so far, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_a_stream_of_few_lines_moves_few_rows_to_its_bucket(spark, tmp_path):
+    """One bucket's task gets lines with packed offsets, not a row an event."""
+    n = 30_000
+    rows = spark.range(0, n, 1, 3).select(F.lit("s").alias("stream_id"), F.col("id").alias("source_offset"), F.array(*map(F.lit, "abcd"), (F.col("id") % 3).cast("string")).alias("masked"))
+    rows.write.parquet(f"{tmp_path}/in")
+    before = _shuffled_rows(spark)
+    live = streaming.mine_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
+    moved = sum(r for k, r in _shuffled_rows(spark).items() if k not in before)
+    got = spark.read.schema(streaming.MINED).parquet(f"{tmp_path}/out").orderBy("source_offset").collect()
+    assert [(r.source_offset, r.seen, r.version, r.pattern) for r in got] == [(k, k + 1, min(k + 1, 2), "a b c d <*>" if k else "a b c d 0") for k in range(n)]
+    assert 0 < moved < n / 50
+
+
 def test_two_runs_are_compared_with_all_tasks(spark):
     seen = []
 
